@@ -1,0 +1,70 @@
+"""Run a named Spark query and its DuckDB SQL on one data folder and compare.
+
+Comparison: same column names (as a set), same row count, and the same
+multiset of rows after sorting, with floats rounded to 9 places and
+timestamps compared as naive UTC wall-clock values.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+import os
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents "
+          "embeddings pages benchmark labels conversations").split()
+
+
+def duck_connection(data_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        path = os.path.join(data_dir, f"{t}.parquet")
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 9)
+    if isinstance(v, dt.datetime):
+        if v.tzinfo is not None:
+            v = v.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        return v.isoformat()
+    if isinstance(v, dt.date):
+        return v.isoformat()
+    return v
+
+
+def _rows(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+
+
+def compare(spark, name, query, sql, data_dir, con=None):
+    """Returns a dict with ``match`` and diagnostics."""
+    con = con or duck_connection(data_dir)
+    sdf = query(spark, data_dir)
+    s_cols = sdf.columns
+    s_rows = [tuple(r) for r in sdf.collect()]
+    rel = con.sql(sql)
+    d_cols = rel.columns
+    d_rows = rel.fetchall()
+    res = {"name": name, "spark_rows": len(s_rows), "duck_rows": len(d_rows),
+           "spark_cols": sorted(s_cols), "duck_cols": sorted(d_cols)}
+    if sorted(s_cols) != sorted(d_cols):
+        res["match"] = False
+        res["why"] = "columns"
+        return res
+    a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
+    res["match"] = a == b
+    if not res["match"]:
+        sa, sb = set(a), set(b)
+        res["why"] = "values"
+        res["only_spark"] = sorted(sa - sb, key=str)[:5]
+        res["only_duck"] = sorted(sb - sa, key=str)[:5]
+    return res
