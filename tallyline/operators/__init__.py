@@ -4,6 +4,7 @@ from tallyline.operators.quota import (
     allowed_phone_batches,
     arrival_quota,
     batch_quota,
+    batch_quota_join,
     first_calls,
     phone_batch_counts,
     running_call_counts,
@@ -30,6 +31,7 @@ __all__ = [
     "allowed_phone_batches",
     "arrival_quota",
     "batch_quota",
+    "batch_quota_join",
     "first_calls",
     "phone_batch_counts",
     "running_call_counts",

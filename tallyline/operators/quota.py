@@ -85,9 +85,9 @@ def allowed_phone_batches(calls: DataFrame, max_votes: int) -> DataFrame:
             .select(PHONE, BATCH, "n"))
 
 
-def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int) -> DataFrame:
-    """Variant A acceptance: valid-contestant calls whose phone is allowed in
-    their batch (a left-semi join on phone and batch).
+def batch_quota_join(calls: DataFrame, max_votes: int, num_contestants: int) -> DataFrame:
+    """Variant A acceptance as a join: valid-contestant calls whose phone is
+    allowed in their batch (left-semi join on phone and batch).
 
     The allowed side has at most ``max_votes`` rows per phone; AQE turns the
     join into a broadcast once it measures that side small, and otherwise
@@ -97,6 +97,29 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int) -> DataF
     return valid_contestant(calls, num_contestants).join(allowed, [PHONE, BATCH], "left_semi")
 
 
+def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
+                tie_break: str = "vote_id") -> DataFrame:
+    """Variant A acceptance in one pass over the calls, no join.
+
+    Take each phone's first ``max_votes + 1`` calls in (batch, ``tie_break``)
+    order. A call in batch ``b`` among them is accepted exactly when at most
+    ``max_votes`` of them lie in batches ``<= b``: if the phone's running
+    count after ``b`` is within the quota, all its calls up to ``b`` are among
+    the first ones and are counted; if not, all ``max_votes + 1`` first calls
+    lie in batches ``<= b``. Calls outside the first ones always exceed the
+    quota. The limit is planned as a ``WindowGroupLimit`` before the shuffle,
+    so at most ``max_votes + 1`` calls per phone leave each map task, and
+    the running count reuses the same partitioning and sort.
+    """
+    order = Window.partitionBy(PHONE).orderBy(BATCH, tie_break)
+    through_batch = (Window.partitionBy(PHONE).orderBy(BATCH)
+                     .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    first = (calls.withColumn("_rank", F.row_number().over(order))
+             .where(F.col("_rank") <= max_votes + 1).drop("_rank"))
+    counted = first.withColumn("_n", F.count(F.lit(1)).over(through_batch))
+    return valid_contestant(counted.where(F.col("_n") <= max_votes).drop("_n"), num_contestants)
+
+
 def first_calls(calls: DataFrame, max_votes: int,
                 order: tuple[str, ...] = ("ts", "vote_id")) -> DataFrame:
     """The first ``max_votes`` calls of every phone in arrival ``order``."""

@@ -78,6 +78,9 @@ SELECT DISTINCT phone_number, batch_id, n FROM running WHERE n <= 20""",
     "batch_quota": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
 SELECT vote_id, contestant_number FROM batch_acc""",
 
+    "batch_quota_join": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
+SELECT vote_id, contestant_number FROM batch_acc""",
+
     "arrival_quota": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED}
 SELECT vote_id, contestant_number FROM acc""",
 

@@ -83,6 +83,12 @@ def q_batch_quota(spark, data_dir):
     return accepted_batch(spark, data_dir).select("vote_id", "contestant_number")
 
 
+def q_batch_quota_join(spark, data_dir):
+    """Variant A through the allowed (phone, batch) table and a semi-join."""
+    return (quota.batch_quota_join(calls(spark, data_dir), P.max_votes, P.num_contestants)
+            .select("vote_id", "contestant_number"))
+
+
 def q_arrival_quota(spark, data_dir):
     return accepted_arrival(spark, data_dir).select("vote_id", "contestant_number")
 
@@ -158,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "running_call_counts": q_running_call_counts,
     "allowed_phones": q_allowed_phones,
     "batch_quota": q_batch_quota,
+    "batch_quota_join": q_batch_quota_join,
     "arrival_quota": q_arrival_quota,
     "contestant_totals_by_batch": q_contestant_totals_by_batch,
     "leaderboard": q_leaderboard,
