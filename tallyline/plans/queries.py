@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import boards, kv, metrics, quota, words
 from tallyline.sources.calls import CallViewSpec, call_lines, call_view, parse_calls
-from tallyline.sources.tables import read_table
+from tallyline.sources.tables import read_table, spread_narrow_scan
 from tallyline.sources.text import document_lines
 
 
@@ -155,7 +155,7 @@ def q_idle_batches(spark, data_dir):
 def q_word_counts(spark, data_dir):
     docs = read_table(spark, data_dir, "documents").select(
         F.expr(f"doc_id div {P.docs_per_batch}").alias("batch_id"), "text")
-    return words.word_counts(document_lines(docs, keep=("batch_id",)))
+    return words.word_counts(document_lines(spread_narrow_scan(docs), keep=("batch_id",)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
