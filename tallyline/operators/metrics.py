@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.rates import rate_per_second
+from tallyline.session import materialize
 from tallyline.functions.time import ntz_from_micros
 
 BATCH = "batch_id"
@@ -40,8 +41,13 @@ def dense_ids(spark: SparkSession, source: DataFrame, column: str,
 
 def batch_counts(spark: SparkSession, records: DataFrame, batch: str = BATCH) -> DataFrame:
     """(batch_id, n): records per batch, 0 for a batch with none, over every
-    batch id between the first and the last one seen."""
-    counts = records.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    batch id between the first and the last one seen.
+
+    The per-batch counts (one row per batch) are materialized once: the spine
+    bounds, the zero-fill join and any later summary read them, not the
+    records.
+    """
+    counts = materialize(records.groupBy(batch).agg(F.count(F.lit(1)).alias("n")))
     spine = dense_ids(spark, counts, batch)
     return (spine.join(counts, batch, "left")
             .select(batch, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))

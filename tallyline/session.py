@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at cluster scale as well as locally:
 #  * AQE re-plans joins at runtime (a semi-join build side that turns out
@@ -56,6 +56,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(root)
         return root
     current = sc.getCheckpointDir()
     if current:
@@ -64,3 +66,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(root)
     return root
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and return a
+    DataFrame reading it, cutting its lineage.
+
+    For small derived tables (one row per batch, say) that later steps read
+    several times: the source is scanned once instead of once per use, and
+    a lost executor does not send the job back to the source.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
