@@ -23,6 +23,7 @@ from tallyline.operators.metrics import (
     dense_ids,
     idle_batches,
     rate_summary,
+    summary_line,
 )
 from tallyline.operators.kv import kv_rows, latest_per_key
 from tallyline.operators.words import word_counts
@@ -46,6 +47,7 @@ __all__ = [
     "dense_ids",
     "idle_batches",
     "rate_summary",
+    "summary_line",
     "kv_rows",
     "latest_per_key",
     "word_counts",

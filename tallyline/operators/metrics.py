@@ -106,3 +106,16 @@ def idle_batches(metrics: DataFrame, run: int = 3, batch: str = BATCH,
     return (judged.where((F.col("_seen") == run) & (F.col("_sum") == 0)
                          & (F.col("_at") >= first + F.lit(run)) & (F.col("_at") <= ends))
             .select(F.col("_at").cast("bigint").alias(batch)))
+
+
+# Fixed value: the printed summary format of the source system (count as a
+# two-wide integer, doubles in Java's shortest round-trip form).
+SUMMARY_FORMAT = "effective batch number:%2d max: %s min: %s average: %s stddev: %s "
+
+
+def summary_line(stats: DataFrame) -> DataFrame:
+    """(line): the summary row of :func:`rate_summary` as one printed line."""
+    return stats.select(F.format_string(
+        SUMMARY_FORMAT, F.col("n_batches"),
+        *[F.col(c).cast("string") for c in ("max_rate", "min_rate", "avg_rate", "stddev_rate")],
+    ).alias("line"))

@@ -66,3 +66,10 @@ def test_dense_ids_across_blocks(spark):
     src = spark.createDataFrame([(-5,), (13,)], "b bigint")
     got = sorted(r.b for r in metrics.dense_ids(spark, src, "b", block=4).collect())
     assert got == list(range(-5, 14))
+
+
+def test_summary_line(spark):
+    stats = metrics.rate_summary(series(spark, [10, 20, 40, 0, 0, 0, 0]), 4)
+    line = metrics.summary_line(stats).first().line
+    assert line == ("effective batch number: 3 max: 40.0 min: 10.0 average: 23.333333333333332 "
+                    "stddev: 15.275252316519467 ")
