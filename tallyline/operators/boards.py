@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.time import epoch_micros, ltz_from_micros, ntz_from_micros
+from tallyline.operators.cumulative import running_total
 
 CONTESTANT = "contestant_number"
 
@@ -35,13 +36,13 @@ def totals_by_batch(accepted: DataFrame, batch: str = "batch_id") -> DataFrame:
     every batch in which it gained votes (change-only form of the re-emitted
     totals).
 
-    Calls are first counted per (contestant, batch), so the running-sum window
-    sees one row per batch, not one per call.
+    Calls are first counted per (contestant, batch), so the running sum sees
+    one row per batch, not one per call; it is split into blocks of batches,
+    so a contestant voted for in every batch is not one task's work.
     """
-    upto = (Window.partitionBy(CONTESTANT).orderBy(batch)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     per_batch = accepted.groupBy(CONTESTANT, batch).agg(F.count(F.lit(1)).alias("_n"))
-    return per_batch.select(CONTESTANT, batch, F.sum("_n").over(upto).cast("bigint").alias("total"))
+    return running_total(per_batch, [CONTESTANT], batch, "_n", "total") \
+        .select(CONTESTANT, batch, "total")
 
 
 def sliding_window_counts(accepted: DataFrame, time_col: str, size_seconds: int,

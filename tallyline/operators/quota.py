@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.operators.cumulative import running_total
+
 PHONE = "phone_number"
 BATCH = "batch_id"
 
@@ -48,13 +50,12 @@ def running_phone_counts(calls: DataFrame) -> DataFrame:
     """(phone_number, batch_id, n): a phone's call count up to and including
     each batch in which it called.
 
-    The window runs over the compacted (phone, batch) rows, so a phone's
-    partition holds at most one row per batch, not one per call.
+    The running sum runs over the compacted (phone, batch) rows, one per
+    batch rather than per call, and is split into blocks of batches so a
+    phone calling in every batch is spread over several tasks.
     """
-    upto = (Window.partitionBy(PHONE).orderBy(BATCH)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (phone_batch_counts(calls)
-            .select(PHONE, BATCH, F.sum("calls").over(upto).cast("bigint").alias("n")))
+    return running_total(phone_batch_counts(calls), [PHONE], BATCH, "calls", "n") \
+        .select(PHONE, BATCH, "n")
 
 
 def running_call_counts(calls: DataFrame) -> DataFrame:

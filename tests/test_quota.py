@@ -165,3 +165,15 @@ def test_quotas_match_model(spark, rows, max_votes):
     assert ids(quota.batch_quota_join(df, max_votes, 6)) == a
     per_phone = Counter(c["phone_number"] for c in calls if c["vote_id"] in set(b))
     assert all(v <= max_votes for v in per_phone.values())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.integers(0, 2), st.integers(-20, 40), st.integers(1, 5)),
+                     min_size=1, max_size=30, unique_by=lambda t: (t[0], t[1])),
+       block=st.integers(1, 7))
+def test_blocked_running_total_matches_model(spark, rows, block):
+    from tallyline.operators.cumulative import running_total
+    df = spark.createDataFrame(rows, "k int, b bigint, v bigint")
+    got = {(r.k, r.b): r.t for r in running_total(df, ["k"], "b", "v", "t", block).collect()}
+    want = {(k, b): sum(v2 for k2, b2, v2 in rows if k2 == k and b2 <= b) for k, b, _ in rows}
+    assert got == want
