@@ -17,7 +17,15 @@ def epoch_micros(df: DataFrame, column: str) -> Column:
     """
     dtype = df.schema[column].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, {_NTZ_EPOCH}, `{column}`)")
+        # Built from the value's own fields: any cast to TIMESTAMP would go
+        # through the session time zone and shift wall-clock times that fall
+        # in a daylight-saving gap.
+        ts = F.col(column)
+        days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+        seconds = F.date_part(F.lit("SECOND"), ts)  # DECIMAL(8,6): seconds with micros
+        return (days * F.lit(86_400_000_000) + F.hour(ts).cast("bigint") * F.lit(3_600_000_000)
+                + F.minute(ts).cast("bigint") * F.lit(60_000_000)
+                + (seconds * F.lit(1_000_000)).cast("bigint"))
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(F.col(column))
     raise TypeError(f"{column} is {dtype.simpleString()}, not a timestamp")

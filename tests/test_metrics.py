@@ -73,3 +73,16 @@ def test_summary_line(spark):
     line = metrics.summary_line(stats).first().line
     assert line == ("effective batch number: 3 max: 40.0 min: 10.0 average: 23.333333333333332 "
                     "stddev: 15.275252316519467 ")
+
+
+def test_epoch_of_wall_clock_ignores_session_zone(spark):
+    from tallyline.functions.time import epoch_micros
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00.5' AS ts UNION ALL "
+                       "SELECT TIMESTAMP_NTZ'1969-12-31 23:59:59.25'")
+        got = [r.m for r in df.select(epoch_micros(df, "ts").alias("m")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [1710037800500000, -750000]
