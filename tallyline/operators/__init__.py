@@ -14,6 +14,7 @@ from tallyline.operators.quota import (
 from tallyline.operators.boards import (
     contestant_totals,
     leaderboard,
+    leaderboard_history,
     sliding_window_counts,
     totals_by_batch,
 )
@@ -40,6 +41,7 @@ __all__ = [
     "valid_contestant",
     "contestant_totals",
     "leaderboard",
+    "leaderboard_history",
     "sliding_window_counts",
     "totals_by_batch",
     "batch_counts",

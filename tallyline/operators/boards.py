@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,32 @@ def totals_by_batch(accepted: DataFrame, batch: str = "batch_id") -> DataFrame:
         .select(CONTESTANT, batch, "total")
 
 
+def leaderboard_history(accepted: DataFrame, top: int = 10,
+                        batch: str = "batch_id") -> DataFrame:
+    """(batch_id, rank, contestant_number, total): the top ``top`` of the running
+    totals after every batch, as a board re-emitting every contestant seen so
+    far would show each batch (ties by contestant number).
+
+    Each contestant's change points (one row per batch with new votes) are
+    carried forward to the batch before its next change, or to the last batch
+    with accepted calls; the output is at most one row per batch and
+    contestant. The per-batch top is a ``row_number() <= top`` limit that
+    Catalyst trims before the shuffle.
+    """
+    changes = totals_by_batch(accepted, batch)
+    last = changes.select(F.max(batch)).scalar()
+    following = Window.partitionBy(CONTESTANT).orderBy(batch)
+    spans = changes.select(
+        CONTESTANT, "total", F.col(batch).alias("_from"),
+        F.coalesce(F.lead(batch).over(following) - F.lit(1), last).alias("_to"))
+    filled = spans.select(CONTESTANT, "total",
+                          F.explode(F.sequence("_from", "_to")).alias(batch))
+    by_batch = Window.partitionBy(batch).orderBy(F.desc("total"), F.asc(CONTESTANT))
+    return (filled.withColumn("rank", F.row_number().over(by_batch))
+            .where(F.col("rank") <= top)
+            .select(batch, "rank", CONTESTANT, "total"))
+
+
 def sliding_window_counts(accepted: DataFrame, time_col: str, size_seconds: int,
                           slide_seconds: int, keys: tuple[str, ...] = (CONTESTANT,),
                           start_seconds: int = 0) -> DataFrame:

@@ -94,6 +94,23 @@ FROM per_batch""",
 SELECT contestant_number, count(*) AS total FROM acc
 GROUP BY contestant_number ORDER BY total DESC, contestant_number LIMIT 10""",
 
+    "leaderboard_history": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED},
+per_batch AS (SELECT contestant_number, batch_id, count(*) AS c FROM acc GROUP BY 1, 2),
+spine AS (SELECT unnest(generate_series((SELECT min(batch_id) FROM per_batch),
+                                        (SELECT max(batch_id) FROM per_batch))) AS batch_id),
+firsts AS (SELECT contestant_number, min(batch_id) AS first_batch FROM per_batch GROUP BY 1),
+grid AS (SELECT s.batch_id, f.contestant_number FROM spine s JOIN firsts f ON s.batch_id >= f.first_batch),
+totals AS (
+  SELECT g.batch_id, g.contestant_number,
+         CAST(sum(coalesce(p.c, 0)) OVER (PARTITION BY g.contestant_number ORDER BY g.batch_id) AS BIGINT) AS total
+  FROM grid g LEFT JOIN per_batch p
+    ON p.contestant_number = g.contestant_number AND p.batch_id = g.batch_id),
+boards AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY total DESC, contestant_number)
+                 AS INTEGER) AS rank
+  FROM totals)
+SELECT batch_id, rank, contestant_number, total FROM boards WHERE rank <= 10""",
+
     "leaderboard_batch_quota": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
 SELECT contestant_number, count(*) AS total FROM batch_acc
 GROUP BY contestant_number ORDER BY total DESC, contestant_number LIMIT 10""",

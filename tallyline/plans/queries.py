@@ -101,6 +101,11 @@ def q_leaderboard(spark, data_dir):
     return boards.leaderboard(accepted_arrival(spark, data_dir), P.top)
 
 
+def q_leaderboard_history(spark, data_dir):
+    """The top 10 after every batch, every contestant seen so far re-emitted."""
+    return boards.leaderboard_history(accepted_arrival(spark, data_dir), P.top)
+
+
 def q_leaderboard_batch_quota(spark, data_dir):
     return boards.leaderboard(accepted_batch(spark, data_dir), P.top)
 
@@ -168,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "arrival_quota": q_arrival_quota,
     "contestant_totals_by_batch": q_contestant_totals_by_batch,
     "leaderboard": q_leaderboard,
+    "leaderboard_history": q_leaderboard_history,
     "leaderboard_batch_quota": q_leaderboard_batch_quota,
     "window_contestant_counts": q_window_contestant_counts,
     "window_counts_batch_quota": q_window_counts_batch_quota,

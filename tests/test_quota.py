@@ -179,3 +179,23 @@ def test_blocked_running_total_matches_model(spark, rows, block):
     got = {(r.k, r.b): r.t for r in running_total(df, ["k"], "b", "v", "t", block).collect()}
     want = {(k, b): sum(v2 for k2, b2, v2 in rows if k2 == k and b2 <= b) for k, b, _ in rows}
     assert got == want
+
+
+@pytest.mark.parametrize("lines_per_batch", [1, 10])
+def test_leaderboard_history_sample(spark, lines_per_batch):
+    calls = sample_calls(lines_per_batch)
+    accepted_ids = set(model.arrival_quota(calls, 1, 6))
+    acc = [c for c in calls if c["vote_id"] in accepted_ids]
+    got = {(r.batch_id, r.rank): (r.contestant_number, r.total) for r in
+           boards.leaderboard_history(quota.arrival_quota(to_df(spark, calls), 1, 6,
+                                                          order=("batch_id", "vote_id")), 3)
+           .collect()}
+    want = {}
+    first = min(c["batch_id"] for c in acc)
+    last = max(c["batch_id"] for c in acc)
+    for b in range(first, last + 1):
+        totals = Counter(c["contestant_number"] for c in acc if c["batch_id"] <= b)
+        board = sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
+        for rank, (contestant, total) in enumerate(board, 1):
+            want[(b, rank)] = (contestant, total)
+    assert got == want
