@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallyline.functions.time import epoch_micros, ltz_from_micros, ntz_from_micros
 from tallyline.operators.cumulative import running_total
+from tallyline.operators.quota import allow_group_limit
 
 CONTESTANT = "contestant_number"
 
@@ -57,6 +58,7 @@ def leaderboard_history(accepted: DataFrame, top: int = 10,
     contestant. The per-batch top is a ``row_number() <= top`` limit that
     Catalyst trims before the shuffle.
     """
+    allow_group_limit(accepted, top)
     changes = totals_by_batch(accepted, batch)
     last = changes.select(F.max(batch)).scalar()
     following = Window.partitionBy(CONTESTANT).orderBy(batch)

@@ -33,6 +33,22 @@ PHONE = "phone_number"
 BATCH = "batch_id"
 
 
+def allow_group_limit(df: DataFrame, limit: int) -> None:
+    """Let Catalyst plan ``row_number() <= limit`` as a ``WindowGroupLimit``.
+
+    Spark only does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000 by default); a larger quota would silently lose the map-side limit
+    and send a hot phone's calls to one task. The limit streams over sorted
+    input with one counter per group, so a higher threshold costs no memory.
+    A threshold of -1 (optimization switched off) is left alone.
+    """
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf = df.sparkSession.conf
+    current = int(conf.get(key, "1000"))
+    if 0 <= current < limit:
+        conf.set(key, str(limit))
+
+
 def valid_contestant(calls: DataFrame, num_contestants: int) -> DataFrame:
     """Drop calls for contestant numbers above ``num_contestants``.
 
@@ -75,6 +91,7 @@ def allowed_phone_batches(calls: DataFrame, max_votes: int) -> DataFrame:
     a ``WindowGroupLimit`` that trims each map task's rows per phone before
     the shuffle.
     """
+    allow_group_limit(calls, max_votes)
     order = Window.partitionBy(PHONE).orderBy(BATCH)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = phone_batch_counts(calls).select(
@@ -112,6 +129,7 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
     so at most ``max_votes + 1`` calls per phone leave each map task, and
     the running count reuses the same partitioning and sort.
     """
+    allow_group_limit(calls, max_votes + 1)
     order = Window.partitionBy(PHONE).orderBy(BATCH, tie_break)
     through_batch = (Window.partitionBy(PHONE).orderBy(BATCH)
                      .rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -124,6 +142,7 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
 def first_calls(calls: DataFrame, max_votes: int,
                 order: tuple[str, ...] = ("ts", "vote_id")) -> DataFrame:
     """The first ``max_votes`` calls of every phone in arrival ``order``."""
+    allow_group_limit(calls, max_votes)
     w = Window.partitionBy(PHONE).orderBy(*order)
     return (calls.withColumn("_rank", F.row_number().over(w))
             .where(F.col("_rank") <= max_votes)

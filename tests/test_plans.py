@@ -95,3 +95,15 @@ def test_hot_phone_with_a_third_of_all_calls(spark):
     assert a == model.batch_quota(rows, 20, 6)
     assert b == model.arrival_quota(rows, 20, 6, order=("ts", "vote_id"))
     assert "Partial" in plan(quota.arrival_quota(hot, 20, 6))
+
+
+@pytest.mark.parametrize("max_votes", [1000, 5000])
+def test_large_quotas_keep_the_partial_limit(spark, max_votes):
+    view = call_view(read_table(spark, "/root/testdata/sf0.001", "events"))
+    for df in (quota.batch_quota(view, max_votes, 6), quota.arrival_quota(view, max_votes, 6)):
+        lines = initial_plan_lines(df)
+        assert index_of(lines, r"Exchange hashpartitioning\(phone_number") < \
+            index_of(lines, r"WindowGroupLimit .*Partial")
+    # every phone at sf0.001 places fewer than 1000 calls: all valid calls pass
+    assert quota.arrival_quota(view, max_votes, 6).count() == \
+        quota.valid_contestant(view, 6).count()
