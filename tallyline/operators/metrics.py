@@ -47,7 +47,8 @@ def batch_counts(spark: SparkSession, records: DataFrame, batch: str = BATCH) ->
     bounds, the zero-fill join and any later summary read them, not the
     records.
     """
-    counts = materialize(records.groupBy(batch).agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(records.groupBy(batch).agg(F.count(F.lit(1)).alias("n")),
+                         "batch_counts")
     spine = dense_ids(spark, counts, batch)
     return (spine.join(counts, batch, "left")
             .select(batch, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,13 +69,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and return a
-    DataFrame reading it, cutting its lineage.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return a DataFrame reading it, cutting its lineage.
 
     For small derived tables (one row per batch, say) that later steps read
-    several times: the source is scanned once instead of once per use, and
-    a lost executor does not send the job back to the source.
+    several times: the source is scanned once instead of once per use, a lost
+    executor does not send the job back to the source, and the planner sees
+    the table's real size. (``checkpoint()`` would compute the plan twice,
+    once to count and once to write, unless it were cached first.)
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)

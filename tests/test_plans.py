@@ -78,7 +78,7 @@ def test_metric_queries_read_materialized_counts(spark):
     for name in ("rate_stats", "idle_batches", "batch_rate"):
         df = Q[name](spark, DATA)
         df.collect()
-        assert "FileScan parquet" not in plan(df), name
+        assert "events.parquet" not in plan(df), name
 
 
 def test_hot_phone_with_a_third_of_all_calls(spark):
