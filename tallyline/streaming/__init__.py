@@ -9,6 +9,7 @@ from tallyline.streaming.pipeline import (
     metric_series_by_time,
     read_accepted,
     read_metric_series,
+    rejected_line_stream,
     start_acceptance,
     start_batch_metrics,
     start_leaderboard,
@@ -27,6 +28,7 @@ __all__ = [
     "metric_series_by_time",
     "read_accepted",
     "read_metric_series",
+    "rejected_line_stream",
     "start_acceptance",
     "start_batch_metrics",
     "start_leaderboard",

@@ -31,7 +31,7 @@ from tallyline.functions.rates import rate_per_second
 from tallyline.functions.time import epoch_micros, ltz_from_micros
 from tallyline.operators import boards, metrics, words
 from tallyline.operators.quota import valid_contestant
-from tallyline.sources.calls import CallViewSpec, call_view, parse_calls
+from tallyline.sources.calls import CallViewSpec, call_view, parse_calls, parse_calls_lenient
 from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProcessor
 
 EVENTS_SCHEMA = T.StructType([
@@ -56,17 +56,33 @@ ACCEPTED_SCHEMA = T.StructType(CALL_STREAM_SCHEMA.fields + [T.StructField("batch
 
 # ---------------------------------------------------------------- sources
 
-def call_line_stream(spark: SparkSession, path: str,
-                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Call lines from text files arriving in ``path`` (strict parse).
-
-    ``ts`` is the arrival time: the micro-batch's trigger time, the same for
-    every call of a batch, so windows run over batch time.
-    """
+def _line_reader(spark: SparkSession, path: str, max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return parse_calls(reader.load(path)).withColumn("ts", F.current_timestamp())
+    return reader.load(path)
+
+
+def call_line_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                     strict: bool = True) -> DataFrame:
+    """Call lines from text files arriving in ``path``.
+
+    ``strict=True`` fails the query on a malformed line, as the source
+    system does; ``strict=False`` drops such lines (see
+    :func:`rejected_line_stream` to keep them). ``ts`` is the arrival time:
+    the micro-batch's trigger time, the same for every call of a batch, so
+    windows run over batch time.
+    """
+    lines = _line_reader(spark, path, max_files_per_trigger)
+    calls = parse_calls(lines) if strict else parse_calls_lenient(lines)[0]
+    return calls.withColumn("ts", F.current_timestamp())
+
+
+def rejected_line_stream(spark: SparkSession, path: str,
+                         max_files_per_trigger: int | None = None) -> DataFrame:
+    """The malformed lines of the same files (``value STRING``), for a side
+    table next to a lenient :func:`call_line_stream`."""
+    return parse_calls_lenient(_line_reader(spark, path, max_files_per_trigger))[1]
 
 
 def event_call_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,

@@ -187,3 +187,19 @@ def test_batch_word_counts_of_lines_table(spark):
     got = {(r.batch_id, r.word, r.n) for r in
            words.word_counts(document_lines(docs, keep=("batch_id",))).collect()}
     assert got == {(0, "x", 2), (0, "y", 2)}
+
+
+def test_lenient_line_stream_routes_rejects(spark, scratch):
+    src = os.path.join(scratch, "in")
+    stage_text(src, [["1 5 3 0", "oops", "2 5 7 0"], ["3 6 1 0 extra", "4 x 1 0"]])
+    acc_dir, rej_dir = os.path.join(scratch, "accepted"), os.path.join(scratch, "rejects")
+    calls = S.call_line_stream(spark, src, 1, strict=False)
+    S.start_acceptance(S.accept_calls(calls, "arrival", 1, 6), acc_dir,
+                       os.path.join(scratch, "ck"), ONCE).awaitTermination()
+    rejects = S.rejected_line_stream(spark, src, 1)
+    q = (rejects.writeStream.format("parquet").option("path", rej_dir)
+         .option("checkpointLocation", os.path.join(scratch, "ck_rej")).trigger(availableNow=True)
+         .start())
+    q.awaitTermination()
+    assert vote_ids(S.read_accepted(spark, acc_dir)) == [1, 3]
+    assert sorted(r.value for r in spark.read.parquet(rej_dir).collect()) == ["4 x 1 0", "oops"]
