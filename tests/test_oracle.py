@@ -30,3 +30,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns == ["contestant_number", "total"]
     assert 0 < len(rows) <= 10
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_types_match_sql(spark, con, name):
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in QUERIES[name](spark, DATA).dtypes}
+    rel = con.sql(SQL[name])
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
