@@ -24,6 +24,7 @@ from tallyline.operators.metrics import (
     dense_ids,
     idle_batches,
     rate_summary,
+    rate_summary_when_idle,
     summary_line,
 )
 from tallyline.operators.kv import kv_rows, latest_per_key
@@ -49,6 +50,7 @@ __all__ = [
     "dense_ids",
     "idle_batches",
     "rate_summary",
+    "rate_summary_when_idle",
     "summary_line",
     "kv_rows",
     "latest_per_key",

@@ -120,3 +120,14 @@ def summary_line(stats: DataFrame) -> DataFrame:
         SUMMARY_FORMAT, F.col("n_batches"),
         *[F.col(c).cast("string") for c in ("max_rate", "min_rate", "avg_rate", "stddev_rate")],
     ).alias("line"))
+
+
+def rate_summary_when_idle(metrics: DataFrame, trailing: int = 4, run: int = 3,
+                           batch: str = BATCH, rate: str = "rate") -> DataFrame:
+    """:func:`rate_summary`, but only once the series has gone idle: more than
+    ``run`` samples and the last ``run`` all zero. Otherwise no row, as a
+    summariser polling the metric table reports nothing yet."""
+    last = metrics.select(F.max(batch)).scalar()
+    idle_now = idle_batches(metrics, run, batch, rate).select(
+        (F.max(batch) == last).alias("_idle")).scalar()
+    return rate_summary(metrics, trailing, batch, rate).where(F.coalesce(idle_now, F.lit(False)))

@@ -86,3 +86,10 @@ def test_epoch_of_wall_clock_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [1710037800500000, -750000]
+
+
+def test_rate_summary_only_once_idle(spark):
+    idle = metrics.rate_summary_when_idle(series(spark, [10, 20, 40, 0, 0, 0, 0])).collect()
+    assert len(idle) == 1 and idle[0].n_batches == 3
+    assert metrics.rate_summary_when_idle(series(spark, [10, 20, 40, 0, 0, 5])).count() == 0
+    assert metrics.rate_summary_when_idle(series(spark, [0, 0, 0])).count() == 0

@@ -203,3 +203,23 @@ def test_lenient_line_stream_routes_rejects(spark, scratch):
     q.awaitTermination()
     assert vote_ids(S.read_accepted(spark, acc_dir)) == [1, 3]
     assert sorted(r.value for r in spark.read.parquet(rej_dir).collect()) == ["4 x 1 0", "oops"]
+
+
+def test_vote_pipeline_once(spark, scratch):
+    from tallyline.streaming.app import start_vote_pipeline
+    src = os.path.join(scratch, "in")
+    lines = sample_lines()
+    stage_text(src, [lines[i:i + 10] for i in range(0, 40, 10)])
+    pipe = start_vote_pipeline(spark, src, os.path.join(scratch, "out"), variant="batch",
+                               max_votes=1, once=True, max_files_per_trigger=1)
+    pipe.await_all()
+    fixture = sample_calls(10)
+    want = model.batch_quota(fixture, 1, 6)
+    assert vote_ids(S.read_accepted(spark, os.path.join(pipe.root, "accepted"))) == want
+    boards_read = spark.read.parquet(os.path.join(pipe.root, "leaderboard"))
+    last = boards_read.agg(F.max("batch_id")).first()[0]
+    assert {r.contestant_number: r.total for r in
+            boards_read.where(F.col("batch_id") == last).collect()} == dict(model.totals(fixture, want))
+    recorded = sorted((r.batch_id, r.n) for r in
+                      S.read_metric_series(spark, os.path.join(pipe.root, "metrics")).collect())
+    assert recorded == [(0, 10), (1, 10), (2, 10), (3, 10)]
