@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.time import epoch_micros, ltz_from_micros, ntz_from_micros
-from tallyline.operators.cumulative import running_total
+from tallyline.operators.cumulative import explode_range, next_in_order, running_total
 from tallyline.operators.quota import allow_group_limit
+from tallyline.session import materialize
 
 CONTESTANT = "contestant_number"
 
@@ -55,18 +56,19 @@ def leaderboard_history(accepted: DataFrame, top: int = 10,
     Each contestant's change points (one row per batch with new votes) are
     carried forward to the batch before its next change, or to the last batch
     with accepted calls; the output is at most one row per batch and
-    contestant. The per-batch top is a ``row_number() <= top`` limit that
-    Catalyst trims before the shuffle.
+    contestant. Finding the next change and expanding the spans are both
+    split into blocks, so a contestant with a long history, or one span
+    covering most batches, is not one task's work. The per-batch top is a
+    ``row_number() <= top`` limit that Catalyst trims before the shuffle.
     """
     allow_group_limit(accepted, top)
-    changes = totals_by_batch(accepted, batch)
+    # small (one row per contestant and batch with votes) and read three times
+    # below: written once, so the acceptance over the whole input runs once
+    changes = materialize(totals_by_batch(accepted, batch), "contestant_totals")
     last = changes.select(F.max(batch)).scalar()
-    following = Window.partitionBy(CONTESTANT).orderBy(batch)
-    spans = changes.select(
-        CONTESTANT, "total", F.col(batch).alias("_from"),
-        F.coalesce(F.lead(batch).over(following) - F.lit(1), last).alias("_to"))
-    filled = spans.select(CONTESTANT, "total",
-                          F.explode(F.sequence("_from", "_to")).alias(batch))
+    spans = next_in_order(changes, [CONTESTANT], batch, "_next")
+    filled = explode_range(spans, F.col(batch), F.coalesce(F.col("_next") - F.lit(1), last),
+                           batch, [CONTESTANT, "total"])
     by_batch = Window.partitionBy(batch).orderBy(F.desc("total"), F.asc(CONTESTANT))
     return (filled.withColumn("rank", F.row_number().over(by_batch))
             .where(F.col("rank") <= top)

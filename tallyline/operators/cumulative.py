@@ -3,7 +3,7 @@ key with a very long history is not one task's work."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,43 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
     return (partial.join(prefix, [*keys, "_blk"], "inner")
             .withColumn(out, (F.col("_before") + F.col("_within")).cast("bigint"))
             .drop("_blk", "_within", "_before"))
+
+
+def next_in_order(df: DataFrame, keys: list[str], order: str, out: str,
+                  block: int = 1 << 14) -> DataFrame:
+    """Add ``out`` = the next ``order`` value among rows of the same ``keys``
+    (NULL for the last one); ``order`` is unique per key and never NULL.
+
+    Blocked like :func:`running_total`: ``lead`` runs within (keys, block),
+    and a row that is last in its block takes the first value of the key's
+    next non-empty block, from a window over one row per (keys, block).
+    """
+    blk = F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("bigint"), F.lit(0)).alias("_blk")
+    rows = df.select("*", blk)
+    within = Window.partitionBy(*keys, "_blk").orderBy(order)
+    led = rows.withColumn("_next_in_blk", F.lead(order).over(within))
+    later = Window.partitionBy(*keys).orderBy("_blk")
+    firsts = (rows.groupBy(*keys, "_blk").agg(F.min(order).alias("_first"))
+              .select(*keys, "_blk", F.lead("_first").over(later).alias("_next_blk_first")))
+    return (led.join(firsts, [*keys, "_blk"], "inner")
+            .withColumn(out, F.coalesce("_next_in_blk", "_next_blk_first"))
+            .drop("_blk", "_next_in_blk", "_next_blk_first"))
+
+
+def explode_range(df: DataFrame, lo: Column, hi: Column, out: str, keep: list[str],
+                  chunk: int = 1 << 16) -> DataFrame:
+    """One row per integer ``out`` in ``[lo, hi]`` for every row of ``df``
+    (``keep`` columns carried along).
+
+    A range is first cut into chunks of ``chunk`` values and the chunks are
+    spread over tasks before they are expanded, so one long range does not
+    make one task produce all of its rows.
+    """
+    first = F.floor(lo / F.lit(chunk)).cast("bigint")
+    last = F.floor(hi / F.lit(chunk)).cast("bigint")
+    chunks = (df.select(*keep, lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"),
+                        F.explode(F.sequence(first, last)).alias("_chunk"))
+              .repartition("_chunk", *keep))
+    start = F.greatest(F.col("_chunk") * F.lit(chunk), F.col("_lo"))
+    end = F.least(F.col("_chunk") * F.lit(chunk) + F.lit(chunk - 1), F.col("_hi"))
+    return chunks.select(*keep, F.explode(F.sequence(start, end)).alias(out))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.rates import rate_per_second
+from tallyline.operators.cumulative import explode_range
 from tallyline.session import materialize
 from tallyline.functions.time import ntz_from_micros
 
@@ -23,20 +24,13 @@ def dense_ids(spark: SparkSession, source: DataFrame, column: str,
     a distributed one-column DataFrame named ``column``.
 
     The bounds are scalar subqueries, so nothing is computed until the result
-    is used. One row lists the block starts (one per ``block`` ids); blocks
-    are spread over tasks before each is expanded, so no single task or the
-    driver builds the whole range.
+    is used. The range is cut into blocks of ``block`` ids that are spread
+    over tasks before each is expanded, so no single task or the driver
+    builds the whole range.
     """
     lo = source.select(F.min(column)).scalar()
     hi = source.select(F.max(column)).scalar()
-    first_block = F.floor(lo / F.lit(block)).cast("bigint")
-    last_block = F.floor(hi / F.lit(block)).cast("bigint")
-    blocks = (spark.range(1)
-              .select(F.explode(F.sequence(first_block, last_block)).alias("_blk"))
-              .repartition("_blk"))
-    start = F.greatest(F.col("_blk") * F.lit(block), lo).cast("bigint")
-    end = F.least(F.col("_blk") * F.lit(block) + F.lit(block - 1), hi).cast("bigint")
-    return blocks.select(F.explode(F.sequence(start, end)).alias(column))
+    return explode_range(spark.range(1), lo, hi, column, [], block)
 
 
 def batch_counts(spark: SparkSession, records: DataFrame, batch: str = BATCH) -> DataFrame:

@@ -199,3 +199,19 @@ def test_leaderboard_history_sample(spark, lines_per_batch):
         for rank, (contestant, total) in enumerate(board, 1):
             want[(b, rank)] = (contestant, total)
     assert got == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.integers(0, 2), st.integers(-20, 40)), min_size=1, max_size=30,
+                     unique_by=lambda t: t), block=st.integers(1, 7))
+def test_next_in_order_and_explode_range(spark, rows, block):
+    from pyspark.sql import functions as F
+    from tallyline.operators.cumulative import explode_range, next_in_order
+    df = spark.createDataFrame(rows, "k int, b bigint")
+    got = {(r.k, r.b): r.nx for r in next_in_order(df, ["k"], "b", "nx", block).collect()}
+    want = {(k, b): min([b2 for k2, b2 in rows if k2 == k and b2 > b], default=None)
+            for k, b in rows}
+    assert got == want
+    spans = explode_range(df, F.col("b"), F.col("b") + F.col("k") * 3, "x", ["k", "b"], block)
+    assert sorted((r.k, r.b, r.x) for r in spans.collect()) == \
+        sorted((k, b, x) for k, b in rows for x in range(b, b + k * 3 + 1))
