@@ -12,6 +12,7 @@ from tallyline.streaming.pipeline import (
     rejected_line_stream,
     start_acceptance,
     start_batch_metrics,
+    start_console_leaderboard,
     start_leaderboard,
     start_window_counts,
     start_word_counts,
@@ -31,6 +32,7 @@ __all__ = [
     "rejected_line_stream",
     "start_acceptance",
     "start_batch_metrics",
+    "start_console_leaderboard",
     "start_leaderboard",
     "start_window_counts",
     "start_word_counts",

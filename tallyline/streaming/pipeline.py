@@ -193,6 +193,23 @@ def start_leaderboard(accepted: DataFrame, board_dir: str, checkpoint: str, top:
                   checkpoint, trigger, name)
 
 
+def start_console_leaderboard(accepted: DataFrame, top: int = 10, checkpoint: str | None = None,
+                              trigger: dict | None = None,
+                              name: str | None = None) -> StreamingQuery:
+    """Print the first ``top`` rows of the sorted running totals every batch
+    (complete mode can sort; the console sink shows ``numRows`` rows)."""
+    board = boards.contestant_totals(accepted).orderBy(F.desc("total"), F.asc("contestant_number"))
+    writer = (board.writeStream.outputMode("complete").format("console")
+              .option("numRows", top).option("truncate", False))
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    if name:
+        writer = writer.queryName(name)
+    return writer.start()
+
+
 def start_window_counts(accepted: DataFrame, windows_dir: str, checkpoint: str,
                         size: str, slide: str, watermark: str,
                         trigger: dict | None = None, name: str | None = None) -> StreamingQuery:

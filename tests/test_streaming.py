@@ -223,3 +223,18 @@ def test_vote_pipeline_once(spark, scratch):
     recorded = sorted((r.batch_id, r.n) for r in
                       S.read_metric_series(spark, os.path.join(pipe.root, "metrics")).collect())
     assert recorded == [(0, 10), (1, 10), (2, 10), (3, 10)]
+
+
+def test_console_leaderboard_runs(spark, scratch):
+    src = os.path.join(scratch, "in")
+    stage_text(src, [sample_lines()])
+    out = os.path.join(scratch, "accepted")
+    calls = S.call_line_stream(spark, src)
+    S.start_acceptance(S.accept_calls(calls, "arrival", 1, 6), out,
+                       os.path.join(scratch, "ck"), ONCE).awaitTermination()
+    q = S.start_console_leaderboard(S.accepted_stream(spark, out), 3,
+                                    os.path.join(scratch, "ck_c"), ONCE)
+    q.awaitTermination()
+    # the board is printed by the JVM; check that every accepted call reached it
+    assert q.exception() is None
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 33
