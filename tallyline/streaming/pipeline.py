@@ -32,7 +32,11 @@ from tallyline.functions.time import epoch_micros, ltz_from_micros
 from tallyline.operators import boards, metrics, words
 from tallyline.operators.quota import valid_contestant
 from tallyline.sources.calls import CallViewSpec, call_view, parse_calls, parse_calls_lenient
-from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProcessor
+from tallyline.streaming.processors import (
+    ArrivalQuotaProcessor,
+    BatchQuotaProcessor,
+    trim_chunks,
+)
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -113,23 +117,35 @@ def read_accepted(spark: SparkSession, accepted_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- operators
 
+TRIMMED_BATCH_SCHEMA = T.StructType(CALL_STREAM_SCHEMA.fields + [
+    T.StructField("_chunk", T.StringType()), T.StructField("_chunk_calls", T.LongType())])
+
+
 def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants: int,
-                 order: tuple[str, ...] = ("ts", "vote_id")) -> DataFrame:
+                 order: tuple[str, ...] = ("ts", "vote_id"), pretrim: bool = True) -> DataFrame:
     """Quota per phone with keyed state, then the contestant check.
 
     ``variant="batch"``: a phone's calls of a micro-batch are accepted only
     if its running count after the batch is within the quota.
     ``variant="arrival"``: the phone's first ``max_votes`` calls in arrival
     order are accepted.
+
+    ``pretrim`` cuts every input chunk to a few calls per phone before the
+    shuffle by phone (:func:`trim_chunks`), the streaming counterpart of the
+    batch forms' map-side group limit.
     """
+    if variant not in ("batch", "arrival"):
+        raise ValueError(f"unknown quota variant {variant!r}")
+    rows = calls.select(*CALL_STREAM_SCHEMA.fieldNames())
+    if pretrim:
+        schema = TRIMMED_BATCH_SCHEMA if variant == "batch" else CALL_STREAM_SCHEMA
+        rows = rows.mapInPandas(trim_chunks(variant, max_votes, order), schema)
     if variant == "batch":
-        processor = BatchQuotaProcessor(max_votes, CALL_STREAM_SCHEMA)
-    elif variant == "arrival":
-        processor = ArrivalQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, order)
+        processor = BatchQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, trimmed=pretrim)
     else:
-        raise ValueError(f"unknown quota variant {variant!r}")
-    keyed = calls.select(*CALL_STREAM_SCHEMA.fieldNames()).groupBy("phone_number")
-    out = keyed.transformWithState(processor, CALL_STREAM_SCHEMA, "Append", "None")
+        processor = ArrivalQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, order)
+    out = rows.groupBy("phone_number").transformWithState(
+        processor, CALL_STREAM_SCHEMA, "Append", "None")
     return valid_contestant(out, num_contestants)
 
 

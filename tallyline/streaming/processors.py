@@ -28,12 +28,15 @@ class BatchQuotaProcessor(StatefulProcessor):
     batch's calls only if the new count is within ``max_votes``.
 
     The stored count keeps growing with rejected calls, as the running count
-    of the source system does.
+    of the source system does. With ``trimmed=True`` the input comes from
+    :func:`trim_chunks` (``_chunk``, ``_chunk_calls`` columns): a chunk's calls
+    of the phone count once each, even though only some of them were kept.
     """
 
-    def __init__(self, max_votes: int, output: StructType):
+    def __init__(self, max_votes: int, output: StructType, trimmed: bool = False):
         self.max_votes = max_votes
         self.fields = tuple(output.fieldNames())
+        self.trimmed = trimmed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("calls", COUNT_SCHEMA)
@@ -41,9 +44,15 @@ class BatchQuotaProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.count.get()[0] if self.count.exists() else 0
         seen = 0
+        chunks: set = set()
         held: list[Row] = []
         for row in rows:
-            seen += 1
+            if self.trimmed:
+                if row["_chunk"] not in chunks:
+                    chunks.add(row["_chunk"])
+                    seen += row["_chunk_calls"]
+            else:
+                seen += 1
             if before + seen <= self.max_votes:
                 held.append(row)
             elif held:
@@ -91,3 +100,38 @@ class ArrivalQuotaProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+def trim_chunks(variant: str, max_votes: int, order: tuple[str, ...] = ("ts", "vote_id")):
+    """A ``mapInPandas`` function that cuts each input chunk down before the
+    shuffle by phone, so a phone with a large share of a micro-batch does not
+    send all of its calls to one task.
+
+    ``arrival``: keep each phone's first ``max_votes`` calls of the chunk in
+    arrival order (the phone's first calls of the batch are among them).
+    ``batch``: keep up to ``max_votes + 1`` calls of each phone and tag them
+    with the chunk id and the chunk's full call count for the phone, which is
+    all :class:`BatchQuotaProcessor` needs: more than ``max_votes`` calls in
+    one chunk already reject the phone's batch.
+    """
+    import pandas as pd
+    from pyspark import TaskContext
+
+    keep = max_votes if variant == "arrival" else max_votes + 1
+
+    def trim(chunks):
+        ctx = TaskContext.get()
+        prefix = f"{ctx.stageId()}-{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0"
+        for i, pdf in enumerate(chunks):
+            if pdf.empty:
+                continue
+            pdf = pdf.sort_values(["phone_number", *order], kind="stable")
+            kept = pdf.groupby("phone_number", sort=False).head(keep)
+            if variant == "batch":
+                calls = pdf.groupby("phone_number", sort=False).size().rename("_chunk_calls")
+                kept = kept.join(calls, on="phone_number")
+                kept = kept.assign(_chunk=f"{prefix}-{i}", _chunk_calls=kept["_chunk_calls"]
+                                   .astype("int64"))
+            yield pd.DataFrame(kept)
+
+    return trim

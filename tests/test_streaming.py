@@ -238,3 +238,24 @@ def test_console_leaderboard_runs(spark, scratch):
     # the board is printed by the JVM; check that every accepted call reached it
     assert q.exception() is None
     assert sum(p["numInputRows"] for p in q.recentProgress) == 33
+
+
+@pytest.mark.parametrize("variant", ["batch", "arrival"])
+@pytest.mark.parametrize("pretrim", [True, False])
+def test_hot_phone_in_one_micro_batch(spark, scratch, variant, pretrim):
+    calls = []
+    for i in range(120):
+        phone = 77 if i % 3 else 1000 + i          # phone 77 places two thirds of the calls
+        calls.append({"vote_id": i, "phone_number": phone, "contestant_number": 1 + i % 7,
+                      "timestamp": 0, "batch_id": i // 60})
+    src = os.path.join(scratch, "in")
+    stage_text(src, [[f"{c['vote_id']} {c['phone_number']} {c['contestant_number']} 0"
+                      for c in calls if c["batch_id"] == b] for b in (0, 1)])
+    out = os.path.join(scratch, "accepted")
+    stream = S.call_line_stream(spark, src, 1).repartition(3)   # several map tasks per batch
+    S.start_acceptance(S.accept_calls(stream, variant, 5, 6, order=("ts", "vote_id"),
+                                      pretrim=pretrim),
+                       out, os.path.join(scratch, "ck"), ONCE).awaitTermination()
+    want = (model.batch_quota(calls, 5, 6) if variant == "batch"
+            else model.arrival_quota(calls, 5, 6))
+    assert vote_ids(S.read_accepted(spark, out)) == want
