@@ -83,3 +83,29 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 split_bytes: int = 512 << 20, shuffle_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run over ``input_bytes`` of parquet.
+
+    * scan splits of ``split_bytes`` (512 MB): 100 TB gives ~200k scan tasks,
+      ~25 waves on 1000 executors x 8 cores;
+    * one initial shuffle partition per ``shuffle_bytes`` (256 MB) of input,
+      at least two per task slot. The shuffles here are much smaller than the
+      input after partial aggregation and the map-side group limit, so AQE
+      coalesces them down to ``shuffle_bytes`` each at runtime; it can merge
+      partitions but not split them, so this is the safe direction;
+    * skewed join partitions are split when 5x the median and over 512 MB.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(2 * slots, min(200_000, input_bytes // shuffle_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
