@@ -92,14 +92,15 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
     * scan splits of ``split_bytes`` (512 MB): 100 TB gives ~200k scan tasks,
       ~25 waves on 1000 executors x 8 cores;
     * one initial shuffle partition per ``shuffle_bytes`` (256 MB) of input,
-      at least two per task slot. The shuffles here are much smaller than the
-      input after partial aggregation and the map-side group limit, so AQE
-      coalesces them down to ``shuffle_bytes`` each at runtime; it can merge
-      partitions but not split them, so this is the safe direction;
+      at least two per task slot and at most 32768 (more makes map outputs
+      and shuffle metadata grow as maps x reducers). The shuffles here are
+      much smaller than the input after partial aggregation and the map-side
+      group limit (a 10 TB shuffle is ~300 MB per partition at the cap), and
+      AQE coalesces small ones to ``shuffle_bytes`` at runtime;
     * skewed join partitions are split when 5x the median and over 512 MB.
     """
     slots = executors * cores_per_executor
-    partitions = max(2 * slots, min(200_000, input_bytes // shuffle_bytes))
+    partitions = max(2 * slots, min(32_768, input_bytes // shuffle_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
