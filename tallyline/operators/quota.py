@@ -16,10 +16,12 @@ Both work on the batch form of a call stream: rows with ``phone_number``,
 are in :mod:`tallyline.streaming.processors`.
 
 Skew: one phone may place a large share of all calls. Nothing here sends a
-phone's raw calls to one task: variant A first compacts calls to one row per
-(phone, batch) with a map-side partial count, and variant B's ``row_number()
-<= max_votes`` is planned as a ``WindowGroupLimit`` that keeps at most
-``max_votes`` rows per phone in every map task before the shuffle.
+phone's raw calls to one task. Both acceptance rules rank a phone's calls
+and keep the first ``max_votes`` (+1): Catalyst plans this as a
+``WindowGroupLimit`` that trims each map task's rows per phone before the
+shuffle (see :func:`allow_group_limit` for large quotas). Running counts
+first compact calls to one row per (phone, batch) with a map-side partial
+count, then sum them in blocks of batches.
 """
 
 from __future__ import annotations
@@ -107,9 +109,10 @@ def batch_quota_join(calls: DataFrame, max_votes: int, num_contestants: int) ->
     """Variant A acceptance as a join: valid-contestant calls whose phone is
     allowed in their batch (left-semi join on phone and batch).
 
-    The allowed side has at most ``max_votes`` rows per phone; AQE turns the
-    join into a broadcast once it measures that side small, and otherwise
-    splits a skewed phone's partition of the call side.
+    The allowed side has at most ``max_votes`` rows per phone. Spark
+    broadcasts it only when its size (estimated from the scan, or measured by
+    AQE at runtime) is under the broadcast threshold; otherwise AQE splits a
+    skewed phone's partition of the call side.
     """
     allowed = allowed_phone_batches(calls, max_votes).select(PHONE, BATCH)
     return valid_contestant(calls, num_contestants).join(allowed, [PHONE, BATCH], "left_semi")

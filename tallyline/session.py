@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #    small becomes a broadcast, measured rather than guessed) and splits
 #    skewed shuffle partitions of a hot phone or contestant key.
 #  * RocksDB keeps per-phone quota state off the JVM heap.
-#  * UTC so that TIMESTAMP <-> epoch conversions are stable.
+#  * UTC so that TIMESTAMP values print as UTC wall-clock times (the
+#    operators' own time arithmetic does not depend on the session zone).
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
