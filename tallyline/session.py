@@ -98,7 +98,8 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
       much smaller than the input after partial aggregation and the map-side
       group limit (a 10 TB shuffle is ~300 MB per partition at the cap), and
       AQE coalesces small ones to ``shuffle_bytes`` at runtime;
-    * skewed join partitions are split when 5x the median and over 512 MB.
+    * skewed join partitions are split when 5x the median and over 512 MB;
+    * the streaming state store uses changelog checkpoints and bounded memory.
     """
     slots = executors * cores_per_executor
     partitions = max(2 * slots, min(32_768, input_bytes // shuffle_bytes))
@@ -110,4 +111,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # one phone's quota state is a single BIGINT, but there are many phones
+        # per executor: cap RocksDB's native memory instead of letting it grow
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     }
