@@ -1,6 +1,11 @@
 """Column-level helpers: pure Spark SQL expressions, no Python UDFs."""
 
-from tallyline.functions.calls import parse_call_line, render_call, render_call_line
+from tallyline.functions.calls import (
+    parse_call_line,
+    render_call,
+    render_call_debug,
+    render_call_line,
+)
 from tallyline.functions.text import split_lines, space_tokens
 from tallyline.functions.time import (
     bucket_index,
@@ -14,6 +19,7 @@ __all__ = [
     "parse_call_line",
     "render_call",
     "render_call_line",
+    "render_call_debug",
     "split_lines",
     "space_tokens",
     "bucket_index",

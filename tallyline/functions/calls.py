@@ -51,3 +51,15 @@ def render_call_line(vote_id: Column, phone_number: Column, contestant_number: C
                      timestamp: Column) -> Column:
     """Record with the trailing newline, as printed for debugging."""
     return F.concat(render_call(vote_id, phone_number, contestant_number, timestamp), F.lit("\n"))
+
+
+# Fixed value: prefix of the debug form of a call record.
+DEBUG_PREFIX = "call : "
+
+
+def render_call_debug(vote_id: Column, phone_number: Column, contestant_number: Column,
+                      timestamp: Column) -> Column:
+    """Debug form: ``"call : <vote_id>-<phone>-<contestant>-<timestamp>"``."""
+    return F.concat(F.lit(DEBUG_PREFIX), F.concat_ws(
+        "-", vote_id.cast("string"), phone_number.cast("string"),
+        contestant_number.cast("string"), timestamp.cast("string")))

@@ -56,3 +56,12 @@ def test_kv_latest_per_key(spark):
     assert {r.key: r.value for r in store.collect()} == {"9": "4 9 4 0", "8": "3 8 3 0"}
     by_vote = kv.latest_per_key(kv.kv_rows(df.where(F.col("vote_id") < 3), key="vote_id"))
     assert {r.key: r.value for r in by_vote.collect()} == {"1": "1 9 1 0", "2": "2 9 2 0"}
+
+
+def test_render_forms(spark):
+    from tallyline.functions.calls import render_call_debug, render_call_line
+    df = spark.createDataFrame([(10000000, 7376800000, 3, 0)], "v bigint, p bigint, c int, t int")
+    row = df.select(render_call_line(*[F.col(c) for c in "vpct"]).alias("line"),
+                    render_call_debug(*[F.col(c) for c in "vpct"]).alias("debug")).first()
+    assert row.line == "10000000 7376800000 3 0\n"
+    assert row.debug == "call : 10000000-7376800000-3-0"
