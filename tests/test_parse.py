@@ -22,9 +22,9 @@ def test_parse_sample_round_trip(spark):
 
 
 def test_ten_digit_phone_and_extra_fields(spark):
-    got = parse_calls(lines_df(spark, ["10000000 7376800000 3 0 extra more"])).first()
+    got = parse_calls(lines_df(spark, ["20000001 5550123456 3 0 extra more"])).first()
     assert (got.vote_id, got.phone_number, got.contestant_number, got.timestamp) == \
-        (10000000, 7376800000, 3, 0)
+        (20000001, 5550123456, 3, 0)
 
 
 @pytest.mark.parametrize("bad", ["1 2 3", "1 x 3 4", "1  2 3 4", "1 2 3 99999999999", ""])
@@ -60,8 +60,8 @@ def test_kv_latest_per_key(spark):
 
 def test_render_forms(spark):
     from tallyline.functions.calls import render_call_debug, render_call_line
-    df = spark.createDataFrame([(10000000, 7376800000, 3, 0)], "v bigint, p bigint, c int, t int")
+    df = spark.createDataFrame([(20000001, 5550123456, 3, 0)], "v bigint, p bigint, c int, t int")
     row = df.select(render_call_line(*[F.col(c) for c in "vpct"]).alias("line"),
                     render_call_debug(*[F.col(c) for c in "vpct"]).alias("debug")).first()
-    assert row.line == "10000000 7376800000 3 0\n"
-    assert row.debug == "call : 10000000-7376800000-3-0"
+    assert row.line == "20000001 5550123456 3 0\n"
+    assert row.debug == "call : 20000001-5550123456-3-0"
