@@ -122,7 +122,8 @@ TRIMMED_BATCH_SCHEMA = T.StructType(CALL_STREAM_SCHEMA.fields + [
 
 
 def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants: int,
-                 order: tuple[str, ...] = ("ts", "vote_id"), pretrim: bool = True) -> DataFrame:
+                 order: tuple[str, ...] = ("ts", "vote_id"), pretrim: bool = True,
+                 state_ttl_ms: int | None = None) -> DataFrame:
     """Quota per phone with keyed state, then the contestant check.
 
     ``variant="batch"``: a phone's calls of a micro-batch are accepted only
@@ -132,7 +133,12 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
 
     ``pretrim`` cuts every input chunk to a few calls per phone before the
     shuffle by phone (:func:`trim_chunks`), the streaming counterpart of the
-    batch forms' map-side group limit.
+    batch forms' map-side group limit. ``state_ttl_ms`` (off by default, as
+    in the source system) lets a phone's count expire after that much
+    processing time without calls, bounding state by active phones. Spark
+    then runs no-data micro-batches to evict expired state, so a run-once
+    (``availableNow``) query only finishes with
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false``.
     """
     if variant not in ("batch", "arrival"):
         raise ValueError(f"unknown quota variant {variant!r}")
@@ -141,11 +147,14 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
         schema = TRIMMED_BATCH_SCHEMA if variant == "batch" else CALL_STREAM_SCHEMA
         rows = rows.mapInPandas(trim_chunks(variant, max_votes, order), schema)
     if variant == "batch":
-        processor = BatchQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, trimmed=pretrim)
+        processor = BatchQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, trimmed=pretrim,
+                                        ttl_ms=state_ttl_ms)
     else:
-        processor = ArrivalQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, order)
+        processor = ArrivalQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, order,
+                                          ttl_ms=state_ttl_ms)
+    time_mode = "ProcessingTime" if state_ttl_ms else "None"
     out = rows.groupBy("phone_number").transformWithState(
-        processor, CALL_STREAM_SCHEMA, "Append", "None")
+        processor, CALL_STREAM_SCHEMA, "Append", time_mode)
     return valid_contestant(out, num_contestants)
 
 

@@ -2,7 +2,9 @@
 
 Spark calls ``handleInputRows`` once per phone per micro-batch with that
 phone's new calls. State is one BIGINT per phone in the state store (RocksDB,
-checkpointed), so a restarted query resumes with the counts it had. Memory per
+checkpointed), so a restarted query resumes with the counts it had. It never
+expires unless a TTL is given (``ttl_ms``, processing time since the last
+update), which changes the semantics: a phone idle that long starts afresh. Memory per
 call is bounded: at most ``max_votes`` rows of a phone are held, however many
 calls the phone places in one batch.
 """
@@ -33,13 +35,15 @@ class BatchQuotaProcessor(StatefulProcessor):
     of the phone count once each, even though only some of them were kept.
     """
 
-    def __init__(self, max_votes: int, output: StructType, trimmed: bool = False):
+    def __init__(self, max_votes: int, output: StructType, trimmed: bool = False,
+                 ttl_ms: int | None = None):
         self.max_votes = max_votes
         self.fields = tuple(output.fieldNames())
         self.trimmed = trimmed
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("calls", COUNT_SCHEMA)
+        self.count = handle.getValueState("calls", COUNT_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.count.get()[0] if self.count.exists() else 0
@@ -76,13 +80,14 @@ class ArrivalQuotaProcessor(StatefulProcessor):
     """
 
     def __init__(self, max_votes: int, output: StructType,
-                 order: tuple[str, ...] = ("ts", "vote_id")):
+                 order: tuple[str, ...] = ("ts", "vote_id"), ttl_ms: int | None = None):
         self.max_votes = max_votes
         self.fields = tuple(output.fieldNames())
         self.order = order
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("accepted", COUNT_SCHEMA)
+        self.used = handle.getValueState("accepted", COUNT_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         used = self.used.get()[0] if self.used.exists() else 0

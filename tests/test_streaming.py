@@ -63,15 +63,24 @@ def vote_ids(df):
     return sorted(r.vote_id for r in df.select("vote_id").collect())
 
 
-@pytest.mark.parametrize("variant,expected", [("batch", 32), ("arrival", 33)])
-def test_line_stream_sample(spark, scratch, variant, expected):
+@pytest.mark.parametrize("variant,expected,ttl", [("batch", 32, None), ("arrival", 33, None),
+                                                  ("arrival", 33, 3_600_000)])
+def test_line_stream_sample(spark, scratch, variant, expected, ttl):
     src = os.path.join(scratch, "in")
     lines = sample_lines()
     stage_text(src, [lines[i:i + 10] for i in range(0, 40, 10)])
     calls = S.call_line_stream(spark, src, max_files_per_trigger=1)
     out = os.path.join(scratch, "accepted")
-    S.start_acceptance(S.accept_calls(calls, variant, 1, 6), out,
-                       os.path.join(scratch, "ck"), ONCE).awaitTermination()
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    if ttl:
+        # with a TTL, no-data batches keep evicting state and a run-once
+        # query would not finish
+        spark.conf.set(key, "false")
+    try:
+        S.start_acceptance(S.accept_calls(calls, variant, 1, 6, state_ttl_ms=ttl), out,
+                           os.path.join(scratch, "ck"), ONCE).awaitTermination()
+    finally:
+        spark.conf.set(key, "true")
     acc = S.read_accepted(spark, out)
     got = vote_ids(acc)
     fixture = sample_calls(10)
