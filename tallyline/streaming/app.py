@@ -12,8 +12,9 @@ Command line::
 
     python -m tallyline.streaming.app votes SOURCE [--variant batch|arrival]
         [--batch-ms 1000 --window-ms 5000 --slide-ms 1000] [--max-votes 1]
-        [--contestants 6] [--out DIR] [--once]
+        [--contestants 6] [--out DIR] [--once] [--max-files-per-trigger N]
     python -m tallyline.streaming.app words SOURCE [--batch-ms 1000] [--out DIR] [--once]
+        [--max-files-per-trigger N]
     python -m tallyline.streaming.app summary METRICS_DIR [--interval-s 1]
 """
 
@@ -118,11 +119,13 @@ def main(argv: list[str] | None = None) -> None:
     votes.add_argument("--contestants", type=int, default=6)
     votes.add_argument("--out")
     votes.add_argument("--once", action="store_true")
+    votes.add_argument("--max-files-per-trigger", type=int)
     words = sub.add_parser("words")
     words.add_argument("source")
     words.add_argument("--batch-ms", type=int, default=1000)
     words.add_argument("--out")
     words.add_argument("--once", action="store_true")
+    words.add_argument("--max-files-per-trigger", type=int)
     summary = sub.add_parser("summary")
     summary.add_argument("metrics_dir")
     summary.add_argument("--interval-s", type=int, default=1)
@@ -132,10 +135,12 @@ def main(argv: list[str] | None = None) -> None:
     if args.cmd == "votes":
         pipe = start_vote_pipeline(spark, args.source, args.out, args.variant, args.batch_ms,
                                    args.window_ms, args.slide_ms, args.max_votes,
-                                   args.contestants, once=args.once)
+                                   args.contestants, once=args.once,
+                                   max_files_per_trigger=args.max_files_per_trigger)
         pipe.await_all()
     elif args.cmd == "words":
-        start_word_count(spark, args.source, args.out, args.batch_ms, once=args.once).await_all()
+        start_word_count(spark, args.source, args.out, args.batch_ms, once=args.once,
+                         max_files_per_trigger=args.max_files_per_trigger).await_all()
     else:
         series = P.metric_series_by_time(spark, args.metrics_dir, args.interval_s)
         for row in summary_line(rate_summary_when_idle(series)).collect():
