@@ -49,10 +49,10 @@ def interleave(df: DataFrame, id_col: str, stratum_col: str, shards: int, seed:
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     stratum, ident = F.col(f"row.`{stratum_col}`"), F.col(f"row.`{id_col}`")
     rows = materialize(rows.select("row", stratum.cast("string").alias("stratum"),
-                                   F.xxhash64(F.lit(seed), ident, "row").alias("mix")), "shard-rows")
+                                   F.shiftrightunsigned(F.xxhash64(F.lit(seed), ident, "row"), 1).alias("mix")), "shard-rows")
     total = rows.count()
     buckets = max(1, total // bucket_rows)
-    place = F.floor(F.shiftrightunsigned("mix", 11) / F.lit(float(1 << 53)) * buckets).cast("bigint")
+    place = F.floor(F.shiftright("mix", 10) / F.lit(float(1 << 53)) * buckets).cast("bigint")
     rows = rows.withColumn("bucket", place)
     counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     offsets = _prefix(counts, ["stratum"], ["bucket"])

@@ -1,0 +1,199 @@
+"""Byte BPE, packing and token files against the plain libraries."""
+
+import base64
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_fixture import clashing, folder, frame, rows, same_rows
+
+from tallyline.llm import bitpack, bpe, packing, queries
+from tallyline.llm.token_ids import PartEncoder
+
+RANKS = P.path(queries.RANKS)
+TOKENIZER = P.path(queries.TOKENIZER)
+
+
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    t.encode_special_tokens = True
+    return t
+
+
+def le32(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_op1_equals_the_library(spark, scratch):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = queries.op1_byte_bpe(spark, folder(spark, scratch)).collect()
+    want = []
+    for doc, text, *_ in rows():
+        ids = enc.encode_ordinary(text or "")
+        want.append((doc, len(ids), hashlib.sha256(le32(ids)).hexdigest(),
+                     hashlib.sha256((text or "").encode()).hexdigest()))
+    same_rows([tuple(r) for r in got], want)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab1 '\n\t  é日!,.sltre\x1c", max_size=300), st.integers(1, 12))
+def test_parts_of_long_texts_give_the_same_ids(text, limit):
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    assert bpe.encode_text(enc, text, limit).tolist() == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["a b" + " " * 20_000 + "c", " " * 10_000, "x" + "\n" * 9_000 + " y",
+                                  "ab " * 60_000, "z" * 100_000, "\n" * 5000 + " " * 5000 + "end"])
+def test_very_long_texts(text):
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    assert bpe.encode_text(enc, text).tolist() == enc.encode_ordinary(text)
+    plain = plain_tokenizer().encode(text, add_special_tokens=False).ids
+    assert PartEncoder(TOKENIZER)(text).tolist() == plain
+
+
+def test_bpe_refuses_a_taken_column_and_decodes_nulls(spark):
+    df = frame(spark).select("doc_id", "text").withColumnRenamed("text", "token_ids")
+    with pytest.raises(ValueError):
+        bpe.encode(df.withColumnRenamed("doc_id", "text"), RANKS, P.PATTERN)
+    empty = spark.createDataFrame([(1, None)], "doc_id bigint, token_ids binary")
+    assert bytes(bpe.decode(empty, RANKS, P.PATTERN).first()["decoded"]) == b""
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 '\n\t  é日!,.sltre\x1cZ", max_size=80), max_size=6))
+def test_part_encoder_equals_the_library(texts):
+    part, plain = part_encoder(), plain_tokenizer()
+    for text in texts:
+        assert part(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+_KEPT = []
+
+
+def part_encoder():
+    if not _KEPT:
+        _KEPT.append(PartEncoder(TOKENIZER, memory=50))  # small, so that it is dropped often
+    return _KEPT[0]
+
+
+def check_packing(got, texts, tokens=1024, documents=10**9, attention=10**18):
+    plain = plain_tokenizer()
+    by_doc, by_seq = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    for pieces in by_seq.values():
+        pieces.sort(key=lambda r: r.offset)
+        assert [r.offset for r in pieces] == np.cumsum([0, *[r.length for r in pieces][:-1]]).tolist()
+        assert sum(r.length for r in pieces) <= tokens and len(pieces) <= documents
+        assert sum(r.length ** 2 for r in pieces) <= attention
+    want = {}
+    for doc, text in texts:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        want.setdefault(doc, []).append(ids)
+    assert set(want) == set(by_doc)
+    for doc, lists in want.items():
+        found = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[doc])
+        expect = []
+        for ids in lists:
+            longest = min(tokens, int(attention ** 0.5))
+            for k, (s, n) in enumerate(packing.piece_bounds(len(ids), longest)):
+                expect.append((k, s, n, zlib.crc32(le32(ids[s:s + n]))))
+        assert found == sorted(expect)
+    return len(by_seq)
+
+
+def test_op4_packs_every_token_once(spark, scratch):
+    got = queries.op4_vector_packing(spark, folder(spark, scratch)).collect()
+    made = check_packing(got, [(r[0], r[1]) for r in rows()])
+    total = sum(r.length for r in got)
+    assert made <= -(-total // 1024) * 1.03 + 1
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_packing_holds_every_capacity(spark, score):
+    limits = packing.Capacities(tokens=256, documents=3, attention=40_000, score=score)
+    df = clashing(frame(spark))
+    got = packing.pack_documents(df, TOKENIZER, 2, limits, group_size=40).collect()
+    check_packing(got, [(r[0], r[1]) for r in rows()], 256, 3, 40_000)
+
+
+@given(st.lists(st.integers(1, 64), max_size=60), st.integers(1, 5), st.sampled_from(["norm", "dot"]))
+@settings(deadline=None)
+def test_best_fit_opens_no_needless_sequence(lengths, documents, score):
+    limits = packing.Capacities(64, documents, 64 * 64, score=score)
+    bins, offsets = packing.best_fit(np.array(lengths, dtype=np.int64), limits)
+    load = {}
+    for at in np.argsort(-np.array(lengths, dtype=np.int64), kind="stable").tolist() if lengths else []:
+        tokens, docs, cost = load.get(bins[at], (0, 0, 0))
+        assert offsets[at] == tokens
+        if docs == 0:  # a new sequence only where no open one had room
+            for t, d, c in load.values():
+                assert t + lengths[at] > 64 or d >= documents or c + lengths[at] ** 2 > 64 * 64
+        load[bins[at]] = (tokens + lengths[at], docs + 1, cost + lengths[at] ** 2)
+    assert all(t <= 64 and d <= documents and c <= 64 * 64 for t, d, c in load.values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 2048, 5000])
+def test_pieces_are_full_but_the_first(n):
+    bounds = packing.piece_bounds(max(n, 1), 1024)
+    assert bounds[0][0] == 0 and sum(s for _, s in bounds) == max(n, 1)
+    assert all(size == 1024 for _, size in bounds[1:]) and 0 < bounds[0][1] <= 1024
+
+
+@given(st.integers(1, 20).flatmap(lambda b: st.tuples(st.just(b), st.lists(st.integers(0, 2 ** b - 1), max_size=70))))
+@settings(deadline=None)
+def test_bits_round_trip(case):
+    bits, ids = case
+    raw = bitpack.pack_bits(np.array(ids, dtype=np.uint32), bits)
+    assert len(raw) == -(-len(ids) * bits // 8)
+    assert bitpack.unpack_bits(raw, len(ids), bits).tolist() == ids
+    want = sum(i << (k * bits) for k, i in enumerate(ids))
+    assert int.from_bytes(raw, "little") == want
+
+
+def test_segment_random_access():
+    rng = np.random.default_rng(0)
+    sizes = [0, 5, 1, 40, 0, 23]
+    ids = rng.integers(0, 1000, sum(sizes)).astype(np.uint32)
+    raw = bitpack.write_segment([None, 4, 5, 5, 9, -3], sizes, ids, 1000, 7, block_ids=8)
+    seg = bitpack.Segment(raw)
+    assert (seg.bits, seg.number, len(seg)) == (10, 7, 6)
+    ends = np.cumsum(sizes)
+    for k in reversed(range(6)):
+        assert seg.document(k).tolist() == ids[ends[k] - sizes[k]:ends[k]].tolist()
+    assert [seg.doc_id(k) for k in range(6)] == [None, 4, 5, 5, 9, -3]
+    with pytest.raises(ValueError):
+        bitpack.Segment(raw[:-3])
+    with pytest.raises(ValueError):
+        bitpack.write_segment([1], [1], np.array([1000], np.uint32), 1000)
+
+
+@pytest.mark.parametrize("segment_ids", [300, 4 << 20])
+def test_op10_files_give_every_id_back(spark, scratch, segment_ids):
+    df = clashing(frame(spark))
+    folder_ = f"{scratch}/files"
+    bitpack.write_token_files(df, folder_, TOKENIZER, queries.VOCABULARY, 2, segment_ids=segment_ids)
+    got = bitpack.read_token_files(spark, folder_, keep_ids=True).collect()
+    plain, want, start = plain_tokenizer(), [], 0
+    for doc, text, *_ in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((doc, start, len(ids), zlib.crc32(le32(ids)), le32(ids)))
+        start += len(ids)
+    same_rows([(r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in got], want)
+
+
+def test_empty_tables(spark, scratch):
+    path = folder(spark, scratch, [])
+    for query in (queries.op1_byte_bpe, queries.op4_vector_packing, queries.op10_token_files):
+        assert query(spark, path).collect() == []
