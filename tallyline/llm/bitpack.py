@@ -146,8 +146,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, vocabulary: in
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["raw"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                ids = np.append(encode(text), np.uint32(end_id)).astype(np.uint32)
+            for doc, found in zip(batch.column(0).to_pylist(), encode.many(texts(batch.column(1)))):
+                ids = np.append(found, np.uint32(end_id)).astype(np.uint32)
                 docs.append(doc)
                 sizes.append(len(ids))
                 held.append(ids)

@@ -119,8 +119,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, limits: Capacities,
                             + ([("ids", pa.binary())] if keep_ids else []))
 
             def rows():
-                for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                    ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
+                for doc, found in zip(batch.column(0).to_pylist(), encode.many(texts(batch.column(1)))):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     for k, (start, size) in enumerate(piece_bounds(len(ids), longest)):
                         raw = ids[start:start + size].tobytes()
                         row = (doc, k, start, size, zlib.crc32(raw))

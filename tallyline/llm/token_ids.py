@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,13 +20,16 @@ import numpy as np
 #: Unicode White_Space, as the library's pattern takes \\s.
 WHITE = "\t-\r \x85\xa0  -     　"
 PART = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: A part that may stand between line feeds in a common call: no white space but
-#: one leading space.
-PLAIN = re.compile(f" ?[^{WHITE}]+")
-#: A letter followed by a full stop or comma at the end is always two pieces.
-TAIL = re.compile("[A-Za-z][.,]\\Z")
-MEMORY = 400_000  # parts
-GROUP = 1 << 20  # characters handled at a time
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+                   "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+MEMORY = 700_000  # parts
+GROUP = 1 << 19  # characters handled at a time
+
+
+def _plain(part: str) -> bool:
+    """A part without white space but for one leading space: it may stand
+    between line feeds in a call that encodes many."""
+    return part[0] not in _WHITE or (part[0] == " " and len(part) > 1 and part[1] not in _WHITE)
 
 
 class PartEncoder:
@@ -60,82 +64,94 @@ class PartEncoder:
         grown[:len(array)] = array
         return grown
 
-    def _keep(self, part: str, ids) -> None:
-        n, at = len(ids), len(self.place)
-        self.pool = self._room(self.pool, self.used + n)
-        self.starts, self.sizes = self._room(self.starts, at + 1), self._room(self.sizes, at + 1)
-        self.pool[self.used:self.used + n] = ids
-        self.starts[at], self.sizes[at] = self.used, n
-        self.place[part] = at
-        self.used += n
-
-    def _of(self, part: str) -> np.ndarray:
-        at = self.place[part]
-        return self.pool[self.starts[at]:self.starts[at] + self.sizes[at]]
-
-    def _encode_new(self, parts: list[str]) -> None:
-        """Encode parts that have no place yet; plain ones in one call, set apart
-        by line feeds, each of which is a piece and an id of its own there."""
-        plain = [p for p in parts if PLAIN.fullmatch(p)] if len(self.line_feed) == 1 else []
-        chosen = set(plain)
-        for part in parts:
-            if part not in chosen:
-                self._keep(part, self._ids(part))
+    def _keep(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the ids of ``parts``, which lie one after another in ``ids``."""
+        at, n = len(self.place), len(parts)
+        self.pool = self._room(self.pool, self.used + len(ids))
+        self.starts, self.sizes = self._room(self.starts, at + n), self._room(self.sizes, at + n)
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.starts[at:at + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at:at + n] = sizes
+        self.place.update(zip(parts, range(at, at + n)))
+        self.used += len(ids)
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode new parts; plain ones in one call, set apart by line feeds,
+        each of which is a piece and an id of its own there."""
+        plain = [p for p in parts if _plain(p)] if len(self.line_feed) == 1 else []
         if plain:
             joined = self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)
             ids = np.array(joined[0].ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.line_feed[0])
+            feeds = ids == self.line_feed[0]
+            cuts = np.flatnonzero(feeds)
             if len(cuts) != len(plain) - 1:
                 raise ValueError("the tokenizer does not keep a line feed apart")
-            left = 0
-            for part, right in zip(plain, [*cuts.tolist(), len(ids)]):
-                self._keep(part, ids[left:right])
-                left = right + 1
-
-    def _learn(self, parts: set[str]) -> None:
-        tails = {p for p in parts if TAIL.search(p)}
-        stems = {p[:-1] for p in tails} | {p[-1] for p in tails}
-        wanted = (parts - tails) | stems
-        self._encode_new([p for p in wanted if p not in self.place])
-        for part in tails:
-            self._keep(part, np.concatenate([self._of(part[:-1]), self._of(part[-1])]))
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The ids of one whole text as unsigned 32-bit numbers."""
-        found = []
-        for parts in self._part_groups(text):
-            place = self.place
-            new = set(parts).difference(place)
-            if new:
-                if len(place) + len(new) > self.memory:
-                    self._forget()
-                    place, new = self.place, set(parts)
-                self._learn(new)
-            at = np.fromiter(map(place.__getitem__, parts), dtype=np.int64, count=len(parts))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1])
-            take = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)
-            found.append(self.pool[take])
-        if not found:
-            return np.zeros(0, dtype=np.uint32)
-        return found[0] if len(found) == 1 else np.concatenate(found)
-
-    @staticmethod
-    def _part_groups(text: str):
-        if len(text) <= GROUP:
-            if text:
-                yield PART.findall(text)
+            sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            self._keep(plain, ids[~feeds], sizes)
+        others = list(parts.difference(self.place))
+        if others:
+            found = [self._ids(p) for p in others]
+            self._keep(others, np.array([i for f in found for i in f], dtype=np.uint32),
+                       np.array([len(f) for f in found], dtype=np.int64))
+
+    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and where the ids of each part end."""
+        new = set(parts).difference(self.place)
+        if new:
+            if len(self.place) + len(new) > self.memory:
+                self._forget()
+                new = set(parts)
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, parts), dtype=np.int64, count=len(parts))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.starts[at] - (ends - sizes), sizes)
+        take += np.arange(len(take))
+        return self.pool[take], ends
+
+    def _of_group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        lists = [PART.findall(t) for t in texts]
+        parts = [p for found in lists for p in found]
+        if not parts:
+            yield from (np.zeros(0, np.uint32) for _ in texts)
             return
-        held, size = [], 0
+        ids, ends = self._of_parts(parts)
+        last = np.concatenate([[0], ends])[np.cumsum([len(found) for found in lists])]
+        start = 0
+        for end in last.tolist():
+            yield ids[start:end]
+            start = end
+
+    def _of_long(self, text: str) -> np.ndarray:
+        found, held, size = [], [], 0
         for match in PART.finditer(text):
             held.append(match.group())
             size += len(held[-1])
             if size >= GROUP:
-                yield held
+                found.append(self._of_parts(held)[0])
                 held, size = [], 0
         if held:
-            yield held
+            found.append(self._of_parts(held)[0])
+        return np.concatenate(found)
+
+    def many(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of every whole text as unsigned 32-bit numbers, in order."""
+        held, size = [], 0
+        for text in texts:
+            if len(text) > GROUP:
+                yield from self._of_group(held)
+                yield self._of_long(text)
+                held, size = [], 0
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._of_group(held)
+                held, size = [], 0
+        yield from self._of_group(held)
+
+    def __call__(self, text: str) -> np.ndarray:
+        return next(self.many([text]))
 
 
 @lru_cache(maxsize=2)
