@@ -45,4 +45,6 @@ def bucket_index(micros: Column, origin_seconds: int, width_seconds: int) -> Col
     """``floor((t - origin) / width)``: the batch or slide bucket of a time."""
     width_us = int(width_seconds) * 1_000_000
     origin_us = int(origin_seconds) * 1_000_000
-    return F.floor((micros - F.lit(origin_us)) / F.lit(width_us)).cast("bigint")
+    since = micros - F.lit(origin_us)
+    # whole numbers throughout: a DOUBLE quotient is not exact for far dates
+    return F.call_function("div", since - F.pmod(since, F.lit(width_us)), F.lit(width_us))

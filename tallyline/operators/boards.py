@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallyline.functions.time import epoch_micros, ltz_from_micros, ntz_from_micros
 from tallyline.operators.cumulative import explode_range, next_in_order, running_total
-from tallyline.operators.quota import allow_group_limit
+from tallyline.operators.quota import check_group_limit
 from tallyline.session import materialize
 
 CONTESTANT = "contestant_number"
@@ -61,7 +61,7 @@ def leaderboard_history(accepted: DataFrame, top: int = 10,
     covering most batches, is not one task's work. The per-batch top is a
     ``row_number() <= top`` limit that Catalyst trims before the shuffle.
     """
-    allow_group_limit(accepted, top)
+    check_group_limit(accepted, top)
     # small (one row per contestant and batch with votes) and read three times
     # below: written once, so the acceptance over the whole input runs once
     changes = materialize(totals_by_batch(accepted, batch), "contestant_totals")

@@ -7,11 +7,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL, keeping the left side's keys."""
+    other = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str,
                   block: int = 1 << 14) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` with
     ``order`` up to and including this row's (rows unique per keys and order;
-    ``order`` is never NULL, as for batch ids).
+    a NULL ``order`` comes first; NULL keys are a key of their own).
 
     The axis is cut into blocks of ``block`` values. Sums within a block run
     in windows partitioned by (keys, block); the totals of earlier blocks
@@ -21,7 +28,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
     """
     # never NULL, so the join below infers no extra filter on it and both of
     # its inputs stay the same plan (Spark then computes ``df`` once)
-    blk = F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("bigint"), F.lit(0)).alias("_blk")
+    blk = F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("bigint"), F.lit(-(1 << 62))).alias("_blk")
     rows = df.select("*", blk)
     within = (Window.partitionBy(*keys, "_blk").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -31,7 +38,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
     prefix = (rows.groupBy(*keys, "_blk").agg(F.sum(value).alias("_blk_total"))
               .select(*keys, "_blk",
                       F.coalesce(F.sum("_blk_total").over(earlier), F.lit(0)).alias("_before")))
-    return (partial.join(prefix, [*keys, "_blk"], "inner")
+    return (null_safe_join(partial, prefix, [*keys, "_blk"])
             .withColumn(out, (F.col("_before") + F.col("_within")).cast("bigint"))
             .drop("_blk", "_within", "_before"))
 
@@ -52,7 +59,7 @@ def next_in_order(df: DataFrame, keys: list[str], order: str, out: str,
     later = Window.partitionBy(*keys).orderBy("_blk")
     firsts = (rows.groupBy(*keys, "_blk").agg(F.min(order).alias("_first"))
               .select(*keys, "_blk", F.lead("_first").over(later).alias("_next_blk_first")))
-    return (led.join(firsts, [*keys, "_blk"], "inner")
+    return (null_safe_join(led, firsts, [*keys, "_blk"])
             .withColumn(out, F.coalesce("_next_in_blk", "_next_blk_first"))
             .drop("_blk", "_next_in_blk", "_next_blk_first"))
 

@@ -24,11 +24,13 @@ def kv_rows(accepted: DataFrame, key: str = "vote_id",
 
 
 def latest_per_key(writes: DataFrame, order: tuple[str, ...] = ("ts", "vote_id")) -> DataFrame:
-    """(key, value): the last write of every key by ``order``.
+    """(key, value): the last write of every key by ``order``; of writes that
+    agree in all of ``order`` the largest value wins. Put an arrival position
+    into ``order`` where one is known.
 
     ``max_by`` over a struct of the order columns is an aggregate with a
     map-side partial step, so a key written very often still reaches the
     shuffle as one row per map task.
     """
     return writes.groupBy("key").agg(
-        F.max_by("value", F.struct(*[F.col(c) for c in order])).alias("value"))
+        F.max_by("value", F.struct(*[F.col(c) for c in order], F.col("value").alias("_value"))).alias("value"))

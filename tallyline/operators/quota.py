@@ -19,36 +19,39 @@ Skew: one phone may place a large share of all calls. Nothing here sends a
 phone's raw calls to one task. Both acceptance rules rank a phone's calls
 and keep the first ``max_votes`` (+1): Catalyst plans this as a
 ``WindowGroupLimit`` that trims each map task's rows per phone before the
-shuffle (see :func:`allow_group_limit` for large quotas). Running counts
+shuffle (see :func:`check_group_limit` for large quotas). Running counts
 first compact calls to one row per (phone, batch) with a map-side partial
 count, then sum them in blocks of batches.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.operators.cumulative import running_total
+from tallyline.operators.cumulative import null_safe_join, running_total
 
 PHONE = "phone_number"
 BATCH = "batch_id"
 
 
-def allow_group_limit(df: DataFrame, limit: int) -> None:
-    """Let Catalyst plan ``row_number() <= limit`` as a ``WindowGroupLimit``.
+def check_group_limit(df: DataFrame, limit: int) -> None:
+    """Raise if Spark would not plan ``row_number() <= limit`` as a
+    ``WindowGroupLimit``, which keeps a hot phone's calls out of one task.
 
-    Spark only does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``
-    (1000 by default); a larger quota would silently lose the map-side limit
-    and send a hot phone's calls to one task. The limit streams over sorted
-    input with one counter per group, so a higher threshold costs no memory.
-    A threshold of -1 (optimization switched off) is left alone.
+    Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000 unless set; :func:`tallyline.build_session` sets more). The limit
+    streams over sorted input with one counter per group, so a higher
+    threshold costs no memory. With -1 (switched off) there is a warning.
     """
     key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    conf = df.sparkSession.conf
-    current = int(conf.get(key, "1000"))
-    if 0 <= current < limit:
-        conf.set(key, str(limit))
+    current = int(df.sparkSession.conf.get(key, "1000"))
+    if current == -1:
+        warnings.warn(f"{key} is -1: calls of one phone are not limited before the shuffle", stacklevel=3)
+    elif current < limit:
+        raise ValueError(f"a quota of {limit} needs {key} of at least as much; it is {current}")
 
 
 def valid_contestant(calls: DataFrame, num_contestants: int) -> DataFrame:
@@ -80,8 +83,7 @@ def running_call_counts(calls: DataFrame) -> DataFrame:
     """(vote_id, batch_id, n): for every call, its phone's running count after
     the call's batch (same-batch calls share one value)."""
     counts = running_phone_counts(calls)
-    return (calls.select("vote_id", PHONE, BATCH)
-            .join(counts, [PHONE, BATCH], "inner")
+    return (null_safe_join(calls.select("vote_id", PHONE, BATCH), counts, [PHONE, BATCH])
             .select("vote_id", BATCH, "n"))
 
 
@@ -93,7 +95,7 @@ def allowed_phone_batches(calls: DataFrame, max_votes: int) -> DataFrame:
     a ``WindowGroupLimit`` that trims each map task's rows per phone before
     the shuffle.
     """
-    allow_group_limit(calls, max_votes)
+    check_group_limit(calls, max_votes)
     order = Window.partitionBy(PHONE).orderBy(BATCH)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = phone_batch_counts(calls).select(
@@ -115,7 +117,7 @@ def batch_quota_join(calls: DataFrame, max_votes: int, num_contestants: int) ->
     skewed phone's partition of the call side.
     """
     allowed = allowed_phone_batches(calls, max_votes).select(PHONE, BATCH)
-    return valid_contestant(calls, num_contestants).join(allowed, [PHONE, BATCH], "left_semi")
+    return null_safe_join(valid_contestant(calls, num_contestants), allowed, [PHONE, BATCH], "left_semi")
 
 
 def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
@@ -132,7 +134,7 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
     so at most ``max_votes + 1`` calls per phone leave each map task, and
     the running count reuses the same partitioning and sort.
     """
-    allow_group_limit(calls, max_votes + 1)
+    check_group_limit(calls, max_votes + 1)
     order = Window.partitionBy(PHONE).orderBy(BATCH, tie_break)
     through_batch = (Window.partitionBy(PHONE).orderBy(BATCH)
                      .rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -145,7 +147,7 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
 def first_calls(calls: DataFrame, max_votes: int,
                 order: tuple[str, ...] = ("ts", "vote_id")) -> DataFrame:
     """The first ``max_votes`` calls of every phone in arrival ``order``."""
-    allow_group_limit(calls, max_votes)
+    check_group_limit(calls, max_votes)
     w = Window.partitionBy(PHONE).orderBy(*order)
     return (calls.withColumn("_rank", F.row_number().over(w))
             .where(F.col("_rank") <= max_votes)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import boards, kv, metrics, quota, words
 from tallyline.sources.calls import CallViewSpec, call_lines, call_view, parse_calls
-from tallyline.sources.tables import read_table, spread_narrow_scan
+from tallyline.sources.tables import read_table, spread
 from tallyline.sources.text import document_lines
 
 
@@ -26,7 +26,8 @@ class QueryParams:
     1-hour batches, 5-hour windows sliding by 1 hour (the 1:5:1 shape of the
     example run), 600-second batches for idle detection, the last 4 samples
     trimmed and 3 zero samples marking idleness, top 10 on the leaderboard,
-    100 documents per word-count batch."""
+    100 documents per word-count batch, whose scan is dealt to
+    ``word_partitions`` tasks if given."""
 
     max_votes: int = 20
     num_contestants: int = 6
@@ -38,6 +39,7 @@ class QueryParams:
     idle_run: int = 3
     top: int = 10
     docs_per_batch: int = 100
+    word_partitions: int | None = None
 
     @property
     def view(self) -> CallViewSpec:
@@ -160,7 +162,7 @@ def q_idle_batches(spark, data_dir):
 def q_word_counts(spark, data_dir):
     docs = read_table(spark, data_dir, "documents").select(
         F.expr(f"doc_id div {P.docs_per_batch}").alias("batch_id"), "text")
-    return words.word_counts(document_lines(spread_narrow_scan(docs), keep=("batch_id",)))
+    return words.word_counts(document_lines(spread(docs, P.word_partitions), keep=("batch_id",)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

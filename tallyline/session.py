@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # quotas up to this many calls keep their limit before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
@@ -52,8 +54,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    runs and tests) a fresh scratch folder is made and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Only in a local run (one
+    process, as in tests) a fresh scratch folder is made where it is unset; on
+    a cluster a folder of one machine would lose data, so that raises.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -65,6 +68,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir adds a per-application subfolder; report its parent.
         return os.path.dirname(current.rstrip("/"))
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(root)
     return root
@@ -81,28 +86,41 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     once to count and once to write, unless it were cached first.)
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(tables_root(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def tables_root(spark: SparkSession) -> str:
+    """Folder of this application's materialized tables."""
+    return os.path.join(checkpoint_root(spark), "tables", spark.sparkContext.applicationId)
+
+
+def drop_tables(spark: SparkSession) -> bool:
+    """Delete the tables this application materialized; call it when no
+    DataFrame made from them is needed any more. Returns whether there were any."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_root(spark))
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.delete(path, True)
+
+
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
-                 split_bytes: int = 512 << 20, shuffle_bytes: int = 256 << 20) -> dict:
+                 split_bytes: int = 512 << 20, shuffle_bytes: int = 256 << 20,
+                 widest_shuffle_bytes: int | None = None) -> dict:
     """Settings sized for a cluster run over ``input_bytes`` of parquet.
 
     * scan splits of ``split_bytes`` (512 MB): 100 TB gives ~200k scan tasks,
       ~25 waves on 1000 executors x 8 cores;
-    * one initial shuffle partition per ``shuffle_bytes`` (256 MB) of input,
-      at least two per task slot and at most 32768 (more makes map outputs
-      and shuffle metadata grow as maps x reducers). The shuffles here are
-      much smaller than the input after partial aggregation and the map-side
-      group limit (a 10 TB shuffle is ~300 MB per partition at the cap), and
-      AQE coalesces small ones to ``shuffle_bytes`` at runtime;
+    * one initial shuffle partition per ``shuffle_bytes`` (256 MB) of the widest
+      shuffle, at least two per task slot. ``widest_shuffle_bytes`` is the
+      input unless given: word counts and calls joined with their running
+      counts move about as much as they read. AQE merges small partitions up
+      to ``shuffle_bytes`` at runtime;
     * skewed join partitions are split when 5x the median and over 512 MB;
     * the streaming state store uses changelog checkpoints and bounded memory.
     """
     slots = executors * cores_per_executor
-    partitions = max(2 * slots, min(32_768, input_bytes // shuffle_bytes))
+    partitions = max(2 * slots, -(-(widest_shuffle_bytes or input_bytes) // shuffle_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(partitions),

@@ -1,6 +1,6 @@
 """Readers: parquet tables, text lines, the call view and the metric table."""
 
-from tallyline.sources.tables import read_table, spread_narrow_scan
+from tallyline.sources.tables import read_table, spread
 from tallyline.sources.calls import (
     CallViewSpec,
     call_view,
@@ -13,7 +13,7 @@ from tallyline.sources.text import document_lines, read_text_lines
 
 __all__ = [
     "read_table",
-    "spread_narrow_scan",
+    "spread",
     "CallViewSpec",
     "call_view",
     "call_lines",

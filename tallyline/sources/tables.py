@@ -12,14 +12,7 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(data_dir, f"{name}.parquet"))
 
 
-def spread_narrow_scan(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster when its scan yields fewer than half
-    as many partitions as there are task slots (e.g. one large row group).
-
-    For heavy per-row work such as tokenizing long texts. A large table
-    already has many splits and passes through unchanged, with no shuffle.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= target:
-        return df.repartition(target)
-    return df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` dealt evenly to ``partitions`` tasks, for heavy per-row work on a
+    table that Spark cannot split (few, large row groups); None leaves it alone."""
+    return df.repartition(partitions) if partitions else df

@@ -4,11 +4,13 @@ from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProc
 from tallyline.streaming.pipeline import (
     accept_calls,
     accepted_stream,
+    bind_table,
     call_line_stream,
     event_call_stream,
     metric_series_by_time,
     read_accepted,
     read_metric_series,
+    read_window_counts,
     rejected_line_stream,
     start_acceptance,
     start_batch_metrics,
@@ -24,11 +26,13 @@ __all__ = [
     "BatchQuotaProcessor",
     "accept_calls",
     "accepted_stream",
+    "bind_table",
     "call_line_stream",
     "event_call_stream",
     "metric_series_by_time",
     "read_accepted",
     "read_metric_series",
+    "read_window_counts",
     "rejected_line_stream",
     "start_acceptance",
     "start_batch_metrics",

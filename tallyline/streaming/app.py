@@ -57,7 +57,7 @@ class Pipeline:
 def start_vote_pipeline(spark: SparkSession, source: str, out_root: str | None = None,
                         variant: str = "batch", batch_ms: int = 1000, window_ms: int = 5000,
                         slide_ms: int = 1000, max_votes: int = 1, num_contestants: int = 6,
-                        watermark_ms: int | None = None, top: int = 10, once: bool = False,
+                        top: int = 10, once: bool = False,
                         max_files_per_trigger: int | None = None,
                         strict: bool = True) -> Pipeline:
     """Start the vote application on text files of call lines in ``source``.
@@ -88,8 +88,7 @@ def start_vote_pipeline(spark: SparkSession, source: str, out_root: str | None =
         accepted, os.path.join(root, "leaderboard"), os.path.join(ck, "leaderboard"), top, trigger)
     pipe.queries["windows"] = P.start_window_counts(
         accepted, os.path.join(root, "windows"), os.path.join(ck, "windows"),
-        f"{window_ms} milliseconds", f"{slide_ms} milliseconds",
-        f"{watermark_ms or window_ms} milliseconds", trigger)
+        f"{window_ms} milliseconds", f"{slide_ms} milliseconds", trigger)
     return pipe
 
 

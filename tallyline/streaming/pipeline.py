@@ -6,21 +6,25 @@ is kept once:
 * ``start_acceptance``: call stream -> per-phone quota (state store) ->
   contestant check -> ``accepted/batch_id=<k>``.
 * ``start_leaderboard`` / ``start_window_counts``: stream over the accepted
-  table -> running totals (complete mode) / sliding windows (append mode,
-  watermark).
+  table -> running totals (complete mode) / sliding windows (update mode:
+  every window that changed, at every batch).
 * ``start_batch_metrics``: raw input -> ``metrics/batch_id=<k>`` with the
   batch's record count and rate.
 * ``start_word_counts``: text lines -> per-batch word counts.
 
-Every sink writes one folder per micro-batch id and skips a batch whose folder
-is already committed, so a batch replayed after a failure is not written
-twice. Checkpoints and outputs belong in the shared folder named by
+Every sink writes one folder per micro-batch id. A batch is written beside the
+table and moved in when it is whole, so a reader never sees half a batch, and
+a batch replayed after a failure runs again (its state must be committed) but
+leaves the folder that readers may have read already. Batch ids belong to one
+query, so a table records the id of the query that writes it and refuses any
+other. Checkpoints and outputs belong in the shared folder named by
 ``spark.checkpoint.dir`` (see :func:`tallyline.session.checkpoint_root`).
 """
 
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,23 +164,89 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
 
 # ---------------------------------------------------------------- sinks
 
-def _committed(spark: SparkSession, folder: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(path)
+class _Folder:
+    """A path in whatever store holds it (Spark has no public call for these
+    four operations)."""
+
+    def __init__(self, spark: SparkSession, *parts: str):
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))
+        self.store = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.store.exists(self.path)
+
+    def move_to(self, target: _Folder) -> None:
+        if target.exists():
+            target.store.delete(target.path, True)
+        if not self.store.rename(self.path, target.path):
+            raise OSError(f"{self.path} could not be moved to {target.path}")
+
+    def read(self) -> str:
+        stream = self.store.open(self.path)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+
+    def create(self, text: str) -> bool:
+        """Write ``text`` unless the file is there already."""
+        if self.exists():
+            return False
+        stream = self.store.create(self.path, False)
+        stream.writeUTF(text)
+        stream.close()
+        return True
+
+
+def bind_table(spark: SparkSession, table_dir: str, query_id: str) -> None:
+    """Record that query ``query_id`` writes ``table_dir``; raise if another does.
+
+    The id stays the same over restarts from one checkpoint. A new checkpoint
+    counts its batches from 0 again, so it needs a new table.
+    """
+    owner = _Folder(spark, table_dir, "_query_id")
+    if owner.create(query_id):
+        return
+    found = owner.read()
+    if found != query_id:
+        raise ValueError(f"{table_dir} is written by streaming query {found}, not {query_id}: "
+                         "a new checkpoint needs a new output folder")
 
 
 def write_batch(df: DataFrame, table_dir: str, batch_id: int) -> bool:
-    """Write ``df`` as ``<table_dir>/batch_id=<batch_id>`` unless that batch is
-    already committed. Returns whether it wrote."""
-    folder = os.path.join(table_dir, f"batch_id={batch_id}")
-    if _committed(df.sparkSession, folder):
+    """Write ``df`` as ``<table_dir>/batch_id=<batch_id>``, all of it or
+    nothing. If the batch is there already the plan still runs, as state
+    stores commit with it, and the folder stays as readers know it. Returns
+    whether it wrote."""
+    spark = df.sparkSession
+    target = _Folder(spark, table_dir, f"batch_id={batch_id}")
+    if _Folder(spark, table_dir, f"batch_id={batch_id}", "_SUCCESS").exists():
+        df.write.format("noop").mode("overwrite").save()
         return False
-    df.write.mode("overwrite").parquet(folder)
+    staged = os.path.join(table_dir, "_staging", f"batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(staged)
+    _Folder(spark, staged).move_to(target)
     return True
 
 
+def _start_table(stream: DataFrame, rows, table_dir: str, checkpoint: str, trigger: dict | None,
+                 name: str | None, mode: str = "append") -> StreamingQuery:
+    """Write ``rows(batch, batch_id)`` of every micro-batch to ``table_dir``."""
+    started = threading.Event()
+    query: list[StreamingQuery] = []
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        if not started.wait(300):
+            raise TimeoutError("the streaming query did not report its id")
+        bind_table(df.sparkSession, table_dir, query[0].id)
+        write_batch(rows(df, batch_id), table_dir, batch_id)
+
+    query.append(_start(stream.writeStream.outputMode(mode).foreachBatch(sink), checkpoint, trigger, name))
+    started.set()
+    return query[0]
+
+
 def _start(writer, checkpoint: str, trigger: dict | None, name: str | None) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     if trigger:
@@ -189,20 +259,17 @@ def _start(writer, checkpoint: str, trigger: dict | None, name: str | None) -> S
 def start_acceptance(accepted: DataFrame, accepted_dir: str, checkpoint: str,
                      trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
     """Append each micro-batch's accepted calls to the accepted table."""
-    def sink(df: DataFrame, batch_id: int) -> None:
-        write_batch(df, accepted_dir, batch_id)
-    return _start(accepted.writeStream.foreachBatch(sink), checkpoint, trigger, name)
+    return _start_table(accepted, lambda df, _: df, accepted_dir, checkpoint, trigger, name)
 
 
 def start_batch_metrics(records: DataFrame, metrics_dir: str, checkpoint: str, batch_ms: int,
                         trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
     """One row per micro-batch: batch_start (now), n, rate = n * 1000 / batch_ms."""
-    def sink(df: DataFrame, batch_id: int) -> None:
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(
+    def row(df: DataFrame, batch_id: int) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(
             F.current_timestamp().alias("batch_start"), "n",
             rate_per_second(F.col("n"), batch_ms).alias("rate"))
-        write_batch(row, metrics_dir, batch_id)
-    return _start(records.writeStream.foreachBatch(sink), checkpoint, trigger, name)
+    return _start_table(records, row, metrics_dir, checkpoint, trigger, name)
 
 
 def start_leaderboard(accepted: DataFrame, board_dir: str, checkpoint: str, top: int = 10,
@@ -211,11 +278,9 @@ def start_leaderboard(accepted: DataFrame, board_dir: str, checkpoint: str, top:
     re-emitted each batch); each batch's top ``top`` is written."""
     totals = boards.contestant_totals(accepted)
 
-    def sink(df: DataFrame, batch_id: int) -> None:
-        board = df.orderBy(F.desc("total"), F.asc("contestant_number")).limit(top)
-        write_batch(board, board_dir, batch_id)
-    return _start(totals.writeStream.outputMode("complete").foreachBatch(sink),
-                  checkpoint, trigger, name)
+    def board(df: DataFrame, batch_id: int) -> DataFrame:
+        return df.orderBy(F.desc("total"), F.asc("contestant_number")).limit(top)
+    return _start_table(totals, board, board_dir, checkpoint, trigger, name, "complete")
 
 
 def start_console_leaderboard(accepted: DataFrame, top: int = 10, checkpoint: str | None = None,
@@ -236,31 +301,34 @@ def start_console_leaderboard(accepted: DataFrame, top: int = 10, checkpoint: st
 
 
 def start_window_counts(accepted: DataFrame, windows_dir: str, checkpoint: str,
-                        size: str, slide: str, watermark: str,
+                        size: str, slide: str,
                         trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Sliding-window counts per contestant over ``ts``. Append mode: a
-    window is written once, when the watermark passes its end."""
-    counted = (accepted.withWatermark("ts", watermark)
-               .groupBy(F.window("ts", size, slide).alias("w"), "contestant_number")
+    """Sliding-window counts per contestant over ``ts``. Every batch writes the
+    counts so far of the windows it changed, the running one included;
+    :func:`read_window_counts` gives the latest of each. There is no watermark,
+    so no call is too late, and state holds one count per window and contestant."""
+    counted = (accepted.groupBy(F.window("ts", size, slide).alias("w"), "contestant_number")
                .agg(F.count(F.lit(1)).alias("n"))
                .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                        "contestant_number", "n"))
+    return _start_table(counted, lambda df, _: df, windows_dir, checkpoint, trigger, name, "update")
 
-    def sink(df: DataFrame, batch_id: int) -> None:
-        write_batch(df, windows_dir, batch_id)
-    return _start(counted.writeStream.outputMode("append").foreachBatch(sink),
-                  checkpoint, trigger, name)
+
+def read_window_counts(spark: SparkSession, windows_dir: str) -> DataFrame:
+    """(window_start, window_end, contestant_number, n): the latest count of every window."""
+    return spark.read.parquet(windows_dir).groupBy("window_start", "window_end", "contestant_number").agg(
+        F.max_by("n", "batch_id").alias("n"))
 
 
 def start_word_counts(lines: DataFrame, counts_dir: str, checkpoint: str,
                       trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
     """Word counts of each micro-batch's lines (not running totals)."""
-    def sink(df: DataFrame, batch_id: int) -> None:
+    def counts(df: DataFrame, batch_id: int) -> DataFrame:
         # each row of a text source is already one line
         batch_lines = df.select(F.lit(batch_id).cast("bigint").alias("batch_id"),
                                 F.col("value").alias("line"))
-        write_batch(words.word_counts(batch_lines).drop("batch_id"), counts_dir, batch_id)
-    return _start(lines.writeStream.foreachBatch(sink), checkpoint, trigger, name)
+        return words.word_counts(batch_lines).drop("batch_id")
+    return _start_table(lines, counts, counts_dir, checkpoint, trigger, name)
 
 
 # ---------------------------------------------------------------- metric readers

@@ -46,7 +46,7 @@ class BatchQuotaProcessor(StatefulProcessor):
         self.count = handle.getValueState("calls", COUNT_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self.count.get()[0] if self.count.exists() else 0
+        before = (self.count.get() or (0,))[0]
         seen = 0
         chunks: set = set()
         held: list[Row] = []
@@ -90,7 +90,7 @@ class ArrivalQuotaProcessor(StatefulProcessor):
         self.used = handle.getValueState("accepted", COUNT_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        used = self.used.get()[0] if self.used.exists() else 0
+        used = (self.used.get() or (0,))[0]
         room = self.max_votes - used
         if room <= 0:
             for _ in rows:

@@ -215,3 +215,43 @@ def test_next_in_order_and_explode_range(spark, rows, block):
     spans = explode_range(df, F.col("b"), F.col("b") + F.col("k") * 3, "x", ["k", "b"], block)
     assert sorted((r.k, r.b, r.x) for r in spans.collect()) == \
         sorted((k, b, x) for k, b in rows for x in range(b, b + k * 3 + 1))
+
+
+def test_null_phones_and_times_are_calls_like_any_other(spark):
+    """The forms of the batch rule agree with each other and with plain counting."""
+    rows = [(1, 5, 1, 0, 0), (2, None, 1, 0, 0), (3, None, 2, 0, 1), (4, 5, 3, 0, None), (5, 7, 1, 0, None),
+            (6, None, 1, 0, 2), (7, 7, 2, 0, 3)]
+    calls = spark.createDataFrame(rows, "vote_id bigint, phone_number bigint, contestant_number int, "
+                                        "timestamp int, batch_id bigint")
+
+    def after(vote, phone, batch):
+        at = (batch is not None, batch or 0)
+        return sum(1 for _, p, _, _, b in rows if p == phone and (b is not None, b or 0) <= at)
+
+    want = {(v, b, after(v, p, b)) for v, p, _, _, b in rows}
+    assert {tuple(r) for r in quota.running_call_counts(calls).collect()} == want
+    allowed = sorted(v for v, _, n in want if n <= 2)
+    for form in (quota.batch_quota, quota.batch_quota_join):
+        assert sorted(r.vote_id for r in form(calls, 2, 6).collect()) == allowed
+
+
+def test_a_quota_above_the_group_limit_is_refused(spark):
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    calls = spark.createDataFrame([], "vote_id bigint, phone_number bigint, contestant_number int, ts bigint, batch_id bigint")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
+            quota.arrival_quota(calls, 11, 6)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_last_write_of_a_repeated_key_does_not_depend_on_order(spark):
+    from tallyline.operators.kv import latest_per_key
+
+    writes = [("a", "1 5 2 0", 9), ("a", "1 6 2 0", 9), ("a", "1 7 2 0", 8), ("b", "2 5 2 0", 1)]
+    for some in (writes, writes[::-1]):
+        df = spark.createDataFrame(some, "key string, value string, ts bigint")
+        got = {r.key: r.value for r in latest_per_key(df, ("ts",)).collect()}
+        assert got == {"a": "1 6 2 0", "b": "2 5 2 0"}

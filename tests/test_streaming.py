@@ -131,26 +131,22 @@ def test_event_stream_equals_batch_with_restart(spark, scratch, event_chunks, va
                              quota.batch_quota(view, 20, 6).select("vote_id", "batch_id").collect()}
 
 
-def test_window_stream_closed_windows_equal_batch(spark, scratch, event_chunks):
+def window_rows(df):
+    return sorted((r.window_start, r.contestant_number, r.n) for r in df.collect())
+
+
+def test_window_stream_equals_batch_for_every_window(spark, scratch, event_chunks):
     src = os.path.join(scratch, "events")
     acc_dir = os.path.join(scratch, "accepted")
-    place(event_chunks, src, range(10))
-    calls = S.event_call_stream(spark, src, max_files_per_trigger=1)
+    place(event_chunks, src, [9, *range(9)])
+    calls = S.event_call_stream(spark, src, max_files_per_trigger=4)
     S.start_acceptance(S.accept_calls(calls, "arrival", 20, 6), acc_dir,
                        os.path.join(scratch, "ck"), ONCE).awaitTermination()
     win_dir = os.path.join(scratch, "windows")
     S.start_window_counts(S.accepted_stream(spark, acc_dir, 1), win_dir,
-                          os.path.join(scratch, "ck_w"), "5 hours", "1 hour", "10 days",
-                          ONCE).awaitTermination()
-    streamed = {(r.window_start, r.contestant_number, r.n)
-                for r in spark.read.parquet(win_dir).collect()}
+                          os.path.join(scratch, "ck_w"), "5 hours", "1 hour", ONCE).awaitTermination()
     batch = boards.sliding_window_counts(S.read_accepted(spark, acc_dir), "ts", 5 * 3600, 3600)
-    batch_rows = {(r.window_start, r.contestant_number, r.n) for r in batch.collect()}
-    assert streamed, "some windows close before the end of the replay"
-    assert streamed <= batch_rows
-    # every window that ends before the last closed one was emitted
-    last_end = max(s for s, _, _ in streamed)
-    assert {row for row in batch_rows if row[0] <= last_end} == streamed
+    assert window_rows(S.read_window_counts(spark, win_dir)) == window_rows(batch)
 
 
 def test_batch_metrics_stream(spark, scratch):
@@ -184,13 +180,73 @@ def test_word_count_stream(spark, scratch):
     assert got == want
 
 
-def test_write_batch_is_idempotent(spark, scratch):
-    df = spark.range(3)
+def test_write_batch_runs_a_replay_and_keeps_what_readers_know(spark, scratch):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3).mapInArrow(count, "id bigint")
     assert S.write_batch(df, scratch, 7)
-    assert not S.write_batch(spark.range(5), scratch, 7)
+    files = sorted(glob.glob(os.path.join(scratch, "batch_id=7", "*")))
+    assert not S.write_batch(df, scratch, 7)
+    assert ran.value == 6
+    assert sorted(glob.glob(os.path.join(scratch, "batch_id=7", "*"))) == files
     assert spark.read.parquet(scratch).count() == 3
 
 
+def accept_sample(spark, src, out, ck):
+    calls = S.call_line_stream(spark, src, max_files_per_trigger=1)
+    S.start_acceptance(S.accept_calls(calls, "batch", 1, 6), out, ck, ONCE).awaitTermination()
+
+
+def follow(spark, scratch, out):
+    board = os.path.join(scratch, "board")
+    S.start_leaderboard(S.accepted_stream(spark, out), board, os.path.join(scratch, "ck_board"), 10,
+                        ONCE).awaitTermination()
+    table = spark.read.parquet(board)
+    last = table.agg(F.max("batch_id")).first()[0]
+    return {r.contestant_number: r.total for r in table.where(F.col("batch_id") == last).collect()}
+
+
+@pytest.mark.parametrize("partial", [False, True])
+def test_replay_after_a_crash_changes_nothing_downstream(spark, scratch, partial):
+    """The process dies after a batch's folder was written and before the
+    batch was recorded; or while the folder was being written."""
+    src, out, ck = (os.path.join(scratch, n) for n in ("in", "accepted", "ck"))
+    lines = sample_lines()
+    stage_text(src, [lines[i:i + 10] for i in range(0, 40, 10)])
+    accept_sample(spark, src, out, ck)
+    want = model.batch_quota(sample_calls(10), 1, 6)
+    totals = dict(model.totals(sample_calls(10), want))
+    if not partial:
+        assert follow(spark, scratch, out) == totals
+    last = max(int(f) for f in os.listdir(os.path.join(ck, "commits")) if f.isdigit())
+    for f in (f"{last}", f".{last}.crc"):
+        os.remove(os.path.join(ck, "commits", f))
+    if partial:
+        os.makedirs(os.path.join(out, "_staging", f"batch_id={last}"), exist_ok=True)
+        shutil.move(os.path.join(out, f"batch_id={last}"), os.path.join(out, "_staging", f"batch_id={last}", "half"))
+    accept_sample(spark, src, out, ck)
+    accept_sample(spark, src, out, ck)
+    assert vote_ids(S.read_accepted(spark, out)) == want
+    assert follow(spark, scratch, out) == totals
+
+
+def test_a_new_checkpoint_over_an_old_table_fails_and_loses_nothing(spark, scratch):
+    src, out = os.path.join(scratch, "in"), os.path.join(scratch, "accepted")
+    lines = sample_lines()
+    stage_text(src, [lines[:20], lines[20:]])
+    accept_sample(spark, src, out, os.path.join(scratch, "ck"))
+    before = vote_ids(S.read_accepted(spark, out))
+    with pytest.raises(Exception, match="needs a new output folder"):
+        accept_sample(spark, src, out, os.path.join(scratch, "ck_new"))
+    assert vote_ids(S.read_accepted(spark, out)) == before
+    assert os.listdir(os.path.join(scratch, "ck_new", "commits")) == []
+
+
 def test_batch_word_counts_of_lines_table(spark):
     docs = spark.createDataFrame([(0, "x y\nx"), (0, "y"), (1, "")], "batch_id bigint, text string")
     got = {(r.batch_id, r.word, r.n) for r in
@@ -229,6 +285,8 @@ def test_vote_pipeline_once(spark, scratch):
     last = boards_read.agg(F.max("batch_id")).first()[0]
     assert {r.contestant_number: r.total for r in
             boards_read.where(F.col("batch_id") == last).collect()} == dict(model.totals(fixture, want))
+    batch = boards.sliding_window_counts(S.read_accepted(spark, os.path.join(pipe.root, "accepted")), "ts", 5, 1)
+    assert window_rows(S.read_window_counts(spark, os.path.join(pipe.root, "windows"))) == window_rows(batch)
     recorded = sorted((r.batch_id, r.n) for r in
                       S.read_metric_series(spark, os.path.join(pipe.root, "metrics")).collect())
     assert recorded == [(0, 10), (1, 10), (2, 10), (3, 10)]
