@@ -35,11 +35,14 @@ HASH_BITS = 17
 SAMPLE_ROWS = 6000
 MEMORY = 300_000  # words whose features a worker remembers
 
-_SYMBOL = re.compile(rb"[#*$%&|<>{}\[\]\\^~=+_@]")
-_MARK = re.compile(rb"[!?]")
-_UPPER = re.compile(rb"[A-Z]")
-_DIGIT = re.compile(rb"[0-9]")
-_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+#: Fixed byte classes of the labellers.
+SYMBOLS = b"#*$%&|<>{}[]\\^~=+_@"
+MARKS = b"!?"
+CAPITALS = bytes(range(65, 91))
+DIGITS = bytes(range(48, 58))
+_LETTERS = frozenset([*range(65, 91), *range(97, 123), *range(128, 256)])
+_GAPS = frozenset([*range(9, 14), 32])
+_NEITHER = bytes(b for b in range(256) if b not in _LETTERS and b not in _GAPS)
 _RUN = re.compile(rb"(.)\1+", re.S)
 
 LABELLERS = ("length", "word_length", "symbols", "marks", "capitals", "digits", "repeated_lines",
@@ -55,43 +58,59 @@ def label(raw: bytes) -> list:
         return votes + [None] * (len(LABELLERS) - 1)
     size = sum(map(len, words))
 
+    def among(chosen: bytes) -> int:
+        return len(raw) - len(raw.translate(None, chosen))
+
     def below(share: float, good: float, bad: float):
         return 1 if share <= good else 0 if share > bad else None
 
     mean = size / n
     votes.append(0 if not 2.5 <= mean <= 14 else 1 if 3.5 <= mean <= 11 else None)
-    votes.append(below(len(_SYMBOL.findall(raw)) / n, 0.03, 0.15))
-    votes.append(below(len(_MARK.findall(raw)) / n, 0.08, 0.3))
-    votes.append(below(len(_UPPER.findall(raw)) / size, 0.15, 0.3))
-    votes.append(below(len(_DIGIT.findall(raw)) / size, 0.1, 0.3))
+    votes.append(below(among(SYMBOLS) / n, 0.03, 0.15))
+    votes.append(below(among(MARKS) / n, 0.08, 0.3))
+    votes.append(below(among(CAPITALS) / size, 0.15, 0.3))
+    votes.append(below(among(DIGITS) / size, 0.1, 0.3))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     votes.append(below(1 - len(set(lines)) / len(lines), 0.02, 0.3) if len(lines) > 1 else None)
     variety = len(set(words)) / n ** 0.75
     votes.append((0 if variety < 0.5 else 1 if variety > 1.0 else None) if n >= 50 else None)
-    votes.append(below(sum(1 for w in words if not _LETTER.search(w)) / n, 0.05, 0.2))
+    votes.append(below(1 - len(raw.translate(None, _NEITHER).split()) / n, 0.05, 0.2))
     return votes
 
 
+_SHAPE = bytes(65 if b in CAPITALS else 48 if b in DIGITS else 97 if b in _LETTERS else b for b in range(256))
+
+
 class Features:
     """Hashed word and word-shape buckets of a text's words."""
 
     def __init__(self):
-        self.place: dict[bytes, tuple[int, int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.table = np.zeros((1 << 12, 2), np.int32)
 
-    def _new(self, word: bytes) -> tuple[int, int]:
+    @staticmethod
+    def _new(word: bytes) -> tuple[int, int]:
         mask = (1 << HASH_BITS) - 1
-        shape = _RUN.sub(rb"\1", _UPPER.sub(b"A", _DIGIT.sub(b"0", re.sub(rb"[a-z\x80-\xff]", b"a", word))))
-        return zlib.crc32(word) & mask, zlib.crc32(b"\0" + shape) & mask
+        return zlib.crc32(word) & mask, zlib.crc32(b"\0" + _RUN.sub(rb"\1", word.translate(_SHAPE))) & mask
 
     def __call__(self, raw: bytes) -> np.ndarray:
         """One row of two bucket numbers per word."""
         words = raw.split()
-        if len(self.place) > MEMORY:
-            self.place = {}
-        place = self.place
-        for word in set(words).difference(place):
-            place[word] = self._new(word)
-        return np.array([place[w] for w in words], dtype=np.int32).reshape(-1, 2)
+        new = set(words).difference(self.place)
+        if len(self.place) + len(new) > MEMORY:
+            self._forget()
+            new = set(words)
+        if new:
+            at = len(self.place)
+            if at + len(new) > len(self.table):
+                more = np.zeros((max(at + len(new) - len(self.table), len(self.table)), 2), np.int32)
+                self.table = np.concatenate([self.table, more])
+            self.table[at:at + len(new)] = [self._new(w) for w in new]
+            self.place.update(zip(new, range(at, at + len(new))))
+        return self.table[np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
 @dataclass
