@@ -144,13 +144,16 @@ def votes(m: str, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def measured(df: DataFrame, text_col: str = "text",
-             rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str, str]:
-    """``df`` with the measures and the votes of each row, written once to the
-    shared folder: the label model and its application both read them, and the
-    texts are gone through once. Returns the frame and the two column names."""
+             rules: tuple[Rule, ...] = RULES, keep_text: bool = True) -> tuple[DataFrame, str, str]:
+    """``df`` (without its text unless ``keep_text``) with the measures and the
+    votes of each row, written once to the shared folder: the label model and its
+    application both read them, and the texts are gone through once. Returns the
+    frame and the two column names."""
     m = free_name(df, "measures")
     v = free_name(df, "votes")
     out = df.withColumn(m, measures(F.col(text_col)))
+    if not keep_text:
+        out = out.drop(text_col)
     return materialize(out.withColumn(v, votes(m, rules)), "quality-votes"), m, v
 
 
@@ -213,8 +216,8 @@ def fit(rows: DataFrame, v: str, rules: tuple[Rule, ...] = RULES, steps: int = 1
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    threshold: float = 0.5) -> DataFrame:
     """Measures, posterior and verdict of each row of ``df``."""
-    rows, m, v = measured(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    rows = rows.drop("text")
+    rows, m, v = measured(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+                         keep_text=False)
     model = fit(rows, v)
     p = posterior(v, model)
     return rows.select(
