@@ -4,6 +4,7 @@ import base64
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from llm_fixture import clashing, folder, frame, rows, same_rows
 
 from tallyline.llm import bitpack, bpe, packing, queries
-from tallyline.llm.token_ids import PartEncoder
+from tallyline.llm.token_ids import PART, PartEncoder, key_of, keys_in, part_of
 
 RANKS = P.path(queries.RANKS)
 TOKENIZER = P.path(queries.TOKENIZER)
@@ -80,6 +81,23 @@ def test_part_encoder_equals_the_library(texts):
 _KEPT = []
 
 
+SPLITS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x1c", "\0", "word", "Éß", "\u024f", "\u0250", "中", "7",
+          ".", ",\"", "'", "'ll", "[", "\\", "`", "{", "~", "<|endoftext|>", "×"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SPLITS), max_size=14).map("".join))
+def test_evident_words_and_others_equal_the_library(text):
+    keys = keys_in(text)
+    assert [part_of(k) for k in keys] == PART.findall(text) and [key_of(part_of(k)) for k in keys] == keys
+    assert part_encoder()(text).tolist() == plain_tokenizer_once().encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=1)
+def plain_tokenizer_once():
+    return plain_tokenizer()
+
+
 def part_encoder():
     if not _KEPT:
         _KEPT.append(PartEncoder(TOKENIZER, memory=50))  # small, so that it is dropped often
