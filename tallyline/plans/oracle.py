@@ -9,7 +9,7 @@ plans use, so agreement checks the rewrites too. Parameters are those of
 from __future__ import annotations
 
 
-def _calls(batch_seconds: int = 3600) -> str:
+def calls_sql(batch_seconds: int = 3600) -> str:
     width_us = batch_seconds * 1_000_000
     return f"""calls AS (
   SELECT event_id AS vote_id,
@@ -21,21 +21,21 @@ def _calls(batch_seconds: int = 3600) -> str:
   FROM events)"""
 
 
-_RUNNING = """running AS (
+RUNNING = """running AS (
   SELECT *, count(*) OVER (PARTITION BY phone_number ORDER BY batch_id
                            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n
   FROM calls)"""
 
-_BATCH_ACCEPTED = """batch_acc AS (
+BATCH_ACCEPTED = """batch_acc AS (
   SELECT * FROM running WHERE n <= 20 AND contestant_number <= 6)"""
 
-_ARRIVAL_ACCEPTED = """ranked AS (
+ARRIVAL_ACCEPTED = """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY phone_number ORDER BY ts, vote_id) AS rk FROM calls),
 acc AS (SELECT * FROM ranked WHERE rk <= 20 AND contestant_number <= 6)"""
 
 
 def _metric_series(batch_seconds: int) -> str:
-    return f"""{_calls(batch_seconds)},
+    return f"""{calls_sql(batch_seconds)},
 counted AS (SELECT batch_id, count(*) AS n FROM calls GROUP BY batch_id),
 spine AS (SELECT unnest(generate_series((SELECT min(batch_id) FROM counted),
                                         (SELECT max(batch_id) FROM counted))) AS batch_id),
@@ -59,42 +59,42 @@ FROM fanned GROUP BY window_start, contestant_number"""
 _RENDER = """concat_ws(' ', vote_id, phone_number, contestant_number, "timestamp")"""
 
 ORACLE_SQL: dict[str, str] = {
-    "parse_calls": f"""WITH {_calls()},
+    "parse_calls": f"""WITH {calls_sql()},
 lines AS (SELECT {_RENDER} AS value FROM calls),
 parts AS (SELECT string_split(value, ' ') AS p FROM lines)
 SELECT CAST(p[1] AS BIGINT) AS vote_id, CAST(p[2] AS BIGINT) AS phone_number,
        CAST(p[3] AS INTEGER) AS contestant_number, CAST(p[4] AS INTEGER) AS "timestamp"
 FROM parts""",
 
-    "valid_contestant_calls": f"""WITH {_calls()}
+    "valid_contestant_calls": f"""WITH {calls_sql()}
 SELECT vote_id, phone_number, contestant_number FROM calls WHERE contestant_number <= 6""",
 
-    "running_call_counts": f"""WITH {_calls()}, {_RUNNING}
+    "running_call_counts": f"""WITH {calls_sql()}, {RUNNING}
 SELECT vote_id, batch_id, n FROM running""",
 
-    "allowed_phones": f"""WITH {_calls()}, {_RUNNING}
+    "allowed_phones": f"""WITH {calls_sql()}, {RUNNING}
 SELECT DISTINCT phone_number, batch_id, n FROM running WHERE n <= 20""",
 
-    "batch_quota": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
+    "batch_quota": f"""WITH {calls_sql()}, {RUNNING}, {BATCH_ACCEPTED}
 SELECT vote_id, contestant_number FROM batch_acc""",
 
-    "batch_quota_join": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
+    "batch_quota_join": f"""WITH {calls_sql()}, {RUNNING}, {BATCH_ACCEPTED}
 SELECT vote_id, contestant_number FROM batch_acc""",
 
-    "arrival_quota": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED}
+    "arrival_quota": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED}
 SELECT vote_id, contestant_number FROM acc""",
 
-    "contestant_totals_by_batch": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED},
+    "contestant_totals_by_batch": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED},
 per_batch AS (SELECT contestant_number, batch_id, count(*) AS c FROM acc GROUP BY 1, 2)
 SELECT contestant_number, batch_id,
        CAST(sum(c) OVER (PARTITION BY contestant_number ORDER BY batch_id) AS BIGINT) AS total
 FROM per_batch""",
 
-    "leaderboard": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED}
+    "leaderboard": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED}
 SELECT contestant_number, count(*) AS total FROM acc
 GROUP BY contestant_number ORDER BY total DESC, contestant_number LIMIT 10""",
 
-    "leaderboard_history": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED},
+    "leaderboard_history": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED},
 per_batch AS (SELECT contestant_number, batch_id, count(*) AS c FROM acc GROUP BY 1, 2),
 spine AS (SELECT unnest(generate_series((SELECT min(batch_id) FROM per_batch),
                                         (SELECT max(batch_id) FROM per_batch))) AS batch_id),
@@ -111,24 +111,24 @@ boards AS (
   FROM totals)
 SELECT batch_id, rank, contestant_number, total FROM boards WHERE rank <= 10""",
 
-    "leaderboard_batch_quota": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
+    "leaderboard_batch_quota": f"""WITH {calls_sql()}, {RUNNING}, {BATCH_ACCEPTED}
 SELECT contestant_number, count(*) AS total FROM batch_acc
 GROUP BY contestant_number ORDER BY total DESC, contestant_number LIMIT 10""",
 
-    "window_contestant_counts": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED},
+    "window_contestant_counts": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED},
 {_windows("acc")}""",
 
-    "window_counts_batch_quota": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED},
+    "window_counts_batch_quota": f"""WITH {calls_sql()}, {RUNNING}, {BATCH_ACCEPTED},
 {_windows("batch_acc")}""",
 
-    "vote_kv_latest": f"""WITH {_calls()}, {_ARRIVAL_ACCEPTED},
+    "vote_kv_latest": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED},
 writes AS (
   SELECT CAST(phone_number AS VARCHAR) AS key, {_RENDER} AS value,
          row_number() OVER (PARTITION BY phone_number ORDER BY ts DESC, vote_id DESC) AS rn
   FROM acc)
 SELECT key, value FROM writes WHERE rn = 1""",
 
-    "vote_kv_store": f"""WITH {_calls()}, {_RUNNING}, {_BATCH_ACCEPTED}
+    "vote_kv_store": f"""WITH {calls_sql()}, {RUNNING}, {BATCH_ACCEPTED}
 SELECT CAST(vote_id AS VARCHAR) AS key, {_RENDER} AS value FROM batch_acc""",
 
     "batch_counts": f"""WITH {_metric_series(3600)}

@@ -1,7 +1,10 @@
 """Streaming forms: keyed quota state, chained queries, idempotent sinks."""
 
-from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProcessor
+from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProcessor, trim_chunks
 from tallyline.streaming.pipeline import (
+    CALL_STREAM_SCHEMA,
+    EVENTS_SCHEMA,
+    TRIMMED_BATCH_SCHEMA,
     accept_calls,
     accepted_stream,
     bind_table,
@@ -24,6 +27,9 @@ from tallyline.streaming.pipeline import (
 __all__ = [
     "ArrivalQuotaProcessor",
     "BatchQuotaProcessor",
+    "CALL_STREAM_SCHEMA",
+    "EVENTS_SCHEMA",
+    "TRIMMED_BATCH_SCHEMA",
     "accept_calls",
     "accepted_stream",
     "bind_table",
@@ -40,5 +46,6 @@ __all__ = [
     "start_leaderboard",
     "start_window_counts",
     "start_word_counts",
+    "trim_chunks",
     "write_batch",
 ]

@@ -32,12 +32,6 @@ from tallyline.session import build_session, checkpoint_root
 from tallyline.streaming import pipeline as P
 
 
-def _ensure_dir(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-
-
 @dataclass
 class Pipeline:
     """Started queries by name, and the output folder."""
@@ -69,7 +63,7 @@ def start_vote_pipeline(spark: SparkSession, source: str, out_root: str | None =
     root = out_root or os.path.join(checkpoint_root(spark), "votes")
     ck = os.path.join(root, "_checkpoints")
     accepted_dir = os.path.join(root, "accepted")
-    _ensure_dir(spark, accepted_dir)
+    P.Folder(spark, accepted_dir).make()
     trigger = {"availableNow": True} if once else {"processingTime": f"{batch_ms} milliseconds"}
     pipe = Pipeline(root)
 

@@ -61,6 +61,21 @@ CALL_STREAM_SCHEMA = T.StructType([
 
 ACCEPTED_SCHEMA = T.StructType(CALL_STREAM_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
 
+METRICS_SCHEMA = T.StructType([
+    T.StructField("batch_start", T.TimestampType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("rate", T.DoubleType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+WINDOWS_SCHEMA = T.StructType([
+    T.StructField("window_start", T.TimestampType()),
+    T.StructField("window_end", T.TimestampType()),
+    T.StructField("contestant_number", T.IntegerType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
 
 # ---------------------------------------------------------------- sources
 
@@ -149,7 +164,7 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
     rows = calls.select(*CALL_STREAM_SCHEMA.fieldNames())
     if pretrim:
         schema = TRIMMED_BATCH_SCHEMA if variant == "batch" else CALL_STREAM_SCHEMA
-        rows = rows.mapInPandas(trim_chunks(variant, max_votes, order), schema)
+        rows = rows.mapInArrow(trim_chunks(variant, max_votes, order), schema)
     if variant == "batch":
         processor = BatchQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, trimmed=pretrim,
                                         ttl_ms=state_ttl_ms)
@@ -164,9 +179,9 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
 
 # ---------------------------------------------------------------- sinks
 
-class _Folder:
+class Folder:
     """A path in whatever store holds it (Spark has no public call for these
-    four operations)."""
+    five operations)."""
 
     def __init__(self, spark: SparkSession, *parts: str):
         jvm = spark.sparkContext._jvm
@@ -176,7 +191,10 @@ class _Folder:
     def exists(self) -> bool:
         return self.store.exists(self.path)
 
-    def move_to(self, target: _Folder) -> None:
+    def make(self) -> None:
+        self.store.mkdirs(self.path)
+
+    def move_to(self, target: Folder) -> None:
         if target.exists():
             target.store.delete(target.path, True)
         if not self.store.rename(self.path, target.path):
@@ -205,7 +223,7 @@ def bind_table(spark: SparkSession, table_dir: str, query_id: str) -> None:
     The id stays the same over restarts from one checkpoint. A new checkpoint
     counts its batches from 0 again, so it needs a new table.
     """
-    owner = _Folder(spark, table_dir, "_query_id")
+    owner = Folder(spark, table_dir, "_query_id")
     if owner.create(query_id):
         return
     found = owner.read()
@@ -220,13 +238,13 @@ def write_batch(df: DataFrame, table_dir: str, batch_id: int) -> bool:
     stores commit with it, and the folder stays as readers know it. Returns
     whether it wrote."""
     spark = df.sparkSession
-    target = _Folder(spark, table_dir, f"batch_id={batch_id}")
-    if _Folder(spark, table_dir, f"batch_id={batch_id}", "_SUCCESS").exists():
+    target = Folder(spark, table_dir, f"batch_id={batch_id}")
+    if Folder(spark, table_dir, f"batch_id={batch_id}", "_SUCCESS").exists():
         df.write.format("noop").mode("overwrite").save()
         return False
     staged = os.path.join(table_dir, "_staging", f"batch_id={batch_id}")
     df.write.mode("overwrite").parquet(staged)
-    _Folder(spark, staged).move_to(target)
+    Folder(spark, staged).move_to(target)
     return True
 
 
@@ -316,7 +334,7 @@ def start_window_counts(accepted: DataFrame, windows_dir: str, checkpoint: str,
 
 def read_window_counts(spark: SparkSession, windows_dir: str) -> DataFrame:
     """(window_start, window_end, contestant_number, n): the latest count of every window."""
-    return spark.read.parquet(windows_dir).groupBy("window_start", "window_end", "contestant_number").agg(
+    return spark.read.schema(WINDOWS_SCHEMA).parquet(windows_dir).groupBy("window_start", "window_end", "contestant_number").agg(
         F.max_by("n", "batch_id").alias("n"))
 
 
@@ -335,8 +353,8 @@ def start_word_counts(lines: DataFrame, counts_dir: str, checkpoint: str,
 
 def read_metric_series(spark: SparkSession, metrics_dir: str) -> DataFrame:
     """(batch_id, batch_start, n, rate) as recorded, one row per micro-batch."""
-    return spark.read.parquet(metrics_dir).select(
-        F.col("batch_id").cast("bigint"), "batch_start", "n", "rate")
+    return spark.read.schema(METRICS_SCHEMA).parquet(metrics_dir).select(
+        "batch_id", "batch_start", "n", "rate")
 
 
 def metric_series_by_time(spark: SparkSession, metrics_dir: str, interval_seconds: int,

@@ -97,7 +97,8 @@ class ArrivalQuotaProcessor(StatefulProcessor):
                 pass
             return
         order = self.order
-        first = heapq.nsmallest(room, rows, key=lambda r: tuple(r[c] for c in order))
+        # a NULL comes before any value, as in the batch form
+        first = heapq.nsmallest(room, rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in order))
         if first:
             self.used.update((used + len(first),))
         for row in first:
@@ -108,9 +109,10 @@ class ArrivalQuotaProcessor(StatefulProcessor):
 
 
 def trim_chunks(variant: str, max_votes: int, order: tuple[str, ...] = ("ts", "vote_id")):
-    """A ``mapInPandas`` function that cuts each input chunk down before the
+    """A ``mapInArrow`` function that cuts each input chunk down before the
     shuffle by phone, so a phone with a large share of a micro-batch does not
-    send all of its calls to one task.
+    send all of its calls to one task. Calls without a phone are one phone's
+    calls; a NULL comes before any value in ``order``.
 
     ``arrival``: keep each phone's first ``max_votes`` calls of the chunk in
     arrival order (the phone's first calls of the batch are among them).
@@ -119,24 +121,32 @@ def trim_chunks(variant: str, max_votes: int, order: tuple[str, ...] = ("ts", "v
     all :class:`BatchQuotaProcessor` needs: more than ``max_votes`` calls in
     one chunk already reject the phone's batch.
     """
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     keep = max_votes if variant == "arrival" else max_votes + 1
+    keys = [(c, "ascending") for c in ("phone_number", *order)]
 
     def trim(chunks):
         ctx = TaskContext.get()
         prefix = f"{ctx.stageId()}-{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0"
-        for i, pdf in enumerate(chunks):
-            if pdf.empty:
+        for i, chunk in enumerate(chunks):
+            if not chunk.num_rows:
                 continue
-            pdf = pdf.sort_values(["phone_number", *order], kind="stable")
-            kept = pdf.groupby("phone_number", sort=False).head(keep)
+            chunk = chunk.take(pc.sort_indices(chunk, sort_keys=keys, null_placement="at_start"))
+            phones = chunk.column(chunk.schema.get_field_index("phone_number"))
+            codes = phones.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            calls = np.diff(starts, append=len(codes))
+            kept = np.arange(len(codes)) - np.repeat(starts, calls) < keep
+            out = chunk.filter(pa.array(kept))
             if variant == "batch":
-                calls = pdf.groupby("phone_number", sort=False).size().rename("_chunk_calls")
-                kept = kept.join(calls, on="phone_number")
-                kept = kept.assign(_chunk=f"{prefix}-{i}", _chunk_calls=kept["_chunk_calls"]
-                                   .astype("int64"))
-            yield pd.DataFrame(kept)
+                out = pa.RecordBatch.from_arrays(
+                    [*out.columns, pa.array([f"{prefix}-{i}"] * out.num_rows, pa.string()),
+                     pa.array(np.repeat(calls, calls)[kept], pa.int64())],
+                    names=[*out.schema.names, "_chunk", "_chunk_calls"])
+            yield out
 
     return trim

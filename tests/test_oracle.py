@@ -5,11 +5,12 @@ import pytest
 import __spark_entry__ as entry
 from oracle_harness import compare, duck_connection
 from tallyline.plans import QUERIES as PLANNED
+from tallyline.plans import REPLAYS
 
 DATA = "/root/testdata/sf0.001"
 # queries of the subpackage llm are held against brute force in tests/llm
-QUERIES = {name: entry.queries()[name] for name in PLANNED}
-SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in PLANNED}
+QUERIES = {name: entry.queries()[name] for name in (*PLANNED, *REPLAYS)}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

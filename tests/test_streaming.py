@@ -1,5 +1,6 @@
 """Streaming forms against the batch forms on the same input."""
 
+import datetime
 import glob
 import os
 import shutil
@@ -14,6 +15,7 @@ from tallyline.operators import boards, quota, words
 from tallyline.sources.calls import call_view
 from tallyline.sources.tables import read_table
 from tallyline.sources.text import document_lines
+from tallyline.streaming.replay import run_replay, stage_events
 
 DATA = "/root/testdata/sf0.01"
 ONCE = {"availableNow": True}
@@ -326,3 +328,47 @@ def test_hot_phone_in_one_micro_batch(spark, scratch, variant, pretrim):
     want = (model.batch_quota(calls, 5, 6) if variant == "batch"
             else model.arrival_quota(calls, 5, 6))
     assert vote_ids(S.read_accepted(spark, out)) == want
+
+
+@pytest.mark.parametrize("variant", ["batch", "arrival"])
+def test_trimming_keeps_calls_without_phone_and_large_numbers(spark, variant):
+    big = 2**60 + 1
+    rows = [(1, big, 1, 0, None), (2, None, 1, 0, None), (3, None, 2, 0, None), (4, big, 3, 0, None),
+            (5, None, 1, 0, None), (6, 7, 1, 0, None)]
+    calls = spark.createDataFrame(rows, S.CALL_STREAM_SCHEMA).coalesce(1)
+    schema = S.TRIMMED_BATCH_SCHEMA if variant == "batch" else S.CALL_STREAM_SCHEMA
+    kept = calls.mapInArrow(S.trim_chunks(variant, 1), schema).collect()
+    want = {(1, big), (2, None), (6, 7)} | ({(3, None), (4, big)} if variant == "batch" else set())
+    assert {(r.vote_id, r.phone_number) for r in kept} == want
+    if variant == "batch":
+        assert {(r.phone_number, r._chunk_calls) for r in kept} == {(big, 2), (None, 3), (7, 1)}
+
+
+@pytest.mark.parametrize("variant", ["batch", "arrival"])
+def test_replay_of_events_without_phone_or_time(spark, variant):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, at, None, "vote", 0.0, '{"k": 1}'), (2, None, None, "vote", 0.0, '{"k": 2}'),
+            (3, None, 5, "vote", 0.0, '{"k": 3}'), (4, at + datetime.timedelta(days=9), 5, "vote", 0.0, '{"k": 1}'),
+            (5, at + datetime.timedelta(days=9), None, "vote", 0.0, '{"k": 1}')]
+    events = spark.createDataFrame(rows, S.EVENTS_SCHEMA)
+    replay = stage_events(events, 5 * 86_400, ("accepted",))
+    assert len(replay.arrivals) == 3
+
+    def begin():
+        stream = S.event_call_stream(spark, replay.source)
+        return S.start_acceptance(S.accept_calls(stream, variant, 2, 6), replay.table("accepted"),
+                                  replay.checkpoint("accepted"), ONCE)
+
+    run_replay(spark, replay, [begin])
+    accepted = S.read_accepted(spark, replay.table("accepted")).select("batch_id", "vote_id").collect()
+    # one micro-batch for no time, one for day 0, one for day 9; a quota of two
+    assert {tuple(r) for r in accepted} == {(0, 2), (0, 3), (1, 1), (2, 4)}
+
+
+def test_replay_of_an_empty_table(spark):
+    replay = stage_events(spark.createDataFrame([], S.EVENTS_SCHEMA), 86_400, ("accepted", "metrics", "windows"))
+    run_replay(spark, replay, [])
+    assert replay.arrivals == ()
+    assert S.read_accepted(spark, replay.table("accepted")).count() == 0
+    assert S.read_metric_series(spark, replay.table("metrics")).count() == 0
+    assert S.read_window_counts(spark, replay.table("windows")).count() == 0
