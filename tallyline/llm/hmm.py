@@ -3,20 +3,23 @@
 Words (and one end mark per text) are emitted by latent states. A word is emitted
 through its class: the ``own_classes`` most frequent training words are classes of
 their own, every other word belongs to one of ``shared_classes`` classes by hash and
-has a fixed share of its class: (c + 1) / (N + V + 1), with c its count and N and V
-the words and different words of the class in training. The last term is the share
-of the words that the class has never seen, so the probabilities of a text's
-continuations add up to 1.
+has a share of its class in each state: (N q + 1) / (N + V + 1), with N and V the
+words and different words of the class in training and q the word's part of the
+class's expected count in the state. Before the first step q is c / N, with c the
+word's count. A word that the class has never seen has the share 1 / (N + V + 1),
+so the probabilities of a text's continuations add up to 1.
 
 Training is Baum-Welch: tasks run the scaled forward-backward recursion over their
-texts, and the expected counts per class and state are summed by Spark, where they
-meet with what other tasks found; the driver gets the sums alone, whose size is
-bounded by classes x states. Long texts are cut into sequences of ``train_piece``
+texts, and the expected counts per word and state are summed by Spark, where they
+meet with what other tasks found. Every training word has counts of its own. The
+driver gets those of the frequent words, of the classes and of the moves, whose
+number is bounded; those of all other words stay a table, which every step joins to
+the texts by word. Long texts are cut into sequences of ``train_piece``
 words for training only. Scoring runs the scaled forward recursion over every whole
 text, so a score is the exact likelihood of the text under the model.
 
 Counts of frequent words (``known_words``, a bound) travel to the tasks. Those of all
-other words are joined by word, whatever their number, so counts are exact.
+other words are joined by word, whatever their number, so none is left out.
 
 Defined results: a NULL or empty text is the end mark alone. Without training texts
 all counts are 0, and every state emits every class alike. Repeated rows are
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +114,10 @@ class Vocabulary:
     def shared_class(self, word: bytes) -> int:
         return self.shape.own_classes + zlib.crc32(word) % self.shape.shared_classes
 
+    def classes_by_rank(self) -> np.ndarray:
+        own = self.shape.own_classes
+        return np.array([i if i < own else self.shared_class(w) for w, i in self.place.items()], dtype=np.int64)
+
 
 def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     """Bounded summary of the full table ``counts`` (word, c), which is written out."""
@@ -134,19 +142,22 @@ def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
 
 
 def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Classes of every text's words (``ids``, little-endian unsigned 16-bit),
-    sums over its known words, and the other words for the join."""
+    """Every text's words (``ids``, little-endian unsigned 32-bit: the rank of a
+    known word, else the number of known words plus the place in ``others``), sums
+    over its known words, and the other words for the join with their shared
+    class ``k``, counted from 0."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
         voc = shared.value
         place, own = voc.place, voc.shape.own_classes
-        classes: dict[bytes, int] = {}
+        ranked = voc.classes_by_rank()
         for batch in batches:
             out = pa.schema([("doc_id", batch.schema.field(0).type), ("held_out", pa.bool_()),
                              ("n_tokens", pa.int64()), ("n_found", pa.int64()), ("log_count", pa.float64()),
                              ("log_share", pa.float64()), ("ids", pa.binary()),
-                             ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
+                             ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()),
+                                                            ("k", pa.int32())])))])
 
             def texts():
                 for doc, raw, held in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)),
@@ -157,29 +168,27 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                     rank = np.fromiter((place.get(w, -1) for w in words), dtype=np.int32, count=n)
                     ids = rank.copy()
                     found = rank >= 0
-                    apart = np.flatnonzero((rank < 0) | (rank >= own))
-                    for i in apart.tolist():
+                    apart = rank[rank >= own]
+                    others: dict[bytes, list[int]] = {}
+                    for i in np.flatnonzero(~found).tolist():
                         word = words[i]
-                        k = classes.get(word)
-                        if k is None:
-                            if len(classes) > 200_000:
-                                classes.clear()
-                            k = classes[word] = voc.shared_class(word)
-                        ids[i] = k
-                    mixed = rank[apart]
-                    log_share = (voc.logs[mixed[mixed >= 0]].sum()
-                                 - voc.share_logs[ids[apart] - own].sum())
-                    others = Counter(words[i] for i in np.flatnonzero(~found).tolist())
+                        entry = others.get(word)
+                        if entry is None:
+                            entry = others[word] = [len(others), 0, voc.shared_class(word) - own]
+                        entry[1] += 1
+                        ids[i] = len(place) + entry[0]
+                    log_share = (voc.logs[apart].sum() - voc.share_logs[ranked[apart] - own].sum()
+                                 - sum(c * voc.share_logs[k] for _, c, k in others.values()))
                     yield (doc, held, n, int(found.sum()), float(voc.logs[rank[found]].sum()), float(log_share),
-                           ids.astype("<u2").tobytes(),
-                           [{"word": w.decode(), "n": c} for w, c in others.items()])
+                           ids.astype("<u4").tobytes(),
+                           [{"word": w.decode(), "n": c, "k": k} for w, (_, c, k) in others.items()])
 
             yield from batches_of(texts(), out, 512)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_found bigint, "
                                 "log_count double, log_share double, ids binary, "
-                                "others array<struct<word: string, n: int>>")
+                                "others array<struct<word: string, n: int, k: int>>")
 
 
 @dataclass
@@ -269,15 +278,77 @@ def expected_counts(model: Model, sequences: list[np.ndarray], classes: int):
     return alpha[:active[0]].sum(axis=0), move * model.move, emit
 
 
-def _sequences(column, piece: int | None):
-    """Class numbers of the texts, or of their pieces."""
-    for value in column:
-        ids = np.frombuffer(value.as_buffer(), dtype="<u2")
-        if piece is None:
-            yield ids
-        else:
-            for i in range(0, len(ids), piece):
-                yield ids[i:i + piece]
+@dataclass
+class Learned:
+    """What tasks need of the model; bounded by ``Shape``."""
+    model: Model  # by class
+    known: np.ndarray  # ranks x states: the class's probability times the tilt
+    sizes: np.ndarray  # training words by shared class
+    found: np.ndarray | None = None  # shared classes x states: expected counts
+
+    @classmethod
+    def of(cls, vocab: Vocabulary, model: Model, known: np.ndarray | None = None,
+           found: np.ndarray | None = None) -> Learned:
+        own, classes = vocab.shape.own_classes, vocab.classes_by_rank()
+        self = cls(model, model.emit[classes], vocab.weights[own:] - 1, found)
+        if found is not None:
+            self.known[own:] *= self.tilt(classes[own:] - own, np.rint(10 ** vocab.logs[own:]) - 1, known[own:])
+        return self
+
+    def tilt(self, k: np.ndarray, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Shares of words of the shared classes ``k`` in each state, as multiples
+        of (c + 1) / (N + V + 1), from the words' expected ``counts``."""
+        c = c[:, None]
+        return ((self.sizes[k][:, None] * counts + c) / (self.found[k] + 1) + 1) / (c + 1)
+
+
+def with_found(texts: DataFrame, words: DataFrame | None, states: int) -> DataFrame:
+    """``texts`` with ``found``: for each of the ``others`` that training has met,
+    its place, count and expected counts."""
+    sums = [f"s{s}" for s in range(states)]
+    if words is None:
+        fields = ", ".join(f"{s}: float" for s in sums)
+        return texts.withColumn("found", F.lit(None).cast(f"array<struct<pos: int, c: bigint, {fields}>>"))
+    pairs = texts.select("row", F.posexplode("others").alias("pos", "o")).select("row", "pos", "o.word")
+    met = pairs.join(words, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "c", *sums)).alias("found"))
+    return texts.join(met, "row", "left")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _prepared(batch: pa.RecordBatch, learned: Learned, states: int):
+    """The model by the numbers of this batch's words, the texts as such numbers,
+    and the others as arrow structs: their rows, and those met in training."""
+    known = len(learned.known)
+    others, met = batch.column("others"), batch.column("found")
+    sizes = _numbers(pc.list_value_length(others)).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    flat = others.flatten()
+    k = _numbers(flat.field("k")).astype(np.int64)
+    rare = learned.model.emit[len(learned.model.emit) - len(learned.sizes) + k]
+    lengths = _numbers(pc.fill_null(pc.list_value_length(met), 0)).astype(np.int64)
+    entries = met.flatten()
+    at = np.repeat(starts, lengths) + _numbers(entries.field("pos"))
+    c = _numbers(entries.field("c")).astype(np.float64)
+    if len(at):
+        counts = np.stack([_numbers(entries.field(f"s{s}")) for s in range(states)], axis=1).astype(np.float64)
+        rare[at] *= learned.tilt(k[at], c, counts)
+    ids = [np.frombuffer(v.as_buffer(), dtype="<u4") for v in batch.column("ids")]
+    lengths_of = [len(i) for i in ids]
+    whole = np.concatenate(ids).astype(np.int64)
+    apart = np.flatnonzero(whole >= known)
+    whole[apart] += np.repeat(starts, lengths_of)[apart]
+    model = Model(learned.model.start, learned.model.move, np.concatenate([learned.known, rare]))
+    return (model, np.split(whole, np.cumsum(lengths_of)[:-1]), flat, k,
+            (np.repeat(np.arange(len(sizes)), sizes)[at], at, c))
+
+
+def _pieces(sequences, piece: int):
+    for ids in sequences:
+        for i in range(0, len(ids), piece):
+            yield ids[i:i + piece]
 
 
 def _gathered(items, tokens: int):
@@ -292,57 +363,106 @@ def _gathered(items, tokens: int):
         yield held
 
 
-def baum_welch(texts: DataFrame, vocab: Vocabulary) -> Model:
-    """Train on the encoded texts that are not held out."""
+def _written_alone(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, whose shuffles are freed as soon as the table is written:
+    those of every training step would else stay on disk side by side."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def baum_welch(texts: DataFrame, vocab: Vocabulary) -> tuple[Learned, DataFrame | None]:
+    """Train on the encoded texts that are not held out: the bounded part of the
+    model, and the table (word, c, s0, s1, ...) of the expected counts of all words
+    that are not known."""
     shape = vocab.shape
     model = Model.new(vocab)
     if not vocab.total:
-        return Model(model.start, model.move, np.full_like(model.emit, 1 / shape.classes))
-    learned = texts.where("NOT held_out").select("ids")
-    k, classes = shape.states, shape.classes
-    sums = [F.sum(F.col("v")[s]).alias(f"s{s}") for s in range(k)]
+        return Learned.of(vocab, Model(model.start, model.move, np.full_like(model.emit, 1 / shape.classes))), None
+    own, k, known, ranked = shape.own_classes, shape.states, len(vocab.place), vocab.classes_by_rank()
+    first = known + shape.shared_classes  # counts: known words, shared classes, first states, moves
+    names = [f"s{s}" for s in range(k)]
+    training = texts.where("NOT held_out").select("row", "ids", "others")
+    learned, words = Learned.of(vocab, model), None
     for _ in range(shape.steps):
-        shared = texts.sparkSession.sparkContext.broadcast(model)
+        shared = texts.sparkSession.sparkContext.broadcast(learned)
 
         def run(batches):
             now = shared.value
-            counts = np.zeros((classes + 1 + k, k))
+            counts = np.zeros((first + 1 + k, k))
+
+            def records(rows, words, times, sums):
+                for i in range(0, len(sums), 4096):
+                    part = slice(i, i + 4096)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows[part], words[part], times[part], *[pa.array(sums[part, s]) for s in range(k)]],
+                        names=["row", "word", "c", *names])
+
             for batch in batches:
-                for group in _gathered(_sequences(batch.column(0), shape.train_piece), 300_000):
-                    start, move, emit = expected_counts(now, group, classes)
-                    counts[:classes] += emit
-                    counts[classes] += start
-                    counts[classes + 1:] += move
+                if not batch.num_rows:
+                    continue
+                local, sequences, others, kinds, _ = _prepared(batch, now, k)
+                rare = np.zeros((len(kinds), k))
+                for group in _gathered(_pieces(sequences, shape.train_piece), 300_000):
+                    start, move, emit = expected_counts(local, group, len(local.emit))
+                    counts[:known] += emit[:known]
+                    rare += emit[known:]
+                    counts[first] += start
+                    counts[first + 1:] += move
+                for s in range(k):
+                    counts[known:first, s] += np.bincount(kinds, rare[:, s], shape.shared_classes)
+                yield from records(pa.nulls(len(rare), pa.int32()), others.field("word"),
+                                   others.field("n").cast(pa.int64()), rare)
             rows = np.flatnonzero(counts.any(axis=1))
-            for i in range(0, len(rows), 4096):
-                part = rows[i:i + 4096]
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(part) + 1, k), pa.int32()),
-                                                  pa.array(counts[part].ravel(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), values], names=["row", "v"])
-
-        found = learned.mapInArrow(run, "row int, v array<double>").groupBy("row").agg(*sums).toArrow()
-        counts = np.zeros((classes + 1 + k, k))
-        counts[found.column("row").to_numpy()] = np.stack(
-            [found.column(f"s{s}").to_numpy() for s in range(k)], axis=1)
-        model = model.improved(vocab, counts[classes], counts[classes + 1:], counts[:classes])
+            yield from records(pa.array(rows, pa.int32()), pa.nulls(len(rows), pa.string()),
+                               pa.nulls(len(rows), pa.int64()), counts[rows])
+
+        fields = ", ".join(f"{s} double" for s in names)
+        table = _written_alone(
+            with_found(training, words, k).select("ids", "others", "found")
+            .mapInArrow(run, f"row int, word string, c bigint, {fields}").groupBy("row", "word")
+            .agg(F.sum("c").alias("c"), *[F.sum(s).cast("float").alias(s) for s in names]), "word-states")
+        sums = table.where("row IS NOT NULL").select("row", *names).toArrow()
+        words = table.where("word IS NOT NULL").select("word", "c", *names)
+        counts = np.zeros((first + 1 + k, k))
+        counts[sums.column("row").to_numpy()] = np.stack([sums.column(s).to_numpy() for s in names], axis=1)
+        classes = np.zeros((shape.classes, k))
+        np.add.at(classes, ranked, counts[:known])
+        classes[own:] += counts[known:first]
+        model = model.improved(vocab, counts[first], counts[first + 1:], classes)
+        learned = Learned.of(vocab, model, counts[:known], classes[own:])
         shared.unpersist()
-    return model
+    return learned, words
 
 
-def likelihoods(texts: DataFrame, model: Model) -> DataFrame:
-    """``texts`` with ``log_classes``, the log10 likelihood of the classes, for ``ids``."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    kept = texts.drop("ids", "others")
+def likelihoods(texts: DataFrame, learned: Learned, words: DataFrame | None) -> DataFrame:
+    """``texts`` with ``log_classes``, the log10 likelihood but for the words' fixed
+    shares, for ``ids``; and with ``more`` and ``more_log``, sums over those of the
+    ``others`` that training has met."""
+    shared = texts.sparkSession.sparkContext.broadcast(learned)
+    states = len(learned.model.start)
+    kept = texts.drop("row", "ids", "others")
 
     def run(batches):
         for batch in batches:
-            groups = _gathered(_sequences(batch.column(batch.num_columns - 1), None), 4_000_000)
-            found = np.concatenate([log_likelihoods(shared.value, g) for g in groups] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())],
-                                             names=[*batch.schema.names[:-1], "log_classes"])
+            if not batch.num_rows:
+                continue
+            model, sequences, others, _, (rows, at, c) = _prepared(batch, shared.value, states)
+            found = np.concatenate([log_likelihoods(model, g) for g in _gathered(sequences, 4_000_000)])
+            times = _numbers(others.field("n"))[at]
+            more = np.bincount(rows, times, batch.num_rows).astype(np.int64)
+            more_log = np.bincount(rows, times * np.log10(c + 1), batch.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-3], pa.array(found), pa.array(more), pa.array(more_log)],
+                names=[*batch.schema.names[:-3], "log_classes", "more", "more_log"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return texts.select(*kept.columns, "ids").mapInArrow(run, f"{fields}, log_classes double")
+    return with_found(texts, words, states).select(*kept.columns, "ids", "others", "found").mapInArrow(
+        run, f"{fields}, log_classes double, more bigint, more_log double")
 
 
 def score(df: DataFrame, training, shape: Shape = Shape(), id_col: str = "doc_id",
@@ -354,14 +474,10 @@ def score(df: DataFrame, training, shape: Shape = Shape(), id_col: str = "doc_id
     counts = materialize(word_counts(rows.where("NOT held_out")), "word-counts")
     vocab = vocabulary(counts, shape)
     texts = materialize(encoded(rows, vocab).withColumn("row", F.monotonically_increasing_id()), "word-classes")
-    model = baum_welch(texts, vocab)
-    other = texts.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.n")
-    found = (other.join(counts, "word").groupBy("row")
-             .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_log")))
-    more, more_log = F.coalesce("more", F.lit(0)), F.coalesce("more_log", F.lit(0.0))
+    learned, words = baum_welch(texts, vocab)
     scale = float(np.log10(vocab.total + vocab.different + 1))
-    return likelihoods(texts, model).join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_found") + more).alias("n_known"),
+    return likelihoods(texts, learned, words).select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_found") + F.col("more")).alias("n_known"),
         F.lit(vocab.total).cast("bigint").alias("train_tokens"),
-        (F.col("log_count") + more_log - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("log_classes") + F.col("log_share") + more_log).alias("score"))
+        (F.col("log_count") + F.col("more_log") - F.col("n_tokens") * scale).alias("base_score"),
+        (F.col("log_classes") + F.col("log_share") + F.col("more_log")).alias("score"))

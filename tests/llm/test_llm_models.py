@@ -288,6 +288,77 @@ def test_one_step_of_the_model_is_a_distribution(spark):
     assert total + sum(unseen.values()) == pytest.approx(1.0, abs=1e-6)
 
 
+def brute_force_words(docs, shape):
+    """Expected counts of every word after ``shape.steps`` steps, and all scores, with
+    one row of emissions per word, texts one at a time."""
+    held, count = hmm_counts(docs)
+    texts = [(d, [*(t or "").encode().lower().split(), b""]) for d, t, *_ in docs]
+    ranks = sorted(count, key=lambda w: (-count[w], w))
+    own, k = shape.own_classes, shape.states
+    place = {w: i for i, w in enumerate(ranks[:own])}
+
+    def class_of(w):
+        return place.get(w, own + zlib.crc32(w) % shape.shared_classes)
+
+    n, v = np.zeros(shape.classes), np.zeros(shape.classes)
+    for w in count:
+        n[class_of(w)] += count[w]
+        v[class_of(w)] += 1
+    weights = np.where(np.arange(shape.classes) < own, n, n + 1)
+    vocab = hmm.Vocabulary(shape, {}, np.zeros(0), np.zeros(0), weights, sum(count.values()), len(count))
+    model, gamma, classes = hmm.Model.new(vocab), None, None
+
+    def emission(w):
+        c = class_of(w)
+        if c < own:
+            return model.emit[c]
+        if gamma is None or w not in gamma:
+            return model.emit[c] * (count[w] + 1) / (n[c] + v[c] + 1)
+        q = (gamma[w] + count[w] / n[c]) / (classes[c] + 1)
+        return model.emit[c] * (n[c] * q + 1) / (n[c] + v[c] + 1)
+
+    def plain(words):
+        ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        local = hmm.Model(model.start, model.move, np.array([emission(w) for w in ids]))
+        return ids, local, np.array([ids[w] for w in words])
+
+    for _ in range(shape.steps):
+        start, move, new = np.zeros(k), np.zeros((k, k)), {w: np.zeros(k) for w in count}
+        for d, words in texts:
+            if d in held:
+                continue
+            for i in range(0, len(words), shape.train_piece):
+                ids, local, sequence = plain(words[i:i + shape.train_piece])
+                a, b, e = hmm.expected_counts(local, [sequence], len(ids))
+                start, move = start + a, move + b
+                for w, j in ids.items():
+                    new[w] += e[j]
+        classes = np.zeros((shape.classes, k))
+        for w in new:
+            classes[class_of(w)] += new[w]
+        model, gamma = model.improved(vocab, start, move, classes), new
+    scores = []
+    for d, words in texts:
+        _, local, sequence = plain(words)
+        scores.append((d, len(words), float(hmm.log_likelihoods(local, [sequence])[0])))
+    return gamma, scores
+
+
+def test_every_training_word_has_counts_of_its_own(spark):
+    """Words beyond the classes of their own, known and joined, as in brute force."""
+    from tallyline.llm.common import held_out
+
+    docs, shape = rows(), SHAPES[1]
+    gamma, want = brute_force_words(docs, shape)
+    got = hmm.score(frame(spark), ~held_out("doc_id", 7, 2), shape).collect()
+    near = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    for a, b in zip(near, sorted((str(d), n, s) for d, n, s in want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5)
+    # words of one class lean to different states
+    first = [gamma[w] / gamma[w].sum() for w in gamma if gamma[w].sum() >= 20]
+    assert np.std(first, axis=0).max() > 0.01
+
+
 def test_model_beats_word_frequencies_on_held_out_texts(spark):
     got = [r for r in queries.op3_hmm_scores(spark, SMALL).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.05 * sum(r.n_tokens for r in got)
