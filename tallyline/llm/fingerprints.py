@@ -6,9 +6,15 @@ fewer above it, so chunk sizes gather around the normal one; a smallest and a
 largest size hold in any case. Boundaries depend on nearby bytes only, so an edit
 moves the chunks around it and no others.
 
+A text of at most ``FINE_TEXT`` code points is cut a second time, into fine chunks,
+as a part of it seldom holds a whole chunk of the normal size. An edited text is
+never longer in code points than its own, so both have fine chunks or its own has none.
+
 A fingerprint is the set of (digest, length) of a text's chunks as sorted 8-byte
-records (48 bits of digest, 16 bits of length) in base64. Containment of one text
-in another is the share of its chunk bytes whose chunks the other has too.
+records (48 bits of digest, the last 1 for a fine chunk, and 16 bits of length) in
+base64. Containment of one text in another is the share of its chunk bytes whose
+chunks the other has too: of its fine chunks where both texts have some, else of
+the others.
 
 Defined results: a NULL or empty text has the empty fingerprint, which any
 empty text contains fully (1.0) and no other text does (0.0). Equal texts have
@@ -54,6 +60,11 @@ class Chunking:
             raise ValueError("sizes must rise and stay below 65536")
 
 
+#: Chunk sizes of the second cut, and the longest text that gets it, in code points.
+FINE = Chunking(4, 16, 64)
+FINE_TEXT = 2048
+
+
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
     """The gear hash at every byte: the sum of GEAR[byte j back] << j, mod 2^32."""
     h = GEAR[raw]
@@ -94,10 +105,19 @@ def chunk_ends(raw: bytes, sizes: Chunking = Chunking()) -> list[int]:
 
 
 def chunk_set(raw: bytes, sizes: Chunking = Chunking()) -> dict[int, int]:
-    """Digest (48 bits) to length of every different chunk."""
+    """Digest (48 bits) to length of every different chunk, of both cuts."""
+    found = _chunks(raw, sizes, 0)
+    if len(raw) <= 4 * FINE_TEXT:
+        heads = np.frombuffer(raw, np.uint8) & 0xC0 != 0x80
+        if np.count_nonzero(heads) <= FINE_TEXT:
+            found |= _chunks(raw, FINE, 1)
+    return found
+
+
+def _chunks(raw: bytes, sizes: Chunking, fine: int) -> dict[int, int]:
     found, start = {}, 0
     for end in chunk_ends(raw, sizes):
-        found[xxhash.xxh3_64_intdigest(raw[start:end]) >> 16] = end - start
+        found[xxhash.xxh3_64_intdigest(raw[start:end]) >> 17 << 1 | fine] = end - start
         start = end
     return found
 
@@ -116,7 +136,9 @@ def containment(of: dict[int, int], within: dict[int, int]) -> float:
     """Share of the chunk bytes of ``of`` that ``within`` has too."""
     if not of:
         return 0.0 if within else 1.0
-    return sum(n for d, n in of.items() if d in within) / sum(of.values())
+    fine = int(any(d & 1 for d in of) and any(d & 1 for d in within))
+    return (sum(n for d, n in of.items() if d & 1 == fine and d in within)
+            / sum(n for d, n in of.items() if d & 1 == fine))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

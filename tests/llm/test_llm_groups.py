@@ -225,6 +225,17 @@ def test_chunks_resist_shifts():
     assert fingerprints.from_string(fingerprints.to_string(a)) == a
 
 
+@pytest.mark.parametrize("chars,least", [(100, 0.2), (220, 0.3), (450, 0.35), (2000, 0.4), (6000, 0.4)])
+def test_edited_texts_of_any_length_are_like_their_own(chars, least):
+    rng = random.Random(chars)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(chars))[:chars + i] for i in range(60)]
+    near = [fingerprints._compare(0, a, fingerprints.chunk_set(a.encode()), b, fingerprints.chunk_set(b.encode()),
+                                  fingerprints.Chunking())[5:] for a, b in zip(texts, texts[1:])]
+    assert sum(a == 0 for a, _ in near) <= 6
+    assert np.mean([a for a, _ in near]) > least and np.mean([b for _, b in near]) < 0.02
+
+
 @pytest.mark.parametrize("bucket_docs", [3, 1024])
 def test_op7_equals_brute_force(spark, scratch, monkeypatch, bucket_docs):
     monkeypatch.setattr(fingerprints, "BUCKET_DOCS", bucket_docs)
