@@ -35,7 +35,7 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 16).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = sharding.interleave(rows, "doc_id", "source", SHARDS)
+    placed = sharding.interleave(rows, "doc_id", "source", SHARDS, phased=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "source")
 

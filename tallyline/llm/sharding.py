@@ -4,7 +4,9 @@ The rows of every source are put into a seeded random order; row r of n gets the
 fractional rank (2 r - 1) / (2 n). Sorted by fractional rank, the sources are
 spread evenly over the whole order, so a cut into stretches of equal length gives
 shards that each hold the sources in the proportions of the whole table, with row
-counts at most one apart.
+counts at most one apart. With ``phased`` it gets (r - 1 + u) / n instead, where u
+from 0 to 1 is a seeded hash of the source: sources of few rows, which else all
+meet at 1/2, or at 1/4 and 3/4, are then spread over all buckets and shards.
 
 No source and no stretch is ordered in one task. Both orders are made of buckets:
 a random order falls evenly into buckets of the hash, a fractional order into
@@ -37,7 +39,7 @@ def _prefix(counts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def interleave(df: DataFrame, id_col: str, stratum_col: str, shards: int, seed: int = SEED,
-               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               bucket_rows: int = BUCKET_ROWS, phased: bool = False) -> DataFrame:
     """``df`` plus ``shard`` INT (from 0) and ``slot`` BIGINT (gapless from 0 in
     each shard). ``df`` should hold ids, sources and small columns, not texts."""
     clash = {"shard", "slot"} & {c.lower() for c in df.columns}
@@ -60,9 +62,11 @@ def interleave(df: DataFrame, id_col: str, stratum_col: str, shards: int, seed:
     ranked = rows.withColumn("rank", F.row_number().over(
         Window.partitionBy("stratum", "bucket").orderBy(*tie)))
     same = ranked["stratum"].eqNullSafe(offsets["stratum"]) & (ranked["bucket"] == offsets["bucket"])
+    earlier = F.col("before") + F.col("rank") - 1
+    phase = (F.pmod(F.xxhash64(F.lit(seed), F.lit("phase"), ranked["stratum"]), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    fraction = (earlier + phase) / F.col("whole") if phased else (2 * earlier + 1) / (2 * F.col("whole"))
     spread = materialize(ranked.join(offsets, same).select(
-        "row", "mix", ranked["stratum"].alias("stratum"),
-        ((2 * (F.col("before") + F.col("rank")) - 1) / (2 * F.col("whole"))).alias("fraction")), "shard-ranks")
+        "row", "mix", ranked["stratum"].alias("stratum"), fraction.alias("fraction")), "shard-ranks")
 
     spread = spread.withColumn("bucket", F.least(
         F.floor(F.col("fraction") * buckets).cast("bigint"), F.lit(buckets - 1)))

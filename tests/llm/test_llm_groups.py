@@ -182,6 +182,15 @@ def test_sharding_of_few_rows_and_clashes(spark):
         sharding.interleave(df.withColumn("slot", F.lit(1)), "id", "source", 5)
 
 
+def test_rare_sources_are_spread_over_all_shards(spark, scratch):
+    docs = [(i, f"text {i}", "en", f"rare{i}" if i % 2 else "large", 1) for i in range(4000)]
+    got = queries.op2_stratified_shards(spark, folder(spark, scratch, docs)).collect()
+    rare = collections.Counter(r.shard for r in got if r.source != "large")
+    assert sum(rare.values()) == 2000 and len(rare) == queries.SHARDS
+    assert all(25 <= rare[k] <= 80 for k in range(queries.SHARDS))  # 50 on average
+    assert set(collections.Counter(r.shard for r in got).values()) == {100}
+
+
 def slow_ends(raw, sizes):
     """Chunk ends byte by byte, hashing one byte at a time."""
     bits = sizes.normal.bit_length() - 1
