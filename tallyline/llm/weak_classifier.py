@@ -123,16 +123,16 @@ class LinearScorer:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def train(rows: list[tuple[np.ndarray, float]], passes: int = 8, rate: float = 1.0,
+def train(rows: list[tuple[np.ndarray, np.ndarray, float]], passes: int = 8, rate: float = 1.0,
           decay: float = 1e-5, seed: int = 5) -> LinearScorer:
-    """AdaGrad on the logistic loss against soft labels."""
+    """AdaGrad on the logistic loss against soft labels. A row is a text's different
+    buckets, how often it has each (two buckets a word), and its label."""
     weights = np.zeros(1 << HASH_BITS)
     squares = np.full(1 << HASH_BITS, 1e-6)
     bias, bias_square = 0.0, 1e-6
     data = []
-    for buckets, target in rows:
-        index, counts = np.unique(buckets, return_counts=True)
-        data.append((index, counts / max(1, len(buckets)), target))
+    for index, times, target in rows:
+        data.append((index, times / max(1, int(times.sum()) // 2), target))
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for k in order.permutation(len(data)):
@@ -169,6 +169,21 @@ def vote_patterns(df: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("votes").agg(F.sum("n").alias("n"))
 
 
+def bucket_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(votes, buckets, times) of every text: its different buckets, at most
+    2^HASH_BITS however long it is, and how often it has each."""
+    def run(batches):
+        features = Features()
+        out = pa.schema([("votes", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32())),
+                         ("times", pa.list_(pa.int64()))])
+        for batch in batches:
+            yield from batches_of(((label(raw), *np.unique(features(raw), return_counts=True))
+                                   for raw in raw_texts(batch.column(0))), out, 256)
+
+    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(
+        run, "votes array<int>, buckets array<int>, times array<bigint>")
+
+
 def fit_scorer(df: DataFrame, model: LabelModel, sample_rows: int = SAMPLE_ROWS,
                id_col: str = "doc_id", text_col: str = "text") -> LinearScorer:
     rows = _texts(df, id_col, text_col)
@@ -177,17 +192,9 @@ def fit_scorer(df: DataFrame, model: LabelModel, sample_rows: int = SAMPLE_ROWS,
     if total > sample_rows:
         rows = rows.where(F.abs(pick) < sample_rows / total).limit(sample_rows)
 
-    def run(batches):
-        features = Features()
-        out = pa.schema([("votes", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32()))])
-        for batch in batches:
-            yield from batches_of(((label(raw), features(raw).ravel())
-                                   for raw in raw_texts(batch.column(0))), out, 256)
-
-    found = rows.select("text").mapInArrow(run, "votes array<int>, buckets array<int>")
-    table = found.select(posterior("votes", model).alias("target"), "buckets").toArrow()
-    return train([(np.array(b, dtype=np.int32).reshape(-1, 2), t) for t, b in
-                  zip(table.column("target").to_pylist(), table.column("buckets").to_pylist())])
+    table = bucket_counts(rows).select(posterior("votes", model).alias("target"), "buckets", "times").toArrow()
+    return train([(b.values.to_numpy(), n.values.to_numpy(), t) for t, b, n in
+                  zip(table.column("target").to_pylist(), table.column("buckets"), table.column("times"))])
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,

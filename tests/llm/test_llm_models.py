@@ -120,6 +120,16 @@ def test_op9_rows_votes_and_equal_texts(spark, scratch):
     assert weak_classifier.label(b"") == [0] + [None] * 8
 
 
+def test_sampled_texts_are_sent_as_bucket_counts(spark):
+    text = "some word " * 30_000
+    got = weak_classifier.bucket_counts(frame(spark, [(1, text, "en", "s", 1), (2, None, "en", "s", 1)])).collect()
+    long, empty = sorted(got, key=lambda r: -len(r.buckets))
+    assert len(long.buckets) <= 4 and sum(long.times) == 2 * 60_000
+    buckets, times = np.unique(weak_classifier.Features()(text.encode()), return_counts=True)
+    assert long.buckets == buckets.tolist() and long.times == times.tolist()
+    assert empty.buckets == empty.times == []
+
+
 def test_vote_patterns_count_every_text(spark):
     df = frame(spark)
     got = {tuple(r.votes): r.n for r in weak_classifier.vote_patterns(df).collect()}
