@@ -352,9 +352,10 @@ def start_word_counts(lines: DataFrame, counts_dir: str, checkpoint: str,
 # ---------------------------------------------------------------- metric readers
 
 def read_metric_series(spark: SparkSession, metrics_dir: str) -> DataFrame:
-    """(batch_id, batch_start, n, rate) as recorded, one row per micro-batch."""
+    """(batch_id, batch_start, n, rate) as recorded, one row per micro-batch,
+    in order of the batches."""
     return spark.read.schema(METRICS_SCHEMA).parquet(metrics_dir).select(
-        "batch_id", "batch_start", "n", "rate")
+        "batch_id", "batch_start", "n", "rate").orderBy("batch_id")
 
 
 def metric_series_by_time(spark: SparkSession, metrics_dir: str, interval_seconds: int,

@@ -93,3 +93,15 @@ def test_rate_summary_only_once_idle(spark):
     assert len(idle) == 1 and idle[0].n_batches == 3
     assert metrics.rate_summary_when_idle(series(spark, [10, 20, 40, 0, 0, 5])).count() == 0
     assert metrics.rate_summary_when_idle(series(spark, [0, 0, 0])).count() == 0
+
+
+def test_metric_series_is_in_order_of_the_batches(spark, scratch):
+    import datetime
+
+    from tallyline.streaming.pipeline import METRICS_SCHEMA, read_metric_series
+
+    at = datetime.datetime(2024, 1, 1)
+    made = {"batch_id": None, "batch_start": at, "n": 1, "rate": 1.0}
+    rows = [tuple({**made, "batch_id": k}.get(f.name) for f in METRICS_SCHEMA.fields) for k in range(40, 0, -1)]
+    spark.createDataFrame(rows, METRICS_SCHEMA).repartition(5).write.parquet(f"{scratch}/m")
+    assert [r.batch_id for r in read_metric_series(spark, f"{scratch}/m").collect()] == list(range(1, 41))
