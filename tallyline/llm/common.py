@@ -27,6 +27,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by number: ``mapInArrow`` takes no names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def held_out(id_col: str | Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id's text, modulo ``modulus``, equals ``remainder``. A NULL
     id counts as the empty text."""

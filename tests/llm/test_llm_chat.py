@@ -1,0 +1,142 @@
+"""Chats written as a prefix tree, read back and compared with the plain rows."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyline.llm import chat, queries
+
+TOKENIZER = P.path(queries.TOKENIZER)
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+TEMPLATE = chat.Template()
+MARKS = ["[INST]", "[/INST]", "</s>", "\\", "<", "[", "/s>", "[\\INST]", "<\\\\/s>", "x", "\n", "é日", "<|endoftext|>"]
+pieces = st.lists(st.sampled_from(MARKS), max_size=8).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(pieces, pieces), max_size=5))
+def test_written_conversations_are_parsed_back(turns):
+    written = "".join("".join(TEMPLATE.parts(*t)) for t in turns)
+    assert TEMPLATE.parse(written) == turns
+    assert written.count("</s>") == len(turns)
+
+
+def test_templates_with_unclear_marks_are_refused():
+    for bad in ({"turn": "<<"}, {"end": "</s>\\"}, {"escape": "ab"}, {"turn": "</s>x"}, {"text": "[[x"}, {"end": ""}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
+def conversations(seed=1, n=60):
+    rng = random.Random(seed)
+    words = "alpha beta gamma [INST] </s> delta \\ [\\/INST] ünï 日本".split()
+    openings = [("system", " ".join(rng.choices(words, k=6))) for _ in range(3)]
+    out = []
+    for conv in range(n):
+        turns = [openings[min(rng.randrange(5), 2)]]
+        for k in range(rng.randint(0, 6)):
+            role = ("user", "assistant")[k % 2]
+            turns.append((role, rng.choice(words) if rng.random() < 0.5 else " ".join(rng.choices(words, k=9))))
+        out += [(conv, t, role, text) for t, (role, text) in enumerate(turns)]
+    first = [r for r in out if r[0] == 7]
+    out += [(500 + k, *r[1:]) for k in range(40) for r in first]  # copies
+    out += [(600, 0, None, None), (600, 1, "assistant", None), (600, 1, "assistant", ""), (601, None, "user", "no turn"),
+            (601, 3, "assistant", "x" * 50_000), (None, 0, "user", "a"), (None, 1, "assistant", "b"),
+            (602, 0, "assistant", "tie b"), (602, 0, "assistant", "tie a"), (602, 0, "assistant", "tie a")]
+    rng.shuffle(out)
+    return out
+
+
+def plain(rows):
+    held = {}
+    for conv, turn, role, text in rows:
+        held.setdefault(conv, []).append(((turn is not None, turn or 0), (role is not None, role or ""),
+                                          (text is not None, text or "")))
+    return {conv: [(r[1], t[1]) for _, r, t in sorted(turns)] for conv, turns in held.items()}
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_op11_equals_the_plain_rows(spark, scratch):
+    rows = conversations()
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{scratch}/conversations.parquet")
+    got = {r["conv_id"]: tuple(r)[1:] for r in queries.op11_chat_tree(spark, scratch).collect()}
+    held = plain(rows + [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))])
+    want = {}
+    for conv, turns in held.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        want[conv] = (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss),
+                      sum(len("".join(TEMPLATE.parts(r, t))) for r, t in turns))
+    assert got == want
+
+
+def test_op11_of_no_conversations(spark, scratch):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{scratch}/conversations.parquet")
+    (row,) = queries.op11_chat_tree(spark, scratch).collect()
+    assert (row["conv_id"], row["n_turns"], row["loss_chars"]) == (-1, 2, 21)
+    chat.write_chats(spark.createDataFrame([], SCHEMA), f"{scratch}/empty", TOKENIZER)
+    assert chat.read_chats(spark, f"{scratch}/empty", TOKENIZER).collect() == []
+
+
+@pytest.mark.parametrize("partitions,seed", [(1, 1), (4, 1), (23, 1), (23, 2), (23, 3)])
+def test_the_tree_is_that_of_the_conversations(spark, scratch, partitions, seed):
+    """Whatever the tasks: each turn of the tree once, depth-first, with the right intervals."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = conversations(seed)
+    chat.write_chats(session.createDataFrame(rows, SCHEMA), scratch, TOKENIZER)
+    segments = {r["start"]: r for r in spark.read.parquet(f"{scratch}/segments").collect()}
+    index = {r["conv_id"]: r for r in spark.read.parquet(f"{scratch}/index").collect()}
+    held = plain(rows)
+    assert index.keys() == held.keys()
+    # the places are those of one gapless sequence of ids
+    at = 0
+    for start in sorted(segments):
+        assert start == at
+        at += segments[start]["n_tokens"]
+        assert len(segments[start]["token_ids"]) == 4 * segments[start]["n_tokens"]
+    # the same first turns are the same segments, other ones are others
+    paths = {tuple(turns[:k + 1]) for turns in held.values() for k in range(len(turns))}
+    assert len(segments) == len(paths)
+    place = {}
+    for conv, turns in held.items():
+        own = index[conv]["segments"]
+        assert len(own) == len(turns) and own == sorted(own)
+        position = 0
+        for k, start in enumerate(own):
+            assert place.setdefault(tuple(turns[:k + 1]), start) == start
+            row = segments[start]
+            written = chat.decode(np.frombuffer(row["token_ids"], "<u4"), TOKENIZER)
+            assert TEMPLATE.parse(written) == [turns[k]] and row["position"] == position
+            position += row["n_tokens"]
+        # what holds the last segment's place in its interval is what the conversation has said
+        assert [s for s in sorted(segments) if s <= own[-1] < segments[s]["visible_until"]] == own
+        places = [p for s in own for p in range(s, s + segments[s]["n_tokens"])]
+        assert [p for a in index[conv]["attends"] for p in range(a["from"], a["until"])] == places
+        assert all(a["until"] < b["from"] for a, b in zip(index[conv]["attends"], index[conv]["attends"][1:]))
+    for path, start in place.items():
+        below = [s for p, s in place.items() if p[:len(path)] == path]
+        last = max(below)
+        assert segments[start]["visible_until"] == last + segments[last]["n_tokens"]
+
+
+def test_training_arrays_of_a_segment(spark, scratch):
+    rows = [(1, 0, "user", "one two"), (1, 1, "assistant", "three"), (2, 0, "user", "one two"), (2, 1, "assistant", "four")]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], SCHEMA + ", path string")
+    chat.write_chats(df, scratch, TOKENIZER)
+    segments = spark.read.parquet(f"{scratch}/segments").orderBy("start").collect()
+    arrays = [chat.training_arrays(s) for s in segments]
+    assert len(arrays) == 3 and not arrays[0]["loss"].any()
+    total = sum(len(a["ids"]) for a in arrays)
+    assert set(arrays[0]["seen_until"]) == {total}
+    assert arrays[1]["positions"][0] == arrays[2]["positions"][0] == len(arrays[0]["ids"])
+    said = {chat.decode(a["ids"][a["loss"]], TOKENIZER) for a in arrays[1:]}
+    assert said == {"three", "four"}

@@ -1,0 +1,134 @@
+"""Periodic runs against a search that tries every period at every place."""
+
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_fixture import clashing, folder, frame, rows, same_rows
+
+from tallyline.llm import queries
+from tallyline.llm.periodic_runs import Runs, _of_texts, with_runs
+
+
+def slow_runs(words, least=24, repeats=3):
+    found, n = {}, len(words)
+    for q in range(1, n // repeats + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, repeats * q):
+                found.setdefault((i, j + q - i), q)  # a smaller period came first
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def slow_collapse(words, runs):
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    return [w for i, w in enumerate(words) if i not in gone]
+
+
+def prose(rng):
+    letters = [b"w%d" % i for i in range(rng.choice([1, 2, 2, 3, 5, 40]))]
+    out = []
+    for _ in range(rng.randint(0, 6)):
+        kind = rng.random()
+        if kind < 0.3:
+            out += [rng.choice(letters) for _ in range(rng.randint(0, 60))]
+        elif kind < 0.8:
+            unit = [rng.choice(letters) for _ in range(rng.randint(1, rng.choice([4, 20, 70])))]
+            if rng.random() < 0.4:  # a period that is periodic itself but for its end
+                unit = unit * rng.randint(2, 4) + [rng.choice(letters)]
+            if rng.random() < 0.3:
+                unit = [letters[0]] * (len(unit) - 1) + [letters[-1]]
+            out += (unit * 8)[:rng.randint(int(len(unit) * 2.5), len(unit) * 6)]
+        elif out:
+            at = rng.randrange(len(out))
+            out += out[at:at + rng.randint(1, 200)] * rng.randint(1, 4)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_all_runs_of_odd_texts(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        texts = [prose(rng) for _ in range(rng.randint(1, 4))]
+        for words, (runs, collapsed) in zip(texts, _of_texts(texts, Runs())):
+            want = slow_runs(words)
+            assert runs == [tuple(r) for r in want] or [tuple(r) for r in runs] == want
+            assert collapsed == b" ".join(slow_collapse(words, want))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=1, max_size=40), st.integers(2, 7), st.integers(0, 60))
+def test_runs_of_repeated_units(unit, times, extra):
+    words = unit * times + unit[:extra % len(unit)] + [b"end"]
+    (runs, _), = _of_texts([words], Runs())
+    assert [tuple(r) for r in runs] == slow_runs(words)
+
+
+def test_long_periods_and_very_long_texts():
+    unit = [b"%d" % (i * i % 7919) for i in range(5000)]
+    (runs, kept), = _of_texts([unit * 3], Runs())
+    assert [tuple(r) for r in runs] == [(0, 15000, 5000)]
+    assert kept == b" ".join(unit)
+    assert _of_texts([unit * 3][:1], Runs(repeats=4))[0][0] == []
+    (runs, kept), = _of_texts([[b"a"] * 300_000], Runs())
+    assert [tuple(r) for r in runs] == [(0, 300_000, 1)] and kept == b"a"
+
+
+def test_stricter_kinds_are_a_choice_of_all_runs():
+    rng = random.Random(77)
+    words = [w for _ in range(30) for w in prose(rng)]
+    (runs, _), = _of_texts([words], Runs(least=40, repeats=5))
+    assert [tuple(r) for r in runs] == [r for r in slow_runs(words) if r[1] >= max(40, 5 * r[2])]
+    with pytest.raises(ValueError):
+        Runs(least=10)
+
+
+def edited(doc, text):
+    words = (text or "").encode().split()
+    if doc is None or zlib.crc32(str(doc).encode()) % 10 or not words:
+        return words
+    g, n = zlib.crc32(str(doc).encode()) // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def test_op13_equals_the_slow_search(spark, scratch):
+    rng = random.Random(3)
+    more = [(10_000 + i, b" ".join(prose(rng)).decode(), "en", "s", 0) for i in range(150)]
+    some = rows() + more + [(9, "x " * 40_000, "en", "s", 0)]
+    got = queries.op13_periodic_runs(spark, folder(spark, scratch, some)).collect()
+    want = []
+    for doc, text, *_ in some:
+        words = edited(doc, text)
+        if len(words) > 20_000:  # one word all over
+            runs = [(0, len(words), 1)]
+        else:
+            runs = slow_runs(words)
+        best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+        milli = None if best[0] is None else 1000 * best[1] // best[2]
+        lines = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+        kept = b" ".join(slow_collapse(words, runs))
+        want.append((doc, len(runs), *best, milli, hashlib.sha256(lines.encode()).hexdigest(),
+                     hashlib.sha256(kept).hexdigest()))
+    same_rows([tuple(r) for r in got], want)
+    assert sum(r["n_runs"] > 0 for r in got) > 50
+
+
+def test_runs_keep_other_columns_and_empty_tables(spark):
+    df = clashing(frame(spark)).withColumnRenamed("kept", "Runs")
+    out = with_runs(df)
+    assert out.columns == [c for c in df.columns if c not in ("Runs", "n_words")] + ["n_words", "runs", "collapsed"]
+    assert {r["score"] for r in out.collect()} == {"kept score"}
+    empty = with_runs(df.limit(0))
+    assert empty.collect() == []
+    odd = spark.createDataFrame([("a b " * 20,)], "`a.text` string")
+    assert [tuple(x) for x in with_runs(odd, "a.text").first()["runs"]] == [(0, 40, 2)]
