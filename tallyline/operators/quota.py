@@ -19,7 +19,8 @@ Skew: one phone may place a large share of all calls. Nothing here sends a
 phone's raw calls to one task. Both acceptance rules rank a phone's calls
 and keep the first ``max_votes`` (+1): Catalyst plans this as a
 ``WindowGroupLimit`` that trims each map task's rows per phone before the
-shuffle (see :func:`check_group_limit` for large quotas). Running counts
+shuffle. Quotas above ``RANKED_QUOTA`` are cut off by counts instead
+(:mod:`tallyline.operators.cutoff`). Running counts
 first compact calls to one row per (phone, batch) with a map-side partial
 count, then sum them in blocks of batches.
 """
@@ -32,9 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.cumulative import null_safe_join, running_total
+from tallyline.operators.cutoff import first_calls_by_count, phones_within
 
 PHONE = "phone_number"
 BATCH = "batch_id"
+#: Quotas above this are cut off by counts (:mod:`tallyline.operators.cutoff`) instead of
+#: ranks; both give the same calls. Ranking leaves up to the quota times the map tasks in one task.
+RANKED_QUOTA = 128
 
 
 def check_group_limit(df: DataFrame, limit: int) -> None:
@@ -93,8 +98,10 @@ def allowed_phone_batches(calls: DataFrame, max_votes: int) -> DataFrame:
     Every batch adds at least one call, so only a phone's first
     ``max_votes`` batches can qualify; ranking them first lets Catalyst plan
     a ``WindowGroupLimit`` that trims each map task's rows per phone before
-    the shuffle.
+    the shuffle. Above ``RANKED_QUOTA`` the running counts decide without ranks.
     """
+    if max_votes > RANKED_QUOTA:
+        return phones_within(calls, max_votes, PHONE, BATCH)
     check_group_limit(calls, max_votes)
     order = Window.partitionBy(PHONE).orderBy(BATCH)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -132,8 +139,11 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
     lie in batches ``<= b``. Calls outside the first ones always exceed the
     quota. The limit is planned as a ``WindowGroupLimit`` before the shuffle,
     so at most ``max_votes + 1`` calls per phone leave each map task, and
-    the running count reuses the same partitioning and sort.
+    the running count reuses the same partitioning and sort. Above ``RANKED_QUOTA``
+    whole batches are accepted by their counts (:func:`batch_quota_join`).
     """
+    if max_votes > RANKED_QUOTA:
+        return batch_quota_join(calls, max_votes, num_contestants)
     check_group_limit(calls, max_votes + 1)
     order = Window.partitionBy(PHONE).orderBy(BATCH, tie_break)
     through_batch = (Window.partitionBy(PHONE).orderBy(BATCH)
@@ -146,7 +156,13 @@ def batch_quota(calls: DataFrame, max_votes: int, num_contestants: int,
 
 def first_calls(calls: DataFrame, max_votes: int,
                 order: tuple[str, ...] = ("ts", "vote_id")) -> DataFrame:
-    """The first ``max_votes`` calls of every phone in arrival ``order``."""
+    """The first ``max_votes`` calls of every phone in arrival ``order``.
+
+    Above ``RANKED_QUOTA``, calls with a batch are cut off by counts, in the order
+    (batch, *``order``), which is the same where batches follow the time.
+    """
+    if max_votes > RANKED_QUOTA and BATCH in calls.columns:
+        return first_calls_by_count(calls, max_votes, PHONE, BATCH, order)
     check_group_limit(calls, max_votes)
     w = Window.partitionBy(PHONE).orderBy(*order)
     return (calls.withColumn("_rank", F.row_number().over(w))

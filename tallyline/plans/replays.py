@@ -53,6 +53,31 @@ def q_stream_batch_quota(spark, data_dir):
     return _accepted(spark, data_dir, "batch")
 
 
+def _accepted_single(spark: SparkSession, data_dir: str, variant: str) -> DataFrame:
+    """A quota of one call per user and contestant (the contestant is part of the phone)."""
+    replay = stage_events(read_table(spark, data_dir, "events"), INTERVAL_SECONDS, ("accepted",))
+    session = stream_session(spark)
+    line = F.col("phone_number") * 8 + F.col("contestant_number")
+
+    def begin():
+        stream = S.event_call_stream(session, replay.source).withColumn("phone_number", line)
+        return S.start_acceptance(S.accept_single_calls(stream, variant, P.num_contestants), replay.table("accepted"),
+                                  replay.checkpoint("accepted"), ONCE, mode="update")
+
+    run_replay(spark, replay, [begin])
+    return S.read_accepted(spark, replay.table("accepted")).select("vote_id", "contestant_number", "batch_id")
+
+
+def q_stream_arrival_quota_jvm(spark, data_dir):
+    """The arrival rule for a quota of one as a streaming aggregate, without Python workers."""
+    return _accepted_single(spark, data_dir, "arrival")
+
+
+def q_stream_batch_quota_jvm(spark, data_dir):
+    """The batch rule for a quota of one as a streaming aggregate, without Python workers."""
+    return _accepted_single(spark, data_dir, "batch")
+
+
 def q_stream_window_counts(spark, data_dir):
     """Sliding windows over the accepted table, read as a stream after every
     batch of acceptance: the latest count of every window."""
@@ -104,6 +129,8 @@ def q_call_files(spark, data_dir):
 REPLAYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_arrival_quota": q_stream_arrival_quota,
     "stream_batch_quota": q_stream_batch_quota,
+    "stream_arrival_quota_jvm": q_stream_arrival_quota_jvm,
+    "stream_batch_quota_jvm": q_stream_batch_quota_jvm,
     "stream_window_counts": q_stream_window_counts,
     "stream_batch_counts": q_stream_batch_counts,
     "stream_rate_stats": q_stream_rate_stats,
@@ -124,9 +151,22 @@ SELECT a.vote_id, a.contestant_number, m.batch_id
 FROM {table} a JOIN micro m ON a.batch_id IS NOT DISTINCT FROM m.cut"""
 
 
+#: One line per user and contestant, and a quota of one call.
+_SINGLE = f"""lines AS (
+  SELECT vote_id, contestant_number, ts, batch_id, phone_number * 8 + contestant_number AS line FROM calls),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY batch_id NULLS FIRST, ts NULLS FIRST, vote_id) AS rk,
+         count(*) OVER (PARTITION BY line ORDER BY batch_id NULLS FIRST
+                        RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n
+  FROM lines),
+firsts AS (SELECT * FROM ranked WHERE rk = 1 AND contestant_number <= {P.num_contestants}),
+lone AS (SELECT * FROM ranked WHERE n = 1 AND contestant_number <= {P.num_contestants})"""
+
 REPLAY_SQL: dict[str, str] = {
     "stream_arrival_quota": _accepted_sql(ARRIVAL_ACCEPTED, "acc"),
     "stream_batch_quota": _accepted_sql(f"{RUNNING}, {BATCH_ACCEPTED}", "batch_acc"),
+    "stream_arrival_quota_jvm": _accepted_sql(_SINGLE, "firsts"),
+    "stream_batch_quota_jvm": _accepted_sql(_SINGLE, "lone"),
     "stream_window_counts": BATCH_SQL["window_contestant_counts"],
     "stream_batch_counts": f"""WITH {calls_sql(INTERVAL_SECONDS)}, {_MICRO_BATCHES}, {_RATES}
 SELECT batch_id, n, rate FROM rates""",

@@ -1,6 +1,6 @@
 """Streaming forms: keyed quota state, chained queries, idempotent sinks."""
 
-from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProcessor, trim_chunks
+from tallyline.streaming.processors import ArrivalQuotaProcessor, BatchQuotaProcessor, trim_calls
 from tallyline.streaming.pipeline import (
     CALL_STREAM_SCHEMA,
     EVENTS_SCHEMA,
@@ -23,8 +23,10 @@ from tallyline.streaming.pipeline import (
     start_word_counts,
     write_batch,
 )
+from tallyline.streaming.single import accept_single_calls
 
 __all__ = [
+    "accept_single_calls",
     "ArrivalQuotaProcessor",
     "BatchQuotaProcessor",
     "CALL_STREAM_SCHEMA",
@@ -46,6 +48,6 @@ __all__ = [
     "start_leaderboard",
     "start_window_counts",
     "start_word_counts",
-    "trim_chunks",
+    "trim_calls",
     "write_batch",
 ]

@@ -39,7 +39,7 @@ from tallyline.sources.calls import CallViewSpec, call_view, parse_calls, parse_
 from tallyline.streaming.processors import (
     ArrivalQuotaProcessor,
     BatchQuotaProcessor,
-    trim_chunks,
+    trim_calls,
 )
 
 EVENTS_SCHEMA = T.StructType([
@@ -136,8 +136,7 @@ def read_accepted(spark: SparkSession, accepted_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- operators
 
-TRIMMED_BATCH_SCHEMA = T.StructType(CALL_STREAM_SCHEMA.fields + [
-    T.StructField("_chunk", T.StringType()), T.StructField("_chunk_calls", T.LongType())])
+TRIMMED_BATCH_SCHEMA = T.StructType([*CALL_STREAM_SCHEMA.fields, T.StructField("_calls", T.LongType())])
 
 
 def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants: int,
@@ -150,8 +149,8 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
     ``variant="arrival"``: the phone's first ``max_votes`` calls in arrival
     order are accepted.
 
-    ``pretrim`` cuts every input chunk to a few calls per phone before the
-    shuffle by phone (:func:`trim_chunks`), the streaming counterpart of the
+    ``pretrim`` cuts every map task's input to a few calls per phone before the
+    shuffle by phone (:func:`trim_calls`), the streaming counterpart of the
     batch forms' map-side group limit. ``state_ttl_ms`` (off by default, as
     in the source system) lets a phone's count expire after that much
     processing time without calls, bounding state by active phones. Spark
@@ -164,7 +163,7 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
     rows = calls.select(*CALL_STREAM_SCHEMA.fieldNames())
     if pretrim:
         schema = TRIMMED_BATCH_SCHEMA if variant == "batch" else CALL_STREAM_SCHEMA
-        rows = rows.mapInArrow(trim_chunks(variant, max_votes, order), schema)
+        rows = rows.mapInArrow(trim_calls(variant, max_votes, order), schema)
     if variant == "batch":
         processor = BatchQuotaProcessor(max_votes, CALL_STREAM_SCHEMA, trimmed=pretrim,
                                         ttl_ms=state_ttl_ms)
@@ -275,9 +274,10 @@ def _start(writer, checkpoint: str, trigger: dict | None, name: str | None) -> S
 
 
 def start_acceptance(accepted: DataFrame, accepted_dir: str, checkpoint: str,
-                     trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Append each micro-batch's accepted calls to the accepted table."""
-    return _start_table(accepted, lambda df, _: df, accepted_dir, checkpoint, trigger, name)
+                     trigger: dict | None = None, name: str | None = None, mode: str = "append") -> StreamingQuery:
+    """Append each micro-batch's accepted calls to the accepted table. ``mode`` is the
+    stream's output mode: "update" for :func:`~tallyline.streaming.single.accept_single_calls`."""
+    return _start_table(accepted, lambda df, _: df, accepted_dir, checkpoint, trigger, name, mode)
 
 
 def start_batch_metrics(records: DataFrame, metrics_dir: str, checkpoint: str, batch_ms: int,

@@ -1,5 +1,6 @@
 """Run both quota rules on input where one phone has a third of all calls and
-report, from Spark's event log, the most shuffle records any task read.
+report, from Spark's event log, the most shuffle records any task read: with a small
+quota, and with a quota of 1000 over 64 map tasks (cut off by counts, and ranked).
 
 Usage: python tests/skew_probe.py EVENT_LOG_DIR  (prints one JSON line)
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tallyline.operators import quota  # noqa: E402
 from tallyline.session import build_session  # noqa: E402
-from tallyline.sources.calls import call_view  # noqa: E402
+from tallyline.sources.calls import CallViewSpec, call_view  # noqa: E402
 from tallyline.sources.tables import read_table  # noqa: E402
 
 HOT = 9_999_999_999
@@ -44,10 +45,24 @@ def main():
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")
     spark.sparkContext.setJobGroup("control", "control")
     quota.arrival_quota(hot, 20, 6).write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setJobGroup("other", "other")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
+    # sf0.1: one call in three is the hot phone's, in every batch; batches of a minute
+    spec = CallViewSpec(batch_seconds=60)
+    view = call_view(read_table(spark, "/root/testdata/sf0.1", "events"), spec)
+    hot = (view.withColumn("phone_number", F.when(F.col("vote_id") % 3 == 0, F.lit(HOT))
+                           .otherwise(F.col("phone_number"))).repartition(64))
+    accepted = {}
+    for name, quota.RANKED_QUOTA in (("large", 128), ("ranked", 1 << 30)):
+        for rule, apply in (("arrival", quota.arrival_quota), ("batch", quota.batch_quota)):
+            spark.sparkContext.setJobGroup("other", "other")
+            accepted[f"{name}_{rule}"] = apply(hot, 1000, 6).agg(F.count(F.lit(1)), F.sum("vote_id")).first()
+            spark.sparkContext.setJobGroup(f"{name}_{rule}", name)
+            apply(hot, 1000, 6).write.format("noop").mode("overwrite").save()
     spark.stop()
     [log] = glob.glob(os.path.join(log_dir, "*"))
     group_of_job, stage_job = {}, {}
-    stage_max = {}
+    stage_max, stage_sum = {}, {}
     with open(log) as fh:
         for line in fh:
             ev = json.loads(line)
@@ -61,11 +76,18 @@ def main():
                 read = (metrics.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
                 sid = ev["Stage ID"]
                 stage_max[sid] = max(stage_max.get(sid, 0), read)
+                stage_sum[sid] = stage_sum.get(sid, 0) + read
     # the last stage of each job reads the shuffle by phone (the window input)
     for group in ("arrival", "batch", "control"):
         stages = sorted(sid for sid, g in stage_job.items() if g == group and sid in stage_max)
         runs[group] = stage_max[stages[-1]] if stages else None
-    print(json.dumps({"hot_calls": hot_calls, "max_task_shuffle_records": runs,
+    large = {}
+    for group in accepted:
+        own = [sid for sid, g in stage_job.items() if g == group and stage_sum.get(sid)]
+        # the busiest task of any stage, against the mean task (of eight) of the largest one
+        large[group] = {"busiest": max(stage_max[s] for s in own), "mean": max(stage_sum[s] for s in own) / 8,
+                        "accepted": list(accepted[group])}
+    print(json.dumps({"large": large, "hot_calls": hot_calls, "max_task_shuffle_records": runs,
                       "per_stage": {str(k): v for k, v in sorted(stage_max.items())}}))
 
 

@@ -1,8 +1,10 @@
+import random
 from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import model
 from fixtures import HOT_PHONE, sample_calls, to_df
@@ -255,3 +257,30 @@ def test_last_write_of_a_repeated_key_does_not_depend_on_order(spark):
         df = spark.createDataFrame(some, "key string, value string, ts bigint")
         got = {r.key: r.value for r in latest_per_key(df, ("ts",)).collect()}
         assert got == {"a": "1 6 2 0", "b": "2 5 2 0"}
+
+
+@pytest.mark.parametrize("max_votes", [1, 3, 10, 40])
+def test_counts_cut_off_as_ranks_do(spark, monkeypatch, max_votes):
+    """A large quota's path on small quotas: hot phone, ties in time, no phone, no batch, no time."""
+    rng = random.Random(max_votes)
+    calls = []
+    for i in range(600):
+        phone = rng.choice([7, 7, 7, None, rng.randrange(20)])
+        batch = rng.choice([None, 3, 3, 3, rng.randrange(9)])
+        at = rng.choice([None, 1000, 1000, rng.randrange(3600)])
+        calls.append((i, phone, 1 + i % 7, 0, batch, at))
+    rows = spark.createDataFrame(calls, "vote_id bigint, phone_number bigint, contestant_number int, "
+                                        "timestamp int, batch_id bigint, at bigint")
+    df = rows.withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    first = lambda v: (v is not None, v or 0)
+    used, want = Counter(), []
+    for c in sorted(calls, key=lambda c: (first(c[4]), first(c[5]), c[0])):
+        used[c[1]] += 1
+        if used[c[1]] <= max_votes and c[2] <= 6:
+            want.append(c[0])
+    monkeypatch.setattr(quota, "RANKED_QUOTA", 0)
+    assert ids(quota.arrival_quota(df, max_votes, 6)) == sorted(want)
+    by_count = ids(quota.batch_quota(df, max_votes, 6)), sorted(map(str, quota.allowed_phone_batches(df, max_votes).collect()))
+    monkeypatch.setattr(quota, "RANKED_QUOTA", 128)
+    assert by_count == (ids(quota.batch_quota(df, max_votes, 6)),
+                        sorted(map(str, quota.allowed_phone_batches(df, max_votes).collect())))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from fixtures import sample_calls, sample_lines
+from fixtures import HOT_PHONE, sample_calls, sample_lines
 from tallyline import streaming as S
 from tallyline.operators import boards, quota, words
 from tallyline.sources.calls import call_view
@@ -309,6 +309,31 @@ def test_console_leaderboard_runs(spark, scratch):
     assert sum(p["numInputRows"] for p in q.recentProgress) == 33
 
 
+@pytest.mark.parametrize("variant", ["batch", "arrival"])
+def test_single_calls_without_python_workers(spark, scratch, variant):
+    """A quota of one as an aggregate: equal to the model over batches and a restart."""
+    src, out, ck = (os.path.join(scratch, n) for n in ("in", "accepted", "ck"))
+    lines = sample_lines()
+    plans = []
+
+    def run():
+        calls = S.call_line_stream(spark, src, max_files_per_trigger=1)
+        q = S.start_acceptance(S.accept_single_calls(calls, variant, 6), out, ck, ONCE, mode="update")
+        q.awaitTermination()
+        plans.append(q._jsq.explainInternal(True))
+
+    stage_text(src, [lines[:10], lines[10:20]])
+    run()
+    stage_text(src, [lines[20:30], lines[30:], [f"90 {HOT_PHONE} 1 0", "91 1 1 0", "92 1 2 0", "93 1 9 0"]], 2)
+    run()
+    fixture = sample_calls(10)
+    want = (model.batch_quota(fixture, 1, 6) if variant == "batch" else model.arrival_quota(fixture, 1, 6))
+    assert vote_ids(S.read_accepted(spark, out)) == sorted(want + ([91] if variant == "arrival" else []))
+    assert not any("Python" in p or "Arrow" in p for p in plans)
+    with pytest.raises(ValueError):
+        S.accept_single_calls(spark.range(1), "other", 6)
+
+
 @pytest.mark.parametrize("variant", ["batch", "arrival"])
 @pytest.mark.parametrize("pretrim", [True, False])
 def test_hot_phone_in_one_micro_batch(spark, scratch, variant, pretrim):
@@ -337,11 +362,35 @@ def test_trimming_keeps_calls_without_phone_and_large_numbers(spark, variant):
             (5, None, 1, 0, None), (6, 7, 1, 0, None)]
     calls = spark.createDataFrame(rows, S.CALL_STREAM_SCHEMA).coalesce(1)
     schema = S.TRIMMED_BATCH_SCHEMA if variant == "batch" else S.CALL_STREAM_SCHEMA
-    kept = calls.mapInArrow(S.trim_chunks(variant, 1), schema).collect()
-    want = {(1, big), (2, None), (6, 7)} | ({(3, None), (4, big)} if variant == "batch" else set())
-    assert {(r.vote_id, r.phone_number) for r in kept} == want
+    kept = calls.mapInArrow(S.trim_calls(variant, 1), schema).collect()
+    assert {(r.vote_id, r.phone_number) for r in kept if r.vote_id} == {(1, big), (2, None), (6, 7)}
     if variant == "batch":
-        assert {(r.phone_number, r._chunk_calls) for r in kept} == {(big, 2), (None, 3), (7, 1)}
+        assert {(r.phone_number, r._calls) for r in kept if not r.vote_id} == {(big, 1), (None, 2)}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_a_task_passes_few_calls_of_a_phone_whatever_its_chunks(spark, shuffled):
+    """Chunks of 100 calls: the limit holds over a task, not over a chunk."""
+    import random
+    import pyarrow as pa
+
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, 5 if i % 2 else i, 1, 0, at + datetime.timedelta(seconds=i)) for i in range(20_000)]
+    if shuffled:
+        random.Random(4).shuffle(rows)
+    fields = [("vote_id", pa.int64()), ("phone_number", pa.int64()), ("contestant_number", pa.int32()),
+              ("timestamp", pa.int32()), ("ts", pa.timestamp("us", "UTC"))]
+    whole = pa.RecordBatch.from_pylist([dict(zip([n for n, _ in fields], r)) for r in rows], pa.schema(fields))
+    chunks = [whole.slice(k, 100) for k in range(0, len(rows), 100)]
+    out = pa.Table.from_batches(list(S.trim_calls("arrival", 30)(iter(chunks))))
+    passed = sorted(v for v, p in zip(out["vote_id"].to_pylist(), out["phone_number"].to_pylist()) if p == 5)
+    first = [i for i in range(20_000) if i % 2][:30]
+    assert set(first) <= set(passed)
+    assert len(passed) == 30 if not shuffled else len(passed) < 300
+    assert out.num_rows - len(passed) == 10_000
+    out = pa.Table.from_batches(list(S.trim_calls("batch", 30)(iter(chunks))))
+    own = [c for c, p in zip(out["_calls"].to_pylist(), out["phone_number"].to_pylist()) if p == 5]
+    assert sorted(own) == [1] * 30 + [9970] and sum(out["_calls"].to_pylist()) == 20_000
 
 
 @pytest.mark.parametrize("variant", ["batch", "arrival"])
