@@ -142,10 +142,10 @@ def _tokenized(tokenizer: str, template: Template):
         encode = encoder(tokenizer)
 
         def rows(batch):
-            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1)):
-                turns = [(t["role"] or "", t["text"] or "") for t in turns.as_py()]
-                written = [template.parts(*t) for t in turns]
-                ids = encode.many([part for parts in written for part in parts])
+            convs = [[(t["role"] or "", t["text"] or "") for t in turns] for turns in batch.column(1).to_pylist()]
+            # parts of many conversations are encoded together, and taken one by one
+            ids = encode.many(part for turns in convs for turn in turns for part in template.parts(*turn))
+            for conv, turns in zip(batch.column(0).to_pylist(), convs):
                 digest, path, before = b"", [], [0]
                 for k, (role, text) in enumerate(turns):
                     head, body, end = next(ids), next(ids), next(ids)
