@@ -41,9 +41,10 @@ def ltz_from_micros(micros: Column) -> Column:
     return F.timestamp_micros(micros)
 
 
-def bucket_index(micros: Column, origin_seconds: int, width_seconds: int) -> Column:
-    """``floor((t - origin) / width)``: the batch or slide bucket of a time."""
-    width_us = int(width_seconds) * 1_000_000
+def bucket_index(micros: Column, origin_seconds: int, width_seconds: int, width_us: int | None = None) -> Column:
+    """``floor((t - origin) / width)``: the batch or slide bucket of a time;
+    ``width_us`` for widths that are no whole seconds."""
+    width_us = int(width_seconds) * 1_000_000 if width_us is None else width_us
     origin_us = int(origin_seconds) * 1_000_000
     since = micros - F.lit(origin_us)
     # whole numbers throughout: a DOUBLE quotient is not exact for far dates

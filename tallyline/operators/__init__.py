@@ -22,9 +22,14 @@ from tallyline.operators.metrics import (
     batch_counts,
     batch_rates,
     dense_ids,
+    gap_runs,
     idle_batches,
+    idle_ids,
+    idle_runs,
+    numbered_samples,
     rate_summary,
     rate_summary_when_idle,
+    sparse_counts,
     summary_line,
 )
 from tallyline.operators.kv import kv_rows, latest_per_key
@@ -48,7 +53,12 @@ __all__ = [
     "batch_counts",
     "batch_rates",
     "dense_ids",
+    "gap_runs",
     "idle_batches",
+    "idle_ids",
+    "idle_runs",
+    "numbered_samples",
+    "sparse_counts",
     "rate_summary",
     "rate_summary_when_idle",
     "summary_line",

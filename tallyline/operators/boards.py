@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.time import epoch_micros, ltz_from_micros, ntz_from_micros
-from tallyline.operators.cumulative import explode_range, next_in_order, running_total
+from tallyline.operators.cumulative import block_of, explode_range, next_in_order, running_total
 from tallyline.operators.quota import check_group_limit
 from tallyline.session import materialize
 
@@ -81,34 +83,27 @@ def sliding_window_counts(accepted: DataFrame, time_col: str, size_seconds: int,
     """(window_start, window_end, *keys, n) over windows ``[s, s + size)`` with
     ``s`` on the slide grid (``start_seconds`` offset), as ``F.window`` does.
 
-    When ``size`` is a multiple of ``slide`` a row's windows depend only on its
-    slide bucket, so rows are counted per (bucket, keys) first and only those
-    counts are fanned out to the ``size / slide`` windows: the fan-out costs
-    one row per bucket and key rather than per call. Other shapes fall back to
-    ``F.window``. Window bounds keep the time column's type.
+    Calls are counted per (pane, keys) first, a pane being a stretch of the greatest
+    common divisor of size and slide, and only these counts are copied to the windows
+    that hold the pane: the fan-out costs one row per pane and key rather than per
+    call, for any size and slide. Window bounds keep the time column's type.
     """
     dtype = accepted.schema[time_col].dataType
     to_time = ntz_from_micros if isinstance(dtype, T.TimestampNTZType) else ltz_from_micros
-    size_us, slide_us = size_seconds * 1_000_000, slide_seconds * 1_000_000
-    start_us = start_seconds * 1_000_000
-    if size_seconds % slide_seconds:
-        w = F.window(time_col, f"{size_seconds} seconds", f"{slide_seconds} seconds",
-                     f"{start_seconds} seconds")
-        return (accepted.groupBy(w.alias("_w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-                .select(F.col("_w.start").alias("window_start"),
-                        F.col("_w.end").alias("window_end"), *keys, "n"))
-    micros = epoch_micros(accepted, time_col)
-    bucket = F.floor((micros - F.lit(start_us)) / F.lit(slide_us)).cast("bigint")
-    per_bucket = (accepted.select(bucket.alias("_bucket"), *keys)
-                  .groupBy("_bucket", *keys).agg(F.count(F.lit(1)).alias("_n")))
-    fan = size_seconds // slide_seconds
-    spread = (per_bucket
-              .select("_bucket", *keys, "_n",
-                      F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).alias("_o"))
-              .select((F.col("_bucket") - F.col("_o")).alias("_first"), *keys, "_n"))
-    counted = spread.groupBy("_first", *keys).agg(F.sum("_n").cast("bigint").alias("n"))
-    first_us = F.col("_first") * F.lit(slide_us) + F.lit(start_us)
+    size, slide, start = (s * 1_000_000 for s in (size_seconds, slide_seconds, start_seconds))
+    pane = gcd(size, slide)
+    at = block_of(epoch_micros(accepted, time_col) - F.lit(start), pane)
+    per_pane = (accepted.where(F.col(time_col).isNotNull()).select(at.alias("_pane"), *keys)
+                .groupBy("_pane", *keys).agg(F.count(F.lit(1)).alias("_n")))
+    # window k covers [k * slide, k * slide + size); with a slide over the size a pane may be in none
+    begin = F.col("_pane") * F.lit(pane)
+    spread = (per_pane
+              .select(*keys, "_n", block_of(begin + F.lit(pane - size + slide - 1), slide).alias("_lo"),
+                      block_of(begin, slide).alias("_hi")).where("_lo <= _hi")
+              .select(*keys, "_n", F.explode(F.sequence("_lo", "_hi")).alias("_k")))
+    counted = spread.groupBy("_k", *keys).agg(F.sum("_n").cast("bigint").alias("n"))
+    first_us = F.col("_k") * F.lit(slide) + F.lit(start)
     return counted.select(
         to_time(first_us).alias("window_start"),
-        to_time(first_us + F.lit(size_us)).alias("window_end"),
+        to_time(first_us + F.lit(size)).alias("window_end"),
         *keys, "n")

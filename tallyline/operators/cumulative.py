@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def block_of(value: Column, block: int) -> Column:
+    """``floor(value / block)`` of whole numbers, exact for any BIGINT."""
+    value = value.cast("bigint")
+    return F.call_function("div", value - F.pmod(value, F.lit(block)), F.lit(block))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where NULL equals NULL, keeping the left side's keys."""
     other = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k) for k in right.columns])
@@ -28,7 +34,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
     """
     # never NULL, so the join below infers no extra filter on it and both of
     # its inputs stay the same plan (Spark then computes ``df`` once)
-    blk = F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("bigint"), F.lit(-(1 << 62))).alias("_blk")
+    blk = F.coalesce(block_of(F.col(order), block), F.lit(-(1 << 62))).alias("_blk")
     rows = df.select("*", blk)
     within = (Window.partitionBy(*keys, "_blk").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -52,7 +58,7 @@ def next_in_order(df: DataFrame, keys: list[str], order: str, out: str,
     and a row that is last in its block takes the first value of the key's
     next non-empty block, from a window over one row per (keys, block).
     """
-    blk = F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("bigint"), F.lit(0)).alias("_blk")
+    blk = F.coalesce(block_of(F.col(order), block), F.lit(0)).alias("_blk")
     rows = df.select("*", blk)
     within = Window.partitionBy(*keys, "_blk").orderBy(order)
     led = rows.withColumn("_next_in_blk", F.lead(order).over(within))
@@ -73,8 +79,7 @@ def explode_range(df: DataFrame, lo: Column, hi: Column, out: str, keep: list[st
     spread over tasks before they are expanded, so one long range does not
     make one task produce all of its rows.
     """
-    first = F.floor(lo / F.lit(chunk)).cast("bigint")
-    last = F.floor(hi / F.lit(chunk)).cast("bigint")
+    first, last = block_of(lo, chunk), block_of(hi, chunk)
     chunks = (df.select(*keep, lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"),
                         F.explode(F.sequence(first, last)).alias("_chunk"))
               .repartition("_chunk", *keep))

@@ -11,28 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.rates import rate_per_second
-from tallyline.operators.cumulative import explode_range
+from tallyline.operators.cumulative import explode_range, next_in_order, running_total
 from tallyline.session import materialize
 from tallyline.functions.time import ntz_from_micros
 
 BATCH = "batch_id"
 
 
+#: Widest range of batch ids that is filled with zeros.
+MOST_IDS = 1 << 30
+
+
 def dense_ids(spark: SparkSession, source: DataFrame, column: str,
-              block: int = 1 << 16) -> DataFrame:
+              block: int = 1 << 16, most: int = MOST_IDS) -> DataFrame:
     """Every integer from ``min(column)`` to ``max(column)`` of ``source``, as
     a distributed one-column DataFrame named ``column``.
 
     The bounds are scalar subqueries, so nothing is computed until the result
     is used. The range is cut into blocks of ``block`` ids that are spread
     over tasks before each is expanded, so no single task or the driver
-    builds the whole range.
+    builds the whole range. A range of over ``most`` ids fails: one wrong timestamp
+    makes such a range, and the sparse forms (:func:`idle_runs`,
+    :func:`rate_summary`) need none.
     """
     lo = source.select(F.min(column)).scalar()
     hi = source.select(F.max(column)).scalar()
+    hi = F.when(hi - lo < F.lit(most), hi).when(lo.isNotNull(), F.raise_error(F.concat(
+        F.lit(f"over {most} ids between "), lo.cast("string"), F.lit(" and "), hi.cast("string"))).cast("bigint"))
     return explode_range(spark.range(1), lo, hi, column, [], block)
 
 
+def sparse_counts(records: DataFrame, batch: str = BATCH) -> DataFrame:
+    """(batch_id, n) of batches with records only, written once."""
+    return materialize(records.groupBy(batch).agg(F.count(F.lit(1)).alias("n")), "batch_counts")
+
+
 def batch_counts(spark: SparkSession, records: DataFrame, batch: str = BATCH) -> DataFrame:
     """(batch_id, n): records per batch, 0 for a batch with none, over every
     batch id between the first and the last one seen.
@@ -41,8 +54,7 @@ def batch_counts(spark: SparkSession, records: DataFrame, batch: str = BATCH) ->
     bounds, the zero-fill join and any later summary read them, not the
     records.
     """
-    counts = materialize(records.groupBy(batch).agg(F.count(F.lit(1)).alias("n")),
-                         "batch_counts")
+    counts = sparse_counts(records, batch)
     spine = dense_ids(spark, counts, batch)
     return (spine.join(counts, batch, "left")
             .select(batch, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
@@ -63,12 +75,19 @@ def batch_rates(counts: DataFrame, batch_seconds: int, origin_seconds: int = 0,
     )
 
 
+def numbered_samples(metrics: DataFrame, batch: str = BATCH) -> DataFrame:
+    """``metrics`` with ``position``: the samples' number from 1 in order of ``batch``.
+
+    Counted in blocks of batches, so no task holds the whole series."""
+    return running_total(metrics.withColumn("_one", F.lit(1)), [], batch, "_one", "position").drop("_one")
+
+
 def rate_summary(metrics: DataFrame, trailing: int = 4, batch: str = BATCH,
                  rate: str = "rate") -> DataFrame:
     """One row: n_batches, max_rate, min_rate, avg_rate, stddev_rate.
 
-    The last ``trailing`` samples (by batch id on a dense series) are left
-    out, then zero rates are dropped; the deviation uses the ``n - 1``
+    The last ``trailing`` samples (by batch id; batches without a row are zero samples)
+    are left out, then zero rates are dropped; the deviation uses the ``n - 1``
     divisor. With no samples left the count is 0 and the rest NULL.
     """
     last = metrics.select(F.max(batch)).scalar()
@@ -103,6 +122,41 @@ def idle_batches(metrics: DataFrame, run: int = 3, batch: str = BATCH,
             .select(F.col("_at").cast("bigint").alias(batch)))
 
 
+def gap_runs(counts: DataFrame, batch: str = BATCH, n: str = "n") -> DataFrame:
+    """(start, length): the maximal stretches of batch ids without records, between the
+    first and the last id of ``counts``, whose rows may be missing or 0 for such batches.
+
+    Found from neighbouring busy ids, in blocks, so the cost is that of the rows there
+    are, however far apart their ids lie. NULL ids are left out.
+    """
+    known = counts.where(F.col(batch).isNotNull())
+    ends = known.agg(F.min(batch).alias("lo"), F.max(batch).alias("hi"))
+    busy = known.where(F.col(n) != 0).select(F.col(batch).cast("bigint").alias("at"))
+    # the ids just outside stand for the edges of the series
+    edges = ends.where("lo is not null").select(F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("at"))
+    marks = next_in_order(busy.unionByName(edges), [], "at", "next")
+    return marks.where(F.col("next") - F.col("at") > 1).select(
+        (F.col("at") + 1).alias("start"), (F.col("next") - F.col("at") - 1).alias("length"))
+
+
+def idle_runs(counts: DataFrame, run: int = 3, batch: str = BATCH, n: str = "n") -> DataFrame:
+    """(first, last): the stretches of batch ids at which the last ``run`` samples are
+    zero, with more than ``run`` samples seen; one row per idle stretch."""
+    lo = counts.select(F.min(batch)).scalar()
+    first = F.greatest(F.col("start") + F.lit(run - 1), lo + F.lit(run))
+    last = F.col("start") + F.col("length") - 1
+    return (gap_runs(counts, batch, n).select(first.cast("bigint").alias("first"), last.cast("bigint").alias("last"))
+            .where(F.col("first") <= F.col("last")))
+
+
+def idle_ids(counts: DataFrame, run: int = 3, batch: str = BATCH, n: str = "n") -> DataFrame:
+    """(batch_id): as :func:`idle_batches`, from counts without zero rows."""
+    return explode_range(idle_runs(counts, run, batch, n), F.col("first"), F.col("last"), batch, [])
+
+
+#: Columns of a rate summary.
+SUMMARY_COLUMNS = ("n_batches", "max_rate", "min_rate", "avg_rate", "stddev_rate")
+
 # Fixed value: the printed summary format of the source system (count as a
 # two-wide integer, doubles in Java's shortest round-trip form).
 SUMMARY_FORMAT = "effective batch number:%2d max: %s min: %s average: %s stddev: %s "

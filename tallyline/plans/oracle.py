@@ -151,6 +151,24 @@ looked AS (
   FROM series)
 SELECT batch_id FROM looked WHERE samples > 3 AND last3 = 0""",
 
+    "idle_runs": f"""WITH {_metric_series(600)},
+looked AS (
+  SELECT batch_id,
+         sum(rate) OVER (ORDER BY batch_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3,
+         row_number() OVER (ORDER BY batch_id) AS samples
+  FROM series),
+idle AS (SELECT batch_id, batch_id - row_number() OVER (ORDER BY batch_id) AS stretch
+         FROM looked WHERE samples > 3 AND last3 = 0)
+SELECT min(batch_id) AS first, max(batch_id) AS last FROM idle GROUP BY stretch""",
+
+    "window_counts_any_slide": f"""WITH {calls_sql()}, {ARRIVAL_ACCEPTED},
+fanned AS (
+  SELECT time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01') - o * INTERVAL '3 hours' AS window_start,
+         ts, contestant_number
+  FROM (SELECT ts, contestant_number, unnest(range(3)) AS o FROM acc))
+SELECT window_start, window_start + INTERVAL '7 hours' AS window_end, contestant_number, count(*) AS n
+FROM fanned WHERE ts < window_start + INTERVAL '7 hours' GROUP BY window_start, contestant_number""",
+
     "word_counts": r"""WITH lines AS (
   SELECT doc_id // 100 AS batch_id,
          unnest(CASE WHEN text = '' THEN []::VARCHAR[]

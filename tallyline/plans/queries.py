@@ -140,6 +140,13 @@ def _metric_series(spark, data_dir, batch_seconds):
     return metrics.batch_rates(counts, batch_seconds, spec.origin_seconds)
 
 
+def _sparse_series(spark, data_dir, batch_seconds):
+    """Counts and rates of the batches with calls only."""
+    spec = CallViewSpec(batch_seconds=batch_seconds)
+    view = call_view(read_table(spark, data_dir, "events"), spec)
+    return metrics.batch_rates(metrics.sparse_counts(view.select("batch_id")), batch_seconds, spec.origin_seconds)
+
+
 def q_batch_counts(spark, data_dir):
     return _metric_series(spark, data_dir, P.batch_seconds).select("batch_id", "n")
 
@@ -149,14 +156,24 @@ def q_batch_rate(spark, data_dir):
 
 
 def q_rate_stats(spark, data_dir):
-    stats = metrics.rate_summary(_metric_series(spark, data_dir, P.batch_seconds),
+    stats = metrics.rate_summary(_sparse_series(spark, data_dir, P.batch_seconds),
                                  P.trailing_samples)
     return stats.select("n_batches", *[F.round(c, 9).alias(c) for c in
                                        ("max_rate", "min_rate", "avg_rate", "stddev_rate")])
 
 
 def q_idle_batches(spark, data_dir):
-    return metrics.idle_batches(_metric_series(spark, data_dir, P.idle_batch_seconds), P.idle_run)
+    return metrics.idle_ids(_sparse_series(spark, data_dir, P.idle_batch_seconds), P.idle_run)
+
+
+def q_idle_runs(spark, data_dir):
+    """Idle stretches by first and last batch, without a row per batch."""
+    return metrics.idle_runs(_sparse_series(spark, data_dir, P.idle_batch_seconds), P.idle_run)
+
+
+def q_window_counts_any_slide(spark, data_dir):
+    """Windows of 7 hours every 3: size and slide share no common pane but an hour."""
+    return boards.sliding_window_counts(accepted_arrival(spark, data_dir), "ts", 7 * 3600, 3 * 3600)
 
 
 def q_word_counts(spark, data_dir):
@@ -185,5 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_rate": q_batch_rate,
     "rate_stats": q_rate_stats,
     "idle_batches": q_idle_batches,
+    "idle_runs": q_idle_runs,
+    "window_counts_any_slide": q_window_counts_any_slide,
     "word_counts": q_word_counts,
 }

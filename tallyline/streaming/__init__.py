@@ -6,47 +6,56 @@ from tallyline.streaming.pipeline import (
     EVENTS_SCHEMA,
     TRIMMED_BATCH_SCHEMA,
     accept_calls,
-    accepted_stream,
     bind_table,
     call_line_stream,
+    clock,
+    counted,
     event_call_stream,
     metric_series_by_time,
     read_accepted,
     read_metric_series,
-    read_window_counts,
+    read_phone_counts,
+    read_word_counts,
     rejected_line_stream,
     start_acceptance,
     start_batch_metrics,
-    start_console_leaderboard,
-    start_leaderboard,
-    start_window_counts,
     start_word_counts,
     write_batch,
 )
+from tallyline.streaming.follow import Leaderboard, RateSummary, VoteStore, WindowCounts, start_follower
+from tallyline.streaming.ledger import Folder, Ledger
+from tallyline.streaming.store import KeyedStore
 from tallyline.streaming.single import accept_single_calls
 
 __all__ = [
     "accept_single_calls",
+    "Folder",
+    "KeyedStore",
+    "Leaderboard",
+    "Ledger",
+    "RateSummary",
+    "VoteStore",
+    "WindowCounts",
+    "start_follower",
+    "clock",
+    "counted",
     "ArrivalQuotaProcessor",
     "BatchQuotaProcessor",
     "CALL_STREAM_SCHEMA",
     "EVENTS_SCHEMA",
     "TRIMMED_BATCH_SCHEMA",
     "accept_calls",
-    "accepted_stream",
     "bind_table",
     "call_line_stream",
     "event_call_stream",
     "metric_series_by_time",
     "read_accepted",
     "read_metric_series",
-    "read_window_counts",
+    "read_phone_counts",
+    "read_word_counts",
     "rejected_line_stream",
     "start_acceptance",
     "start_batch_metrics",
-    "start_console_leaderboard",
-    "start_leaderboard",
-    "start_window_counts",
     "start_word_counts",
     "trim_calls",
     "write_batch",

@@ -1,29 +1,21 @@
-"""Structured Streaming wiring: sources, quota acceptance, sinks and boards.
-
-Queries chain through tables in a shared folder, so per-phone quota state
-is kept once:
-
-* ``start_acceptance``: call stream -> per-phone quota (state store) ->
-  contestant check -> ``accepted/batch_id=<k>``.
-* ``start_leaderboard`` / ``start_window_counts``: stream over the accepted
-  table -> running totals (complete mode) / sliding windows (update mode:
-  every window that changed, at every batch).
-* ``start_batch_metrics``: raw input -> ``metrics/batch_id=<k>`` with the
-  batch's record count and rate.
+"""Structured Streaming wiring: sources, quota acceptance, metrics and word counts.
+
+* ``start_acceptance``: call stream -> per-phone quota (state store) -> contestant check
+  -> the accepted table, and the number of calls of the same micro-batch -> the metric table.
+* ``start_batch_metrics``: records and rate of any other stream's batches.
 * ``start_word_counts``: text lines -> per-batch word counts.
 
-Every sink writes one folder per micro-batch id. A batch is written beside the
-table and moved in when it is whole, so a reader never sees half a batch, and
-a batch replayed after a failure runs again (its state must be committed) but
-leaves the folder that readers may have read already. Batch ids belong to one
-query, so a table records the id of the query that writes it and refuses any
-other. Checkpoints and outputs belong in the shared folder named by
+Every sink writes a table of committed batches (:mod:`tallyline.streaming.ledger`): readers
+see a batch when it is whole, nothing is renamed, and a batch replayed after a failure runs
+again (its state must be committed) but leaves what readers may have read already. Batch
+ids belong to one query, so a table records the id of the query that writes it and refuses any
+other. What is derived from the accepted table follows its commits
+(:mod:`tallyline.streaming.follow`). Checkpoints and outputs belong in the shared folder named by
 ``spark.checkpoint.dir`` (see :func:`tallyline.session.checkpoint_root`).
 """
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +25,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.functions.rates import rate_per_second
 from tallyline.functions.time import epoch_micros, ltz_from_micros
-from tallyline.operators import boards, metrics, words
+from tallyline.operators import metrics, words
 from tallyline.operators.quota import valid_contestant
 from tallyline.sources.calls import CallViewSpec, call_view, parse_calls, parse_calls_lenient
+from tallyline.streaming.ledger import FAN, Ledger
 from tallyline.streaming.processors import (
     ArrivalQuotaProcessor,
     BatchQuotaProcessor,
@@ -68,15 +61,6 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
 ])
 
-WINDOWS_SCHEMA = T.StructType([
-    T.StructField("window_start", T.TimestampType()),
-    T.StructField("window_end", T.TimestampType()),
-    T.StructField("contestant_number", T.IntegerType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("batch_id", T.LongType()),
-])
-
-
 # ---------------------------------------------------------------- sources
 
 def _line_reader(spark: SparkSession, path: str, max_files_per_trigger: int | None) -> DataFrame:
@@ -120,18 +104,9 @@ def event_call_stream(spark: SparkSession, path: str, max_files_per_trigger: int
                        ltz_from_micros(epoch_micros(view, "ts")).alias("ts"))
 
 
-def accepted_stream(spark: SparkSession, accepted_dir: str,
-                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over the accepted table written by :func:`start_acceptance`."""
-    reader = spark.readStream.schema(ACCEPTED_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(accepted_dir)
-
-
 def read_accepted(spark: SparkSession, accepted_dir: str) -> DataFrame:
     """Batch read of the accepted table (``batch_id`` is the micro-batch)."""
-    return spark.read.schema(ACCEPTED_SCHEMA).parquet(accepted_dir)
+    return Ledger(spark, accepted_dir).read(ACCEPTED_SCHEMA)
 
 
 # ---------------------------------------------------------------- operators
@@ -178,86 +153,38 @@ def accept_calls(calls: DataFrame, variant: str, max_votes: int, num_contestants
 
 # ---------------------------------------------------------------- sinks
 
-class Folder:
-    """A path in whatever store holds it (Spark has no public call for these
-    five operations)."""
-
-    def __init__(self, spark: SparkSession, *parts: str):
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))
-        self.store = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self) -> bool:
-        return self.store.exists(self.path)
-
-    def make(self) -> None:
-        self.store.mkdirs(self.path)
-
-    def move_to(self, target: Folder) -> None:
-        if target.exists():
-            target.store.delete(target.path, True)
-        if not self.store.rename(self.path, target.path):
-            raise OSError(f"{self.path} could not be moved to {target.path}")
-
-    def read(self) -> str:
-        stream = self.store.open(self.path)
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
-
-    def create(self, text: str) -> bool:
-        """Write ``text`` unless the file is there already."""
-        if self.exists():
-            return False
-        stream = self.store.create(self.path, False)
-        stream.writeUTF(text)
-        stream.close()
-        return True
+def write_batch(df: DataFrame, table_dir: str, batch_id: int) -> bool:
+    """Write ``df`` as batch ``batch_id`` of the table, all of it or nothing
+    (:meth:`tallyline.streaming.ledger.Ledger.append`), and merge old batches where due.
+    Returns whether it wrote."""
+    table = Ledger(df.sparkSession, table_dir)
+    wrote = table.append(df, batch_id)
+    if wrote and batch_id % FAN == FAN - 1:
+        table.compact()
+        table.vacuum()
+    return wrote
 
 
 def bind_table(spark: SparkSession, table_dir: str, query_id: str) -> None:
-    """Record that query ``query_id`` writes ``table_dir``; raise if another does.
-
-    The id stays the same over restarts from one checkpoint. A new checkpoint
-    counts its batches from 0 again, so it needs a new table.
-    """
-    owner = Folder(spark, table_dir, "_query_id")
-    if owner.create(query_id):
-        return
-    found = owner.read()
-    if found != query_id:
-        raise ValueError(f"{table_dir} is written by streaming query {found}, not {query_id}: "
-                         "a new checkpoint needs a new output folder")
-
-
-def write_batch(df: DataFrame, table_dir: str, batch_id: int) -> bool:
-    """Write ``df`` as ``<table_dir>/batch_id=<batch_id>``, all of it or
-    nothing. If the batch is there already the plan still runs, as state
-    stores commit with it, and the folder stays as readers know it. Returns
-    whether it wrote."""
-    spark = df.sparkSession
-    target = Folder(spark, table_dir, f"batch_id={batch_id}")
-    if Folder(spark, table_dir, f"batch_id={batch_id}", "_SUCCESS").exists():
-        df.write.format("noop").mode("overwrite").save()
-        return False
-    staged = os.path.join(table_dir, "_staging", f"batch_id={batch_id}")
-    df.write.mode("overwrite").parquet(staged)
-    Folder(spark, staged).move_to(target)
-    return True
+    """Record that query ``query_id`` writes ``table_dir``; raise if another does."""
+    Ledger(spark, table_dir).bind(query_id)
 
 
 def _start_table(stream: DataFrame, rows, table_dir: str, checkpoint: str, trigger: dict | None,
-                 name: str | None, mode: str = "append") -> StreamingQuery:
-    """Write ``rows(batch, batch_id)`` of every micro-batch to ``table_dir``."""
+                 name: str | None, mode: str = "append", after=None) -> StreamingQuery:
+    """Write ``rows(batch, batch_id)`` of every micro-batch to ``table_dir``, then
+    call ``after(query, batch_id)``, as part of the same batch."""
     started = threading.Event()
     query: list[StreamingQuery] = []
+    Ledger(stream.sparkSession, table_dir).make()
 
     def sink(df: DataFrame, batch_id: int) -> None:
         if not started.wait(300):
             raise TimeoutError("the streaming query did not report its id")
         bind_table(df.sparkSession, table_dir, query[0].id)
         write_batch(rows(df, batch_id), table_dir, batch_id)
+        if after:
+            after(query[0], batch_id)
 
     query.append(_start(stream.writeStream.outputMode(mode).foreachBatch(sink), checkpoint, trigger, name))
     started.set()
@@ -273,11 +200,65 @@ def _start(writer, checkpoint: str, trigger: dict | None, name: str | None) -> S
     return writer.start()
 
 
+#: Name of the observed number of calls that reach the quota in a micro-batch.
+SEEN = "calls_seen"
+
+
+def counted(calls: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """``calls`` with their number observed, for ``metrics_dir`` of :func:`start_acceptance`.
+
+    ``ticks`` is any stream that has new rows at every trigger (a clock). With it
+    micro-batches run on time whether or not calls have come, so an idle one counts 0.
+    """
+    if ticks is None:
+        return calls.observe(SEEN, F.count(F.lit(1)).alias("n"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in calls.schema.fields]
+    both = (calls.withColumn("_tick", F.lit(False))
+            .unionByName(ticks.select(*nothing, F.lit(True).alias("_tick"))))
+    return both.observe(SEEN, F.count_if(~F.col("_tick")).alias("n")).where(~F.col("_tick")).drop("_tick")
+
+
+def clock(spark: SparkSession) -> DataFrame:
+    """A stream with a new row every second."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+
+def observed(query: StreamingQuery, name: str = SEEN) -> int:
+    """The number observed by the micro-batch of ``query`` that is running, once its
+    rows have been written. (Spark reports it with the batch's progress, which comes
+    too late to be part of the batch. A map task that runs again counts again.)"""
+    return query._jsq.streamingQuery().lastExecution().observedMetrics().apply(name).getLong(0)
+
+
+def metric_line(n: int, rate: float) -> str:
+    """The printed line of a micro-batch."""
+    return f"records: {n} rate: {rate}"
+
+
 def start_acceptance(accepted: DataFrame, accepted_dir: str, checkpoint: str,
-                     trigger: dict | None = None, name: str | None = None, mode: str = "append") -> StreamingQuery:
+                     trigger: dict | None = None, name: str | None = None, mode: str = "append",
+                     metrics_dir: str | None = None, batch_ms: int = 1000, show=None) -> StreamingQuery:
     """Append each micro-batch's accepted calls to the accepted table. ``mode`` is the
-    stream's output mode: "update" for :func:`~tallyline.streaming.single.accept_single_calls`."""
-    return _start_table(accepted, lambda df, _: df, accepted_dir, checkpoint, trigger, name, mode)
+    stream's output mode: "update" for :func:`~tallyline.streaming.single.accept_single_calls`.
+
+    With ``metrics_dir`` the calls that this very micro-batch read (:func:`counted`) are
+    one row of that table, under the same batch id, before the batch is
+    recorded as done: (batch_start, n, rate = n * 1000 / batch_ms). ``show`` is called
+    with a line of text for each."""
+    def measure(query: StreamingQuery, batch_id: int) -> None:
+        n = observed(query)
+        spark = accepted.sparkSession
+        row = spark.range(1).select(F.current_timestamp().alias("batch_start"), F.lit(n).cast("bigint").alias("n"),
+                                    rate_per_second(F.lit(n), batch_ms).alias("rate"))
+        bind_table(spark, metrics_dir, query.id)
+        write_batch(row, metrics_dir, batch_id)
+        if show:
+            show(metric_line(n, n * 1000 / batch_ms))
+
+    if metrics_dir:
+        Ledger(accepted.sparkSession, metrics_dir).make()
+    return _start_table(accepted, lambda df, _: df, accepted_dir, checkpoint, trigger, name, mode,
+                        measure if metrics_dir else None)
 
 
 def start_batch_metrics(records: DataFrame, metrics_dir: str, checkpoint: str, batch_ms: int,
@@ -290,63 +271,30 @@ def start_batch_metrics(records: DataFrame, metrics_dir: str, checkpoint: str, b
     return _start_table(records, row, metrics_dir, checkpoint, trigger, name)
 
 
-def start_leaderboard(accepted: DataFrame, board_dir: str, checkpoint: str, top: int = 10,
-                      trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Running totals per contestant (complete mode: every contestant is
-    re-emitted each batch); each batch's top ``top`` is written."""
-    totals = boards.contestant_totals(accepted)
-
-    def board(df: DataFrame, batch_id: int) -> DataFrame:
-        return df.orderBy(F.desc("total"), F.asc("contestant_number")).limit(top)
-    return _start_table(totals, board, board_dir, checkpoint, trigger, name, "complete")
-
-
-def start_console_leaderboard(accepted: DataFrame, top: int = 10, checkpoint: str | None = None,
-                              trigger: dict | None = None,
-                              name: str | None = None) -> StreamingQuery:
-    """Print the first ``top`` rows of the sorted running totals every batch
-    (complete mode can sort; the console sink shows ``numRows`` rows)."""
-    board = boards.contestant_totals(accepted).orderBy(F.desc("total"), F.asc("contestant_number"))
-    writer = (board.writeStream.outputMode("complete").format("console")
-              .option("numRows", top).option("truncate", False))
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    if trigger:
-        writer = writer.trigger(**trigger)
-    if name:
-        writer = writer.queryName(name)
-    return writer.start()
-
-
-def start_window_counts(accepted: DataFrame, windows_dir: str, checkpoint: str,
-                        size: str, slide: str,
-                        trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Sliding-window counts per contestant over ``ts``. Every batch writes the
-    counts so far of the windows it changed, the running one included;
-    :func:`read_window_counts` gives the latest of each. There is no watermark,
-    so no call is too late, and state holds one count per window and contestant."""
-    counted = (accepted.groupBy(F.window("ts", size, slide).alias("w"), "contestant_number")
-               .agg(F.count(F.lit(1)).alias("n"))
-               .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                       "contestant_number", "n"))
-    return _start_table(counted, lambda df, _: df, windows_dir, checkpoint, trigger, name, "update")
-
-
-def read_window_counts(spark: SparkSession, windows_dir: str) -> DataFrame:
-    """(window_start, window_end, contestant_number, n): the latest count of every window."""
-    return spark.read.schema(WINDOWS_SCHEMA).parquet(windows_dir).groupBy("window_start", "window_end", "contestant_number").agg(
-        F.max_by("n", "batch_id").alias("n"))
+WORDS_SCHEMA = "word string, n bigint, batch_id bigint"
 
 
 def start_word_counts(lines: DataFrame, counts_dir: str, checkpoint: str,
-                      trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
-    """Word counts of each micro-batch's lines (not running totals)."""
+                      trigger: dict | None = None, name: str | None = None, show=None, top: int = 10) -> StreamingQuery:
+    """Word counts of each micro-batch's lines (not running totals); ``show`` is called
+    with a line of text for ``top`` words of each batch."""
     def counts(df: DataFrame, batch_id: int) -> DataFrame:
         # each row of a text source is already one line
         batch_lines = df.select(F.lit(batch_id).cast("bigint").alias("batch_id"),
                                 F.col("value").alias("line"))
         return words.word_counts(batch_lines).drop("batch_id")
-    return _start_table(lines, counts, counts_dir, checkpoint, trigger, name)
+
+    def shown(query: StreamingQuery, batch_id: int) -> None:
+        written = Ledger(lines.sparkSession, counts_dir).read(WORDS_SCHEMA, batch_id - 1, batch_id)
+        for row in written.limit(top).collect():
+            show(f"{row.word} {row.n}")
+
+    return _start_table(lines, counts, counts_dir, checkpoint, trigger, name, after=shown if show else None)
+
+
+def read_word_counts(spark: SparkSession, counts_dir: str) -> DataFrame:
+    """(word, n, batch_id) of all batches."""
+    return Ledger(spark, counts_dir).read(WORDS_SCHEMA)
 
 
 # ---------------------------------------------------------------- metric readers
@@ -354,7 +302,7 @@ def start_word_counts(lines: DataFrame, counts_dir: str, checkpoint: str,
 def read_metric_series(spark: SparkSession, metrics_dir: str) -> DataFrame:
     """(batch_id, batch_start, n, rate) as recorded, one row per micro-batch,
     in order of the batches."""
-    return spark.read.schema(METRICS_SCHEMA).parquet(metrics_dir).select(
+    return Ledger(spark, metrics_dir).read(METRICS_SCHEMA).select(
         "batch_id", "batch_start", "n", "rate").orderBy("batch_id")
 
 
@@ -372,3 +320,14 @@ def metric_series_by_time(spark: SparkSession, metrics_dir: str, interval_second
     filled = spine.join(per_slot, "batch_id", "left").select(
         "batch_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return metrics.batch_rates(filled, interval_seconds, 0)
+
+
+# ---------------------------------------------------------------- quota state
+
+def read_phone_counts(spark: SparkSession, checkpoint: str, variant: str) -> DataFrame:
+    """(phone_number, n): the count that :func:`accept_calls` holds for every phone, as
+    of the last finished micro-batch of the query with this checkpoint: all calls
+    under the batch rule, accepted ones (before the contestant check) under the arrival rule."""
+    name = {"batch": "calls", "arrival": "accepted"}[variant]
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    return state.select(F.col("key.phone_number").alias("phone_number"), F.col("value.n").alias("n"))

@@ -21,11 +21,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.functions.time import bucket_index, epoch_micros
 from tallyline.session import DEFAULT_CONF, tables_root
-from tallyline.sources.calls import CallViewSpec
-from tallyline.streaming.pipeline import EVENTS_SCHEMA, Folder
+from tallyline.sources.calls import CallViewSpec, call_lines, call_view
+from tallyline.streaming.ledger import Folder
+from tallyline.streaming.pipeline import EVENTS_SCHEMA
 
 ONCE = {"availableNow": True}
 INTERVAL = "interval"
+LINES_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -41,6 +43,11 @@ class Replay:
         """What the streams read: all files of the folders that have arrived."""
         return f"{self.root}/source/*"
 
+    @property
+    def ticks(self) -> str:
+        """One file per interval, whether or not calls arrived in it."""
+        return f"{self.root}/ticks"
+
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -52,17 +59,28 @@ def stage_events(events: DataFrame, interval_seconds: int, tables: tuple[str, ..
                  spec: CallViewSpec = CallViewSpec()) -> Replay:
     """Write ``events`` by interval and make the folders of ``tables``, under
     the shared folder of this application's tables."""
-    spark = events.sparkSession
-    root = os.path.join(tables_root(spark), f"replay-{uuid.uuid4().hex}")
-    staged = f"{root}/staged"
     fields = EVENTS_SCHEMA.fieldNames()
     at = bucket_index(epoch_micros(events, "ts"), spec.origin_seconds, interval_seconds)
-    events.select(*fields, at.alias(INTERVAL)).write.partitionBy(INTERVAL).parquet(staged)
-    schema = T.StructType([*EVENTS_SCHEMA.fields, T.StructField(INTERVAL, T.LongType())])
+    return _staged(events.select(*fields, at.alias(INTERVAL)), EVENTS_SCHEMA, tables, "parquet")
+
+
+def stage_lines(events: DataFrame, interval_seconds: int, tables: tuple[str, ...],
+                spec: CallViewSpec = CallViewSpec()) -> Replay:
+    """As :func:`stage_events`, the calls as text files of call lines."""
+    at = bucket_index(epoch_micros(events, "ts"), spec.origin_seconds, interval_seconds)
+    calls = call_view(events, spec).withColumn(INTERVAL, at)
+    return _staged(call_lines(calls, (INTERVAL,)).select("value", INTERVAL), LINES_SCHEMA, tables, "text")
+
+
+def _staged(rows: DataFrame, schema: T.StructType, tables: tuple[str, ...], form: str) -> Replay:
+    spark = rows.sparkSession
+    root = os.path.join(tables_root(spark), f"replay-{uuid.uuid4().hex}")
+    staged = f"{root}/staged"
+    rows.write.partitionBy(INTERVAL).format(form).save(staged)
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField(INTERVAL, T.LongType())])).format(form)
     # one value per interval of the table's time range
-    found = (spark.read.schema(schema).parquet(staged).select(INTERVAL).distinct()
-             .orderBy(F.asc_nulls_first(INTERVAL)).collect())
-    for name in ("source", *tables):
+    found = read.load(staged).select(INTERVAL).distinct().orderBy(F.asc_nulls_first(INTERVAL)).collect()
+    for name in ("source", "ticks", *tables):
         Folder(spark, root, name).make()
     names = ["__HIVE_DEFAULT_PARTITION__" if r[0] is None else str(r[0]) for r in found]
     return Replay(root, tuple(f"{staged}/{INTERVAL}={n}" for n in names))
@@ -78,10 +96,26 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def run_replay(spark: SparkSession, replay: Replay, start: list[Callable[[], StreamingQuery]]) -> None:
-    """Let every folder arrive in turn, and after each run the queries that
-    ``start`` gives, one after another, to their end."""
-    for k, folder in enumerate(replay.arrivals):
-        Folder(spark, folder).move_to(Folder(spark, replay.root, "source", f"arrival-{k:06d}"))
+def run_replay(spark: SparkSession, replay: Replay, start: list[Callable[[], StreamingQuery]],
+               idle_intervals: int = 0) -> None:
+    """Let every folder arrive in turn, and a tick with it, and after each run the
+    queries that ``start`` gives, one after another, to their end; then as many
+    intervals with a tick alone."""
+    for k, folder in enumerate([*replay.arrivals, *[None] * idle_intervals]):
+        if folder is not None:
+            Folder(spark, folder).move_to(Folder(spark, replay.root, "source", f"arrival-{k:06d}"))
+        Folder(spark, replay.ticks, f"tick-{k:06d}").create("tick\n")
         for begin in start:
             begin().awaitTermination()
+
+
+def run_live(spark: SparkSession, replay: Replay, begin: Callable[[], StreamingQuery]) -> None:
+    """Start a query that runs on, let every folder arrive when the one before it
+    has been processed, and stop it."""
+    query = begin()
+    try:
+        for k, folder in enumerate(replay.arrivals):
+            Folder(spark, folder).move_to(Folder(spark, replay.root, "source", f"arrival-{k:06d}"))
+            query.processAllAvailable()
+    finally:
+        query.stop()

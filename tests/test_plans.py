@@ -99,8 +99,13 @@ def test_hot_phone_with_a_third_of_all_calls(spark):
 
 
 @pytest.mark.parametrize("max_votes", [1000, 5000])
-def test_large_quotas_keep_the_partial_limit(spark, max_votes):
+def test_large_quotas_keep_the_partial_limit(spark, monkeypatch, max_votes):
+    """Ranked quotas, as they are taken where calls have no batch."""
     view = call_view(read_table(spark, "/root/testdata/sf0.001", "events"))
+    by_count = quota.arrival_quota(view, max_votes, 6)
+    # all that is ranked has first been cut down by counts
+    assert by_count.count() == quota.valid_contestant(view, 6).count()
+    monkeypatch.setattr(quota, "RANKED_QUOTA", 1 << 30)
     for df in (quota.batch_quota(view, max_votes, 6), quota.arrival_quota(view, max_votes, 6)):
         lines = initial_plan_lines(df)
         assert index_of(lines, r"Exchange hashpartitioning\(phone_number") < \

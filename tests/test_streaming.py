@@ -91,14 +91,7 @@ def test_line_stream_sample(spark, scratch, variant, expected, ttl):
     assert len(got) == expected and got == want
     assert sorted(r.batch_id for r in acc.select("batch_id").distinct().collect()) == [0, 1, 2, 3]
 
-    board_dir = os.path.join(scratch, "board")
-    S.start_leaderboard(S.accepted_stream(spark, out, 1), board_dir,
-                        os.path.join(scratch, "ck_board"), 10, ONCE).awaitTermination()
-    boards_read = spark.read.parquet(board_dir)
-    last = boards_read.agg(F.max("batch_id")).first()[0]
-    final = {r.contestant_number: r.total for r in boards_read.where(F.col("batch_id") == last)
-             .collect()}
-    assert final == dict(model.totals(fixture, want))
+    assert follow(spark, scratch, out) == dict(model.totals(fixture, want))
 
 
 @pytest.mark.parametrize("variant", ["arrival", "batch"])
@@ -137,18 +130,29 @@ def window_rows(df):
     return sorted((r.window_start, r.contestant_number, r.n) for r in df.collect())
 
 
-def test_window_stream_equals_batch_for_every_window(spark, scratch, event_chunks):
+@pytest.mark.parametrize("size,slide", [(5, 1), (5, 2), (7, 3), (1, 2)])
+def test_windows_that_follow_equal_the_batch_form(spark, scratch, event_chunks, size, slide):
     src = os.path.join(scratch, "events")
     acc_dir = os.path.join(scratch, "accepted")
-    place(event_chunks, src, [9, *range(9)])
-    calls = S.event_call_stream(spark, src, max_files_per_trigger=4)
-    S.start_acceptance(S.accept_calls(calls, "arrival", 20, 6), acc_dir,
-                       os.path.join(scratch, "ck"), ONCE).awaitTermination()
-    win_dir = os.path.join(scratch, "windows")
-    S.start_window_counts(S.accepted_stream(spark, acc_dir, 1), win_dir,
-                          os.path.join(scratch, "ck_w"), "5 hours", "1 hour", ONCE).awaitTermination()
-    batch = boards.sliding_window_counts(S.read_accepted(spark, acc_dir), "ts", 5 * 3600, 3600)
-    assert window_rows(S.read_window_counts(spark, win_dir)) == window_rows(batch)
+    place(event_chunks, src, range(10))
+    hour = 3_600_000
+    windows = S.WindowCounts(spark, acc_dir, os.path.join(scratch, "windows"), size * hour, slide * hour)
+
+    def run(**trigger):
+        calls = S.event_call_stream(spark, src, max_files_per_trigger=4)
+        S.start_acceptance(S.accept_calls(calls, "arrival", 20, 6), acc_dir,
+                           os.path.join(scratch, "ck"), ONCE).awaitTermination()
+        S.start_follower(spark, acc_dir, windows.step, os.path.join(scratch, "ck_w"), ONCE).awaitTermination()
+
+    run()
+    written = windows.read().count()
+    run()
+    assert windows.read().count() == written  # nothing new, nothing written again
+    windows.step(flush=True)
+    windows.step(flush=True)
+    batch = boards.sliding_window_counts(S.read_accepted(spark, acc_dir), "ts", size * 3600, slide * 3600)
+    assert window_rows(windows.read()) == window_rows(batch)
+    assert size < slide or windows.read().count() > written  # the last windows end with the flush
 
 
 def test_batch_metrics_stream(spark, scratch):
@@ -170,8 +174,10 @@ def test_word_count_stream(spark, scratch):
     stage_text(src, chunks)
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
     out = os.path.join(scratch, "words")
-    S.start_word_counts(lines, out, os.path.join(scratch, "ck"), ONCE).awaitTermination()
-    got = {(r.batch_id, r.word, r.n) for r in spark.read.parquet(out).collect()}
+    shown = []
+    S.start_word_counts(lines, out, os.path.join(scratch, "ck"), ONCE, show=shown.append).awaitTermination()
+    got = {(r.batch_id, r.word, r.n) for r in S.read_word_counts(spark, out).collect()}
+    assert len(shown) == sum(min(10, len(c)) for c in (["a", "b", ""], ["", "a", "b"], ["b"])) and "b 3" in shown
     want = set()
     for k, chunk in enumerate(chunks):
         counts = {}
@@ -192,11 +198,12 @@ def test_write_batch_runs_a_replay_and_keeps_what_readers_know(spark, scratch):
 
     df = spark.range(3).mapInArrow(count, "id bigint")
     assert S.write_batch(df, scratch, 7)
-    files = sorted(glob.glob(os.path.join(scratch, "batch_id=7", "*")))
+    files = sorted(glob.glob(os.path.join(scratch, "*", "*", "*")))
     assert not S.write_batch(df, scratch, 7)
     assert ran.value == 6
-    assert sorted(glob.glob(os.path.join(scratch, "batch_id=7", "*"))) == files
-    assert spark.read.parquet(scratch).count() == 3
+    assert sorted(glob.glob(os.path.join(scratch, "*", "*", "*"))) == files
+    rows = S.Ledger(spark, scratch).read("id bigint, batch_id bigint")
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, 7), (1, 7), (2, 7)]
 
 
 def accept_sample(spark, src, out, ck):
@@ -205,18 +212,17 @@ def accept_sample(spark, src, out, ck):
 
 
 def follow(spark, scratch, out):
-    board = os.path.join(scratch, "board")
-    S.start_leaderboard(S.accepted_stream(spark, out), board, os.path.join(scratch, "ck_board"), 10,
-                        ONCE).awaitTermination()
-    table = spark.read.parquet(board)
+    board = S.Leaderboard(spark, out, os.path.join(scratch, "board"))
+    S.start_follower(spark, out, board.step, os.path.join(scratch, "ck_board"), ONCE).awaitTermination()
+    table = board.read()
     last = table.agg(F.max("batch_id")).first()[0]
     return {r.contestant_number: r.total for r in table.where(F.col("batch_id") == last).collect()}
 
 
 @pytest.mark.parametrize("partial", [False, True])
 def test_replay_after_a_crash_changes_nothing_downstream(spark, scratch, partial):
-    """The process dies after a batch's folder was written and before the
-    batch was recorded; or while the folder was being written."""
+    """The process dies after a batch was committed and before the stream recorded
+    it; or while the batch's folder was being written."""
     src, out, ck = (os.path.join(scratch, n) for n in ("in", "accepted", "ck"))
     lines = sample_lines()
     stage_text(src, [lines[i:i + 10] for i in range(0, 40, 10)])
@@ -228,9 +234,10 @@ def test_replay_after_a_crash_changes_nothing_downstream(spark, scratch, partial
     last = max(int(f) for f in os.listdir(os.path.join(ck, "commits")) if f.isdigit())
     for f in (f"{last}", f".{last}.crc"):
         os.remove(os.path.join(ck, "commits", f))
-    if partial:
-        os.makedirs(os.path.join(out, "_staging", f"batch_id={last}"), exist_ok=True)
-        shutil.move(os.path.join(out, f"batch_id={last}"), os.path.join(out, "_staging", f"batch_id={last}", "half"))
+    if partial:  # the data is there, in part, and no commit
+        for f in glob.glob(os.path.join(out, "commits", f"*{last:012d}-*")):
+            os.remove(f)
+        assert len(vote_ids(S.read_accepted(spark, out))) < len(want)
     accept_sample(spark, src, out, ck)
     accept_sample(spark, src, out, ck)
     assert vote_ids(S.read_accepted(spark, out)) == want
@@ -272,41 +279,49 @@ def test_lenient_line_stream_routes_rejects(spark, scratch):
     assert sorted(r.value for r in spark.read.parquet(rej_dir).collect()) == ["4 x 1 0", "oops"]
 
 
-def test_vote_pipeline_once(spark, scratch):
+@pytest.mark.parametrize("max_votes", [1, 2])
+def test_vote_pipeline_once(spark, scratch, max_votes):
+    from tallyline.operators.kv import kv_rows
     from tallyline.streaming.app import start_vote_pipeline
     src = os.path.join(scratch, "in")
     lines = sample_lines()
     stage_text(src, [lines[i:i + 10] for i in range(0, 40, 10)])
+    printed = []
     pipe = start_vote_pipeline(spark, src, os.path.join(scratch, "out"), variant="batch",
-                               max_votes=1, once=True, max_files_per_trigger=1)
+                               max_votes=max_votes, once=True, max_files_per_trigger=1, show=printed.append)
     pipe.await_all()
     fixture = sample_calls(10)
-    want = model.batch_quota(fixture, 1, 6)
-    assert vote_ids(S.read_accepted(spark, os.path.join(pipe.root, "accepted"))) == want
-    boards_read = spark.read.parquet(os.path.join(pipe.root, "leaderboard"))
-    last = boards_read.agg(F.max("batch_id")).first()[0]
-    assert {r.contestant_number: r.total for r in
-            boards_read.where(F.col("batch_id") == last).collect()} == dict(model.totals(fixture, want))
-    batch = boards.sliding_window_counts(S.read_accepted(spark, os.path.join(pipe.root, "accepted")), "ts", 5, 1)
-    assert window_rows(S.read_window_counts(spark, os.path.join(pipe.root, "windows"))) == window_rows(batch)
+    want = model.batch_quota(fixture, max_votes, 6)
+    accepted = S.read_accepted(spark, os.path.join(pipe.root, "accepted"))
+    assert vote_ids(accepted) == want
+    board = S.Leaderboard(spark, os.path.join(pipe.root, "accepted"), os.path.join(pipe.root, "leaderboard")).read()
+    last = board.agg(F.max("batch_id")).first()[0]
+    final = {r.contestant_number: r.total for r in board.where(F.col("batch_id") == last).collect()}
+    assert final == dict(model.totals(fixture, want))
+    windows = S.WindowCounts(spark, os.path.join(pipe.root, "accepted"), os.path.join(pipe.root, "windows"), 5000, 1000)
+    windows.step(flush=True)
+    assert window_rows(windows.read()) == window_rows(boards.sliding_window_counts(accepted, "ts", 5, 1))
     recorded = sorted((r.batch_id, r.n) for r in
                       S.read_metric_series(spark, os.path.join(pipe.root, "metrics")).collect())
     assert recorded == [(0, 10), (1, 10), (2, 10), (3, 10)]
+    votes = S.VoteStore(spark, os.path.join(pipe.root, "accepted"), os.path.join(pipe.root, "votes"))
+    assert sorted(votes.read().collect()) == sorted(kv_rows(accepted).select("key", "value").collect())
+    # the lines of each batch: its records and rate, and the board
+    assert printed[:4] == ["records: 10 rate: 10.0"] * 4
+    assert f"{max(final.values())} {min(c for c in final if final[c] == max(final.values()))}" in printed
 
 
-def test_console_leaderboard_runs(spark, scratch):
+def test_vote_pipeline_prints_from_the_command_line(spark, scratch, capsys):
+    from tallyline.streaming import app
     src = os.path.join(scratch, "in")
     stage_text(src, [sample_lines()])
-    out = os.path.join(scratch, "accepted")
-    calls = S.call_line_stream(spark, src)
-    S.start_acceptance(S.accept_calls(calls, "arrival", 1, 6), out,
-                       os.path.join(scratch, "ck"), ONCE).awaitTermination()
-    q = S.start_console_leaderboard(S.accepted_stream(spark, out), 3,
-                                    os.path.join(scratch, "ck_c"), ONCE)
-    q.awaitTermination()
-    # the board is printed by the JVM; check that every accepted call reached it
-    assert q.exception() is None
-    assert sum(p["numInputRows"] for p in q.recentProgress) == 33
+    app.main(["votes", src, "--variant", "arrival", "--out", os.path.join(scratch, "out"), "--once", "--print"])
+    lines = capsys.readouterr().out.splitlines()
+    assert "records: 40 rate: 40.0" in lines
+    want = model.totals(sample_calls(), model.arrival_quota(sample_calls(), 1, 6))
+    assert [f"{n} {c}" for c, n in sorted(want.items(), key=lambda x: (-x[1], x[0]))] == lines[1:1 + len(want)]
+    app.main(["words", src, "--out", os.path.join(scratch, "words"), "--once", "--print"])
+    assert len(capsys.readouterr().out.splitlines()) == 10
 
 
 @pytest.mark.parametrize("variant", ["batch", "arrival"])
@@ -420,4 +435,46 @@ def test_replay_of_an_empty_table(spark):
     assert replay.arrivals == ()
     assert S.read_accepted(spark, replay.table("accepted")).count() == 0
     assert S.read_metric_series(spark, replay.table("metrics")).count() == 0
-    assert S.read_window_counts(spark, replay.table("windows")).count() == 0
+    assert S.WindowCounts(spark, replay.table("accepted"), replay.table("windows"), 5000, 1000).read().count() == 0
+
+
+def test_idle_batches_are_counted_by_a_clock(spark, scratch):
+    """Ticks without calls: the micro-batch runs, and records 0 under its own id."""
+    src, ticks = os.path.join(scratch, "in"), os.path.join(scratch, "ticks")
+    out, met = os.path.join(scratch, "accepted"), os.path.join(scratch, "metrics")
+    lines = sample_lines()
+    shown = []
+    for k, part in enumerate([lines[:10], [], lines[10:25], [], [], lines[25:]]):
+        stage_text(src, [part] if part else [], k)
+        stage_text(ticks, [["tick"]], k)
+        calls = S.counted(S.call_line_stream(spark, src), spark.readStream.text(ticks))
+        S.start_acceptance(S.accept_calls(calls, "arrival", 1, 6), out, os.path.join(scratch, "ck"), ONCE,
+                           metrics_dir=met, batch_ms=500, show=shown.append).awaitTermination()
+    rows = [(r.batch_id, r.n, r.rate) for r in S.read_metric_series(spark, met).collect()]
+    assert rows == [(0, 10, 20.0), (1, 0, 0.0), (2, 15, 30.0), (3, 0, 0.0), (4, 0, 0.0), (5, 15, 30.0)]
+    assert shown == [f"records: {n} rate: {rate}" for _, n, rate in rows]
+    assert vote_ids(S.read_accepted(spark, out)) == model.arrival_quota(sample_calls(), 1, 6)
+    # metric batches are those of the accepted table, and a replayed one stays
+    assert {c.first for c in S.Ledger(spark, out).commits()} == set(range(6))
+
+
+def test_live_windows_end_by_the_clock(spark, scratch):
+    """Without new calls the clock ends windows, and panes of the past are dropped."""
+    table, out = S.Ledger(spark, os.path.join(scratch, "accepted")), os.path.join(scratch, "windows")
+    windows = S.WindowCounts(spark, table.table, out, 3000, 1000)
+    second = 1_000_000
+    held, every = [], []
+    for k in range(12):
+        if k not in (5, 6, 7, 8, 9):  # five seconds without calls
+            rows = [(100 * k + i, i, 1 + i % 2, 0, datetime.datetime.fromtimestamp(1000 + k)) for i in range(3)]
+            every += rows
+            table.append(spark.createDataFrame(rows, S.CALL_STREAM_SCHEMA), k)
+        windows.step((1000 + k) * second + 500_000)
+        held.append(windows.panes.read().count())
+    assert max(held) <= 2 * 5  # the panes of a window and of the batches just read
+    before = windows.read().count()
+    windows.step(1100 * second)
+    assert windows.read().count() > before
+    windows.step(1200 * second)
+    batch = boards.sliding_window_counts(spark.createDataFrame(every, S.CALL_STREAM_SCHEMA), "ts", 3, 1)
+    assert window_rows(windows.read()) == window_rows(batch)
