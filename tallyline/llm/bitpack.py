@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import batches_of, texts
+from tallyline.llm.common import batches_of, range_bounds, range_of, texts
 from tallyline.llm.token_ids import encoder
 from tallyline.session import checkpoint_root, materialize
 
@@ -133,33 +133,44 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, vocabulary: in
                       segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every row of ``df`` and write it to files under ``folder``.
 
-    Texts are dealt by ranges of ids and sorted inside a range (equal ids by
-    text), then encoded and packed as they pass; a task holds one segment of about
-    ``segment_ids`` ids. NULL ids come first, a NULL text is the end id alone.
+    Texts are dealt by ranges of ids, whose bounds are found from the ids alone, and
+    sorted inside a range (equal ids by text), then encoded and packed as they pass; a
+    task holds one segment of about ``segment_ids`` ids. NULL ids come first, a NULL text
+    is the end id alone. Other columns, whatever their names, are not read. An empty
+    table gives no segment, and reads back as an empty table.
     """
     def run(batches):
         encode = encoder(tokenizer)
-        docs, sizes, held, size, number = [], [], [], 0, 0
+        docs, sizes, held, size, number, now = [], [], [], 0, 0, None
 
         def segment():
             raw = write_segment(docs, sizes, np.concatenate(held), vocabulary, number)
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["raw"])
 
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), encode.many(texts(batch.column(1)))):
+            places, ids_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for place, doc, found in zip(places, ids_of, encode.many(texts(batch.column(2)))):
+                # a segment holds documents of neighbouring ranges only
+                if docs and (size >= segment_ids or place - now > 1):
+                    yield segment()
+                    docs, sizes, held, size, number = [], [], [], 0, number + 1
                 ids = np.append(found, np.uint32(end_id)).astype(np.uint32)
                 docs.append(doc)
                 sizes.append(len(ids))
                 held.append(ids)
                 size += len(ids)
-                if size >= segment_ids:
-                    yield segment()
-                    docs, sizes, held, size, number = [], [], [], 0, number + 1
+                now = place
         if docs:
             yield segment()
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    bounds = range_bounds(rows.select("doc_id"), "doc_id")
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), bounds))
+    # neighbouring ranges stay together, so files are few: about four groups of them a task
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = -(-len(bounds) // (4 * partitions))
+    ordered = (rows.select(place.alias("place"), "doc_id", "text")
+               .repartition(partitions, F.floor(F.col("place") / together)).sortWithinPartitions("place", "doc_id", "text"))
     (ordered.mapInArrow(run, "raw binary").select(F.col("raw").cast("string"))
      .write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(folder))
 
@@ -178,9 +189,10 @@ def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = False) -
             def rows():
                 for path, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                     seg = Segment(memoryview(value.as_buffer()))
+                    ids = seg.read(0, seg.n_ids)
                     facts = (path, int(seg.ids[0]), bool(seg.missing[0]), seg.number, seg.n_ids)
                     for k in range(len(seg)):
-                        raw = seg.document(k).tobytes()
+                        raw = ids[seg.starts[k]:seg.starts[k + 1]].tobytes()
                         row = (seg.doc_id(k), int(seg.starts[k]), len(raw) // 4, zlib.crc32(raw), *facts)
                         yield (*row, raw) if keep_ids else row
 

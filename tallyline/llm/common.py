@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -45,6 +46,37 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows of a range, and most ranges, of :func:`range_bounds`.
+RANGE_ROWS = 1024
+MOST_RANGES = 10_000
+MIN_LONG = -(1 << 63)
+
+
+def range_bounds(places: DataFrame, column: str, rows: int = RANGE_ROWS) -> list[int]:
+    """Lower bounds of ranges of a BIGINT column with about ``rows`` rows each, the
+    first below everything. At most :data:`MOST_RANGES`. Only the column is read, while
+    ``repartitionByRange`` reads whole rows to find its bounds."""
+    n = places.count()
+    ranges = max(1, min(MOST_RANGES, n // rows))
+    cuts = []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = places.agg(F.percentile_approx(column, shares, max(10_000, 20 * ranges))).first()[0]
+    return [MIN_LONG, *sorted({c for c in cuts if c > MIN_LONG})]
+
+
+def range_of(place: Column, bounds: list[int]) -> Column:
+    """Number of the range that holds ``place``: a look into every k-th bound,
+    then into the k bounds from there."""
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b <= place)) - 1
+
+    k = math.isqrt(len(bounds) - 1) + 1
+    rows = [F.array(*[F.lit(b).cast("bigint") for b in bounds[i:i + k]]) for i in range(0, len(bounds), k)]
+    row = upto(F.array(*[F.lit(b).cast("bigint") for b in bounds[::k]]))
+    return (row * k + upto(F.get(F.array(*rows), row))).cast("int")
+
+
 def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column, one value at a time; NULL is empty."""
     for value in column:

@@ -27,25 +27,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import batches_of, texts
+from tallyline.llm.common import MIN_LONG, batches_of, range_bounds, range_of, texts
 
 #: Random 32-bit words by rule: the hash of the byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=np.uint32)
 BLOCK = 1 << 22  # bytes hashed at a time
-REACH = 31  # earlier bytes that a gear hash depends on
-MIN_LONG = -(1 << 63)
 BUCKET_DOCS = 1024
-MOST_BUCKETS = 10_000
+REACH = 31  # earlier bytes that a gear hash depends on
 
 
 @dataclass(frozen=True)
@@ -156,30 +153,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def _bounds(places: DataFrame) -> list[int]:
-    """Lower bounds of ranges of ``place`` with about equally many rows, the
-    first below everything. At most :data:`MOST_BUCKETS`."""
-    n = places.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_DOCS))
-    cuts = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        cuts = places.agg(F.percentile_approx("place", shares, max(10_000, 20 * buckets))).first()[0]
-    return [MIN_LONG, *sorted({c for c in cuts if c > MIN_LONG})]
-
-
-def _bucket(place: Column, bounds: list[int]) -> Column:
-    """Number of the range that holds ``place``: a look into every k-th bound,
-    then into the k bounds from there."""
-    def upto(values: Column) -> Column:
-        return F.size(F.filter(values, lambda b: b <= place)) - 1
-
-    k = math.isqrt(len(bounds) - 1) + 1
-    rows = [F.array(*[F.lit(b).cast("bigint") for b in bounds[i:i + k]]) for i in range(0, len(bounds), k)]
-    row = upto(F.array(*[F.lit(b).cast("bigint") for b in bounds[::k]]))
-    return (row * k + upto(F.get(F.array(*rows), row))).cast("int")
-
-
 def next_document_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            sizes: Chunking = Chunking()) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half (in
@@ -194,8 +167,8 @@ def next_document_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(MIN_LONG)))
-    bounds = _bounds(rows.select("place"))
-    dealt = rows.withColumn("bucket", _bucket(F.col("place"), bounds))
+    bounds = range_bounds(rows.select("place"), "place", BUCKET_DOCS)
+    dealt = rows.withColumn("bucket", range_of(F.col("place"), bounds))
     # ranges that hold rows, a few thousand at most, and the range before each
     firsts = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.min("place").alias("place")).collect())
     before = {place: firsts[i - 1][0] for i, (_, place) in enumerate(firsts)}
