@@ -1,20 +1,17 @@
 """Document fingerprints by content-defined chunking.
 
-A text's UTF-8 bytes are cut where a gear hash of the last 32 bytes has a run of
+A text's UTF-8 bytes are cut where a gear hash of the last 16 bytes has a run of
 zero bits at the top: more zeros are asked for below the normal chunk size and
 fewer above it, so chunk sizes gather around the normal one; a smallest and a
 largest size hold in any case. Boundaries depend on nearby bytes only, so an edit
 moves the chunks around it and no others.
 
-A text of at most ``FINE_TEXT`` code points is cut a second time, into fine chunks,
-as a part of it seldom holds a whole chunk of the normal size. An edited text is
-never longer in code points than its own, so both have fine chunks or its own has none.
+Chunks are small, about ``Chunking.normal`` = 16 bytes in texts of any length: half of a short
+text still holds some of them, and a short text is found within a long one.
 
 A fingerprint is the set of (digest, length) of a text's chunks as sorted 8-byte
-records (48 bits of digest, the last 1 for a fine chunk, and 16 bits of length) in
-base64. Containment of one text in another is the share of its chunk bytes whose
-chunks the other has too: of its fine chunks where both texts have some, else of
-the others.
+records (48 bits of digest and 16 bits of length) in base64. Containment of one text in
+another is the share of its chunk bytes whose chunks the other has too.
 
 Defined results: a NULL or empty text has the empty fingerprint, which any
 empty text contains fully (1.0) and no other text does (0.0). Equal texts have
@@ -38,35 +35,31 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import MIN_LONG, batches_of, range_bounds, range_of, texts
 
-#: Random 32-bit words by rule: the hash of the byte value.
-GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=np.uint32)
+#: Random 16-bit words by rule: the hash of the byte value.
+GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) >> 16 for b in range(256)], dtype=np.uint16)
 BLOCK = 1 << 22  # bytes hashed at a time
 BUCKET_DOCS = 1024
-REACH = 31  # earlier bytes that a gear hash depends on
+WORD = 16  # bits of a gear hash, and bytes that it depends on
+REACH = WORD - 1  # earlier bytes that a gear hash depends on
 
 
 @dataclass(frozen=True)
 class Chunking:
     """Chunk sizes in bytes; ``normal`` is a power of two."""
-    least: int = 32
-    normal: int = 128
-    most: int = 1024
+    least: int = 4
+    normal: int = 16
+    most: int = 64
 
     def __post_init__(self):
-        if not 0 < self.least < self.normal < self.most < 1 << 16:
-            raise ValueError("sizes must rise and stay below 65536")
-
-
-#: Chunk sizes of the second cut, and the longest text that gets it, in code points.
-FINE = Chunking(4, 16, 64)
-FINE_TEXT = 2048
+        if not 0 < self.least < self.normal < self.most < 1 << 16 or self.normal >= 1 << (WORD - 1):
+            raise ValueError("sizes must rise and stay below 65536, the normal one below 32768")
 
 
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
-    """The gear hash at every byte: the sum of GEAR[byte j back] << j, mod 2^32."""
+    """The gear hash at every byte: the sum of GEAR[byte j back] << j, mod 2^16."""
     h = GEAR[raw]
-    for step in (1, 2, 4, 8, 16):
-        h[step:] += h[:-step] << np.uint32(step)
+    for step in (1, 2, 4, 8):
+        h[step:] += h[:-step] << np.uint16(step)
     return h
 
 
@@ -77,9 +70,9 @@ def _cut_places(raw: np.ndarray, sizes: Chunking) -> tuple[list[int], list[int]]
     for start in range(0, len(raw), BLOCK):
         back = min(start, REACH)
         h = gear_hashes(raw[start - back:start + BLOCK])[back:]
-        at = np.flatnonzero(h >> np.uint32(32 - bits + 1) == 0)
+        at = np.flatnonzero(h >> np.uint16(WORD - bits + 1) == 0)
         loose += (at + (start + 1)).tolist()
-        strict += (at[h[at] >> np.uint32(32 - bits - 1) == 0] + (start + 1)).tolist()
+        strict += (at[h[at] >> np.uint16(WORD - bits - 1) == 0] + (start + 1)).tolist()
     return strict, loose
 
 
@@ -102,21 +95,10 @@ def chunk_ends(raw: bytes, sizes: Chunking = Chunking()) -> list[int]:
 
 
 def chunk_set(raw: bytes, sizes: Chunking = Chunking()) -> dict[int, int]:
-    """Digest (48 bits) to length of every different chunk, of both cuts."""
-    found = _chunks(raw, sizes, 0)
-    if len(raw) <= 4 * FINE_TEXT:
-        heads = np.frombuffer(raw, np.uint8) & 0xC0 != 0x80
-        if np.count_nonzero(heads) <= FINE_TEXT:
-            found |= _chunks(raw, FINE, 1)
-    return found
-
-
-def _chunks(raw: bytes, sizes: Chunking, fine: int) -> dict[int, int]:
-    found, start = {}, 0
-    for end in chunk_ends(raw, sizes):
-        found[xxhash.xxh3_64_intdigest(raw[start:end]) >> 17 << 1 | fine] = end - start
-        start = end
-    return found
+    """Digest (48 bits) to length of every different chunk."""
+    ends = chunk_ends(raw, sizes)
+    digest = xxhash.xxh3_64_intdigest
+    return {digest(raw[start:end]) >> 16: end - start for start, end in zip([0, *ends], ends)}
 
 
 def to_string(chunks: dict[int, int]) -> str:
@@ -133,9 +115,7 @@ def containment(of: dict[int, int], within: dict[int, int]) -> float:
     """Share of the chunk bytes of ``of`` that ``within`` has too."""
     if not of:
         return 0.0 if within else 1.0
-    fine = int(any(d & 1 for d in of) and any(d & 1 for d in within))
-    return (sum(n for d, n in of.items() if d & 1 == fine and d in within)
-            / sum(n for d, n in of.items() if d & 1 == fine))
+    return sum(of[d] for d in of.keys() & within.keys()) / sum(of.values())
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

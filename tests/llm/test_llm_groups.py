@@ -196,14 +196,14 @@ def slow_ends(raw, sizes):
     bits = sizes.normal.bit_length() - 1
     hashes, h = [], 0
     for b in raw:
-        h = ((h << 1) + int(fingerprints.GEAR[b])) % (1 << 32)
+        h = ((h << 1) + int(fingerprints.GEAR[b])) % (1 << 16)
         hashes.append(h)
     ends, start = [], 0
     while start < len(raw):
         end = len(raw)
         for e in range(start + sizes.least, min(start + sizes.most, len(raw)) + 1):
             zeros = bits + 1 if e - start < sizes.normal else bits - 1
-            if hashes[e - 1] >> (32 - zeros) == 0 or e - start == sizes.most:
+            if hashes[e - 1] >> (16 - zeros) == 0 or e - start == sizes.most:
                 end = e
                 break
         ends.append(end)
@@ -245,6 +245,21 @@ def test_edited_texts_of_any_length_are_like_their_own(chars, least):
     assert np.mean([a for a, _ in near]) > least and np.mean([b for _, b in near]) < 0.02
 
 
+@pytest.mark.parametrize("size,least", [(120, 0.4), (300, 0.7)])
+def test_a_text_is_found_within_texts_of_any_length(size, least):
+    """Half and more of a short text's bytes, whether it lies in a text of 500 or 50,000 characters."""
+    rng = random.Random(size)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    for length in (500, 2040, 2060, 9000, 50_000):
+        likeness = []
+        for _ in range(25):
+            long = " ".join(rng.choices(words, k=length // 3))[:length]
+            at = rng.randrange(length - size)
+            likeness.append(fingerprints.containment(*(fingerprints.chunk_set(t.encode())
+                                                       for t in (long[at:at + size], long))))
+        assert sum(v > 0 for v in likeness) >= 24 and sum(likeness) / 25 > least
+
+
 @pytest.mark.parametrize("bucket_docs", [3, 1024])
 def test_op7_equals_brute_force(spark, scratch, monkeypatch, bucket_docs):
     monkeypatch.setattr(fingerprints, "BUCKET_DOCS", bucket_docs)
