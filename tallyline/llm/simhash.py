@@ -145,14 +145,18 @@ def _one_bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
 
 
+def with_root(fps: DataFrame, max_bits: int = MAX_BITS, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """``fps`` (column ``fp`` without repeats) with ``root``, which names the component."""
+    roots = components(links(fps.select("fp"), max_bits, cell_limit)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def classes(rows: DataFrame, fp: str, id_col: str, max_bits: int = MAX_BITS,
             cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(fp, root, component_id) for every fingerprint of ``rows``: ``root``
     names the component, ``component_id`` is its smallest id."""
     fps = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("first_id")), "fingerprints")
-    roots = components(links(fps.select("fp"), max_bits, cell_limit))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = with_root(fps, max_bits, cell_limit)
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return materialize(placed.drop("first_id").join(least, "root").select("fp", "root", "component_id"),
                        "fingerprint-classes")
@@ -162,7 +166,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``df``."""
     rows = materialize(with_fingerprint(
-        df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "fp", shingle)
+        df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", "fp", shingle)
         .drop("text"), "simhash")
     found = classes(rows, "fp", "doc_id", max_bits)
     return rows.join(found, "fp").select(
@@ -175,17 +179,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first), with the columns of ``df``.
 
     Rows are told apart by a number written beside them, so repeated rows and
-    NULL ids are handled. Only the numbers of dropped rows are joined back.
+    NULL ids are handled. The first row of every fingerprint, then of every component is
+    found by partial aggregates, and joins are by fingerprint or number, so no
+    component or group of copies meets in one task. Only the numbers of dropped
+    rows are joined to the texts.
     """
     fp, row = free_name(df, "fp"), free_name(df, "row_number")
     rows = materialize(with_fingerprint(df, text_col, fp, shingle)
                        .withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
     slim = rows.select(F.col(f"`{fp}`").alias("fp"), F.col(f"`{id_col}`").alias("id"),
                        F.col(f"`{row}`").alias("row"))
-    found = classes(slim, "fp", "id", max_bits)
-    joined = slim.join(found.select("fp", "root"), "fp")
-    best = joined.groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("best"))
-    losers = materialize(joined.join(best, "root").where("row <> best.row").select(
-        F.col("row").alias(row)), "simhash-dropped")
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    fps = materialize(slim.groupBy("fp").agg(F.min(first).alias("first")), "fingerprints")
+    kept = with_root(fps, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    losers = materialize(slim.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)),
+                         "simhash-dropped")
     return rows.join(losers, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
