@@ -6,8 +6,8 @@ places: the ids of the parts, put together, are the ids of the text. Parts repea
 a lot, so each task keeps the ids of the parts it has met, and the library encodes
 only new ones. Parts that split in an evident way (Latin letters, then ASCII
 punctuation) go to the library's model as pieces, many in one call; all others
-through its whole chain. The memory is dropped when it is full, which changes
-nothing but time.
+through its whole chain. When the memory is full, parts met once are dropped, which
+changes nothing but time.
 """
 
 from __future__ import annotations
@@ -106,6 +106,18 @@ class PartEncoder:
         self.used = 0
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int32)
+        self.uses = np.zeros(1 << 14, dtype=np.int64)
+
+    def _forget_rare(self) -> None:
+        """Forget the parts that were met once, or more where over half the memory would stay."""
+        uses = self.uses[:len(self.place)]
+        least = 2
+        while np.count_nonzero(uses >= least) > self.memory // 2:
+            least *= 2
+        kept = np.flatnonzero(uses >= least)
+        keys, sizes, ids = list(self.place), self.sizes[kept], self._of_places(kept)[0]
+        self._forget()
+        self._keep([keys[i] for i in kept.tolist()], ids, sizes)
 
     @staticmethod
     def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -120,6 +132,7 @@ class PartEncoder:
         at, n = len(self.place), len(keys)
         self.pool = self._room(self.pool, self.used + len(ids))
         self.starts, self.sizes = self._room(self.starts, at + n), self._room(self.sizes, at + n)
+        self.uses = self._room(self.uses, at + n)
         self.pool[self.used:self.used + len(ids)] = ids
         self.starts[at:at + n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[at:at + n] = sizes
@@ -147,6 +160,14 @@ class PartEncoder:
             self._keep(others, np.array([i for f in found for i in f], dtype=np.uint32),
                        np.array([len(f) for f in found], dtype=np.int64))
 
+    def _of_places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts at these places, and where those of each end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.starts[at] - (ends - sizes), sizes)
+        take += np.arange(len(take))
+        return self.pool[take], ends
+
     def _of_keys(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all keys' parts, and where the ids of each part end."""
         at = np.fromiter(map(self.place.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
@@ -154,15 +175,15 @@ class PartEncoder:
         if len(missing):
             new = dict.fromkeys(keys[i] for i in missing.tolist())
             if len(self.place) + len(new) > self.memory:
-                self._forget()
-                new, missing = dict.fromkeys(keys), np.arange(len(keys))
+                self._forget_rare()
+                at = np.fromiter(map(self.place.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+                missing = np.flatnonzero(at < 0)
+                new = dict.fromkeys(keys[i] for i in missing.tolist())
             self._learn(list(new))
             at[missing] = [self.place[keys[i]] for i in missing.tolist()]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        take = np.repeat(self.starts[at] - (ends - sizes), sizes)
-        take += np.arange(len(take))
-        return self.pool[take], ends
+        n = len(self.place)
+        self.uses[:n] += np.bincount(at, minlength=n)
+        return self._of_places(at)
 
     def _of_group(self, texts: list[str]) -> Iterator[np.ndarray]:
         lists = [keys_in(t) for t in texts]

@@ -70,6 +70,16 @@ def test_bpe_refuses_a_taken_column_and_decodes_nulls(spark):
     assert bytes(bpe.decode(empty, RANKS, P.PATTERN).first()["decoded"]) == b""
 
 
+@pytest.mark.parametrize("memory", [1, 30, 200])
+def test_a_full_memory_changes_nothing(memory):
+    enc, plain, rng = PartEncoder(TOKENIZER, memory), plain_tokenizer(), np.random.default_rng(memory)
+    words = ["".join(rng.choice(list("abcdeé日'1"), rng.integers(1, 5))) for _ in range(400)]
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words[:40] if k % 2 else words, rng.integers(0, 120))) for k in range(4)]
+        assert [i.tolist() for i in enc.many(texts)] == [
+            plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab1 '\n\t  é日!,.sltre\x1cZ", max_size=80), max_size=6))
 def test_part_encoder_equals_the_library(texts):
