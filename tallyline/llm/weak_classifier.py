@@ -7,13 +7,15 @@ votes), and each text's posterior becomes a soft label. A linear scorer over has
 words and word shapes is trained on soft labels and scores every whole text, so
 that it also judges texts on which the labellers abstain.
 
-The scorer is trained on at most ``sample_rows`` texts, chosen by a hash of id and
-text; everything else goes over all rows.
+The scorer is trained on at most ``sample_rows`` different rows, those with the smallest
+hashes of id and text, in that order; everything else goes over all rows. The same rows give
+the same scorer however they are partitioned.
 
 Defined results: a NULL or empty text has no words; the labellers that need words
 abstain, the length labeller votes bad, and the scorer gives its bias alone. Equal
-texts get equal scores. Without any rows there is nothing to train and the result is
-empty.
+texts get equal scores. NULL and repeated ids are rows like any other. Columns other than id
+and text, whatever their names, are not read. Without any rows there is nothing to train and
+the result is empty.
 """
 
 from __future__ import annotations
@@ -169,30 +171,44 @@ def vote_patterns(df: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def bucket_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(votes, buckets, times) of every text: its different buckets, at most
-    2^HASH_BITS however long it is, and how often it has each."""
+def bucket_counts(df: DataFrame, text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """([key,] votes, buckets, times) of every text: its different buckets, at most
+    2^HASH_BITS however long it is, and how often it has each; ``key_col`` is a BIGINT."""
     def run(batches):
         features = Features()
-        out = pa.schema([("votes", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32())),
+        out = pa.schema([("key", pa.int64()), ("votes", pa.list_(pa.int32())), ("buckets", pa.list_(pa.int32())),
                          ("times", pa.list_(pa.int64()))])
         for batch in batches:
-            yield from batches_of(((label(raw), *np.unique(features(raw), return_counts=True))
-                                   for raw in raw_texts(batch.column(0))), out, 256)
+            yield from batches_of(((key, label(raw), *np.unique(features(raw), return_counts=True))
+                                   for key, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)))), out, 256)
 
-    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        run, "votes array<int>, buckets array<int>, times array<bigint>")
+    key = F.col(f"`{key_col}`") if key_col else F.lit(None).cast("bigint")
+    counted = df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
+        run, "key bigint, votes array<int>, buckets array<int>, times array<bigint>")
+    return counted if key_col else counted.drop("key")
 
 
-def fit_scorer(df: DataFrame, model: LabelModel, sample_rows: int = SAMPLE_ROWS,
-               id_col: str = "doc_id", text_col: str = "text") -> LinearScorer:
-    rows = _texts(df, id_col, text_col)
+_HASHES = 1 << 62
+
+
+def sampled(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """Rows (doc_id, text) with the smallest hashes of id and text, with the hash
+    as ``pick``: about ``sample_rows`` and five standard deviations more."""
     total = rows.count()
-    pick = F.xxhash64(F.lit(11), "doc_id", "text") % (1 << 30) / float(1 << 30)
-    if total > sample_rows:
-        rows = rows.where(F.abs(pick) < sample_rows / total).limit(sample_rows)
+    pick = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(_HASHES))
+    share = min(1.0, (sample_rows + 5 * sample_rows ** 0.5) / max(1, total))
+    return rows.withColumn("pick", pick).where(F.col("pick") <= int(share * _HASHES))
+
 
-    table = bucket_counts(rows).select(posterior("votes", model).alias("target"), "buckets", "times").toArrow()
+def fit_scorer(df: DataFrame, model: LabelModel, sample_rows: int = SAMPLE_ROWS,
+               id_col: str = "doc_id", text_col: str = "text") -> LinearScorer:
+    """Train on the ``sample_rows`` different rows with the smallest hashes, in order of
+    the hashes: how the table is partitioned does not show. Tasks turn texts into
+    bucket counts before anything is brought together, and equal rows count once."""
+    counted = bucket_counts(sampled(_texts(df, id_col, text_col), sample_rows), "text", "pick")
+    table = counted.dropDuplicates(["key"]).select(
+        "key", posterior("votes", model).alias("target"), "buckets", "times").toArrow()
+    table = table.sort_by("key").slice(0, sample_rows)
     return train([(b.values.to_numpy(), n.values.to_numpy(), t) for t, b, n in
                   zip(table.column("target").to_pylist(), table.column("buckets"), table.column("times"))])
 

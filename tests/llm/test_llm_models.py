@@ -130,6 +130,113 @@ def test_sampled_texts_are_sent_as_bucket_counts(spark):
     assert empty.buckets == empty.times == []
 
 
+def slow_label(text):
+    """The labellers' votes, character by character."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    n = len(words)
+    votes = [0 if n < 50 else 1 if n >= 100 else None]
+    if not n:
+        return votes + [None] * 8
+    letters = [bool(re.match(rb"[A-Za-z\x80-\xff]", bytes([b]))) for b in range(256)]
+    size = sum(len(w) for w in words)
+    mean = size / n
+
+    def vote(share, good, bad):
+        return 1 if share <= good else None if share <= bad else 0
+
+    votes.append(0 if mean < 2.5 or mean > 14 else 1 if 3.5 <= mean <= 11 else None)
+    for chosen, by, good, bad in ((b"#*$%&|<>{}[]\\^~=+_@", n, 0.03, 0.15), (b"!?", n, 0.08, 0.3),
+                                  (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", size, 0.15, 0.3), (b"0123456789", size, 0.1, 0.3)):
+        votes.append(vote(sum(b in chosen for b in raw) / by, good, bad))
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    votes.append(vote((len(lines) - len(set(lines))) / len(lines), 0.02, 0.3) if len(lines) > 1 else None)
+    variety = len(set(words)) / n ** 0.75
+    votes.append(None if n < 50 else 0 if variety < 0.5 else 1 if variety > 1.0 else None)
+    # words left when all but letters is taken out
+    bare = [w for w in words if any(letters[b] for b in w)]
+    votes.append(vote(1 - len(bare) / n, 0.05, 0.2))
+    return votes
+
+
+def slow_buckets(text):
+    """How often a text has each bucket: of its words, and of their shapes with runs as one."""
+    times = collections.Counter()
+    for word in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()):
+        if word:
+            shape = bytearray()
+            for b in word:
+                kind = (ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57
+                        else ord("a") if 97 <= b <= 122 or b >= 128 else b)
+                if not shape or shape[-1] != kind:
+                    shape.append(kind)
+            for value in (word, b"\0" + bytes(shape)):
+                times[zlib.crc32(value) % (1 << weak_classifier.HASH_BITS)] += 1
+    return times
+
+
+def slow_scorer(data, passes=8, rate=1.0, decay=1e-5, seed=5):
+    """AdaGrad over dictionaries: (text's bucket counts, soft label) in order."""
+    weights, squares, bias, bias_square = collections.Counter(), collections.defaultdict(lambda: 1e-6), 0.0, 1e-6
+    order = np.random.default_rng(seed)
+    for _ in range(passes):
+        for k in order.permutation(len(data)):
+            times, target = data[k]
+            values = {b: c / max(1, sum(times.values()) // 2) for b, c in times.items()}
+            total = bias + sum(weights[b] * v for b, v in values.items())
+            error = 1 / (1 + math.exp(-max(-30, min(30, total)))) - target
+            for b, v in values.items():
+                gradient = error * v + decay * weights[b]
+                squares[b] += gradient * gradient
+                weights[b] -= rate * gradient / math.sqrt(squares[b])
+            bias_square += error * error
+            bias -= rate * error / math.sqrt(bias_square)
+    return weights, bias
+
+
+@pytest.mark.parametrize("sample", [40, 10_000])
+def test_op9_equals_the_slow_scorer_however_rows_are_dealt(spark, sample):
+    some = rows(4, 150) + rows(4, 150)[:30]  # some rows twice
+    results = []
+    for partitions in (1, 5):
+        df = clashing(frame(spark, some, partitions)).withColumnRenamed("kept", "pick")
+        results.append(sorted(map(tuple, weak_classifier.classify(df, sample_rows=sample).collect()), key=repr))
+    assert [r[0] for r in results[0]] == [r[0] for r in results[1]]
+    assert all(r[2] == pytest.approx(s[2], abs=1e-9) for r, s in zip(*results))
+    for doc, text, *_ in some:
+        assert weak_classifier.label((text or "").encode()) == slow_label(text)
+    # the sample: the different rows with the smallest hashes, in their order
+    picked = weak_classifier.sampled(weak_classifier._texts(frame(spark, some), "doc_id", "text"), sample)
+    order = {r["pick"]: (r["doc_id"], r["text"]) for r in picked.collect()}
+    posteriors = {}
+    for doc, posterior, *_ in results[0]:
+        posteriors.setdefault(doc, []).append(posterior)
+    by_votes = {tuple(slow_label(t)): p for t, p in zip([r[1] for r in some], [None] * len(some))}
+    table = spark.createDataFrame([(list(v),) for v in by_votes], "votes array<int>")
+    model = weak_classifier.fit(weak_classifier.vote_patterns(frame(spark, some)), "votes", weak_classifier._RULES,
+                                counted=True)
+    found = table.select("votes", weak_classifier.posterior("votes", model).alias("p")).collect()
+    by_votes = {tuple(r["votes"]): r["p"] for r in found}
+    data = [(slow_buckets(t), by_votes[tuple(slow_label(t))]) for _, (_, t) in sorted(order.items())][:sample]
+    weights, bias = slow_scorer(data)
+    want = []
+    for doc, text, *_ in some:
+        times = slow_buckets(text)
+        words = sum(times.values()) // 2
+        total = bias + (sum(weights[b] * c for b, c in times.items()) / words if words else 0.0)
+        want.append((doc, 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))))
+    got = sorted(((r[0], r[2]) for r in results[0]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 1e-9
+
+
+def test_op9_of_very_long_texts(spark):
+    long = "Plain words and more of them, " * 20_000
+    got = weak_classifier.classify(frame(spark, rows(2, 40) + [(7777, long, "en", "s", 0)])).collect()
+    assert len(got) == len(rows(2, 40)) + 1 and weak_classifier.label(long.encode()) == slow_label(long)
+
+
 def test_vote_patterns_count_every_text(spark):
     df = frame(spark)
     got = {tuple(r.votes): r.n for r in weak_classifier.vote_patterns(df).collect()}
