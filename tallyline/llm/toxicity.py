@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.llm.common import batches_of, held_out, texts
+from tallyline.session import materialize
 
 WORD_BUCKETS = 1 << 14
 GRAM_BUCKETS = 1 << 15
@@ -41,10 +42,13 @@ WINDOWS_AT_ONCE = 1024
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the labelled sample, and settings of the optimiser."""
+    """Bounds of the labelled sample, and settings of the optimiser. In the first of
+    ``rounds`` a text is trained by ``first_windows`` of its windows, from then on by the
+    window that scores highest among all of them."""
     toxic_rows: int = 1000
     clean_rows: int = 4000
-    windows_per_text: int = 4
+    rounds: int = 3
+    first_windows: int = 4
     held_apart: float = 0.25  # of the sample, for the rescaling
     passes: int = 3
     least_steps: int = 300  # small samples get more passes
@@ -239,20 +243,13 @@ def _laid_out(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.n
     return list(index), at, mask
 
 
-def train(sample: list[tuple[list[list[bytes]], int]], how: Training = Training(),
-          share: float | None = None) -> Network | None:
-    """Fit a network to (windows of a text, label) pairs; None without both
-    labels. ``share``: of toxic texts where scores are to hold, the sample's if None."""
+def train(sample: list[tuple[list[list[bytes]], int]], how: Training = Training()) -> Network | None:
+    """Fit a network to (windows of a text, label) pairs; None without both labels."""
     if len({label for _, label in sample}) < 2:
         return None
     rng = np.random.default_rng(how.seed)
-    order = rng.permutation(len(sample))
-    apart = [sample[i] for i in order[:int(len(sample) * how.held_apart)]]
-    used = [sample[i] for i in order[int(len(sample) * how.held_apart):]]
-    if len({label for _, label in used}) < 2:
-        used = sample
     net = Network.new(how.seed)
-    data = sorted(((w, label) for windows, label in used for w in windows), key=lambda d: len(d[0]))
+    data = sorted(((w, label) for windows, label in sample for w in windows), key=lambda d: len(d[0]))
     first = {k: np.zeros_like(a) for k, a in net.p.items()}
     second = {k: np.zeros_like(a) for k, a in net.p.items()}
     starts = list(range(0, len(data), how.batch))
@@ -271,18 +268,13 @@ def train(sample: list[tuple[list[list[bytes]], int]], how: Training = Training(
                 second[k] += 0.01 * (grad * grad - second[k])
                 fixed = (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-7)
                 net.p[k] -= (rate * fixed).astype(np.float32)
-    _rescale(net, apart if len({label for _, label in apart}) == 2 else sample, share)
     return net
 
 
-def _rescale(net: Network, sample: list[tuple[list[list[bytes]], int]], share: float | None,
+def _rescale(net: Network, best: np.ndarray, target: np.ndarray, share: float | None,
              rounds: int = 30, ridge: float = 1e-3) -> None:
-    """Logistic fit of the label by the largest window logit of a text, with
-    the classes weighted as if ``share`` of the texts were toxic."""
-    top = Scorer(net).logits([b" ".join(w).decode() for windows, _ in sample for w in windows])
-    ends = np.cumsum([len(windows) for windows, _ in sample])
-    best = np.array([max(top[e - len(w):e]) for (w, _), e in zip(sample, ends)])
-    target = np.array([label for _, label in sample], dtype=np.float64)
+    """Logistic fit of the labels ``target`` by ``best``, the largest window logit of each
+    whole text, with the classes weighted as if ``share`` of the texts were toxic."""
     share = float(target.mean()) if share is None else share
     weight = np.where(target > 0.5, share / target.mean(), (1 - share) / (1 - target.mean()))
     x = np.stack([best, np.ones_like(best)], axis=1)
@@ -326,29 +318,46 @@ class Scorer:
             self.place.update(zip(new, range(at, at + len(new))))
         return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def logits(self, batch: list[str]) -> list[float]:
-        """The largest window logit of each text, -inf without a window."""
-        best = np.full(len(batch), -np.inf)
-        lists = [words_of(t) for t in batch]
+    def _windows(self, lists: list[list[bytes]]):
+        """(owner, start, logit) of every window of the texts with these words, in arrays."""
         rows = self._rows([w for words in lists for w in words])
         short, whole, start = [], [], 0
         for k, words in enumerate(lists):
             n = len(words)
             if n < WINDOW:
-                short += [(k, start, n)] if n else []
+                short += [(k, 0, start, n)] if n else []
             else:
-                whole += [(k, start + s, WINDOW) for s in window_starts(n)]
+                whole += [(k, s, start + s, WINDOW) for s in window_starts(n)]
             start += n
-        short.sort(key=lambda w: w[2])
+        short.sort(key=lambda w: w[3])
         for group in (short, whole):
             for i in range(0, len(group), WINDOWS_AT_ONCE):
-                owner, first, sizes = (np.array(c) for c in zip(*group[i:i + WINDOWS_AT_ONCE]))
+                owner, begins, first, sizes = (np.array(c) for c in zip(*group[i:i + WINDOWS_AT_ONCE]))
                 step = np.arange(int(sizes.max()))
                 mask = step < sizes[:, None]
                 at = rows[np.where(mask, first[:, None] + step, 0)]
-                np.maximum.at(best, owner, self.net.forward(self.table, at, mask))
+                yield owner, begins, self.net.forward(self.table, at, mask)
+
+    def logits(self, batch: list[str]) -> list[float]:
+        """The largest window logit of each text, -inf without a window."""
+        best = np.full(len(batch), -np.inf)
+        for owner, _, found in self._windows([words_of(t) for t in batch]):
+            np.maximum.at(best, owner, found)
         return best.tolist()
 
+    def tops(self, batch: list[str]) -> list[tuple[float, list[bytes]] | None]:
+        """The largest window logit of each text and the first window that has it."""
+        lists = [words_of(t) for t in batch]
+        found = list(self._windows(lists))
+        out: list[tuple[float, list[bytes]] | None] = [None] * len(batch)
+        if found:
+            owner, begins, logits = (np.concatenate(part) for part in zip(*found))
+            # by text, then falling logit, then place: the first row of each text is its best
+            order = np.lexsort((begins, -logits, owner))
+            for i in order[np.concatenate([[True], np.diff(owner[order]) > 0])].tolist():
+                out[owner[i]] = float(logits[i]), lists[owner[i]][begins[i]:begins[i] + WINDOW]
+        return out
+
     def scores(self, batch: list[str]) -> list[float]:
         x = np.array(self.logits(batch)) * self.net.scale + self.net.shift
         return (1 / (1 + np.exp(-np.clip(x, -60, 60))) * np.isfinite(x)).tolist()
@@ -373,44 +382,90 @@ def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id",
-                    text_col: str = "text", label_col: str = "toxic"):
-    """(windows, label) of a bounded number of labelled texts. The ids are
-    chosen from the labels alone, so the join's small side is at most
+                    text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(id, text, label) of a bounded number of labelled whole texts, written out. The
+    ids are chosen from the labels alone, so the join's small side is at most
     ``toxic_rows + clean_rows`` rows, and texts are not shuffled."""
     known = _known(labels, id_col, label_col)
     order = [F.xxhash64(F.lit(how.seed), "id"), F.col("id")]
     chosen = (known.where("label = 1").orderBy(*order).limit(how.toxic_rows)
               .union(known.where("label = 0").orderBy(*order).limit(how.clean_rows)))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    picked = rows.join(F.broadcast(chosen), "id").select("id", "text", "label")
-    most = how.windows_per_text
+    picked = rows.join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "label")
+    return materialize(picked, "toxicity-sample")
+
+
+def _cut(sample: DataFrame, limit: int, net: Network | None, windows: int) -> list[dict]:
+    """(id, label, logit, windows) of the sampled texts with words, in a fixed order: a
+    few evenly spaced windows each, or with ``net`` the best of all windows and its logit.
+    Tasks read the whole texts; what comes back is bounded by texts and windows."""
+    out = pa.schema([("id", pa.string()), ("label", pa.int32()), ("logit", pa.float64()),
+                     ("windows", pa.list_(pa.binary()))])
+    shared = sample.sparkSession.sparkContext.broadcast(net)
+
+    def spread(words):
+        starts = window_starts(len(words))
+        if len(starts) > windows:
+            starts = [starts[k * len(starts) // windows] for k in range(windows)]
+        return [b" ".join(words[s:s + WINDOW]) for s in starts]
 
     def run(batches):
-        out = pa.schema([("id", pa.string()), ("label", pa.int32()), ("windows", pa.list_(pa.binary()))])
+        scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
             def cut():
-                for i, text, label in zip(batch.column(0).to_pylist(), texts(batch.column(1)),
-                                          batch.column(2).to_pylist()):
-                    words = words_of(text)
-                    starts = window_starts(len(words))
-                    if len(starts) > most:
-                        starts = [starts[k * len(starts) // most] for k in range(most)]
-                    if starts:
-                        yield str(i), label, [b" ".join(words[s:s + WINDOW]) for s in starts]
+                ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                done = 0
+                for group in _text_groups(batch.column(1)):
+                    tops = scorer.tops(group) if scorer else [(0.0, None)] * len(group)
+                    for text, top in zip(group, tops):
+                        if top:
+                            parts = [b" ".join(top[1])] if scorer else spread(words_of(text))
+                            if parts:
+                                yield ids[done], labels[done], top[0], parts
+                        done += 1
 
             yield from batches_of(cut(), out, 256)
 
-    found = picked.mapInArrow(run, "id string, label int, windows array<binary>").toArrow().to_pylist()
+    found = sample.mapInArrow(run, "id string, label int, logit double, windows array<binary>").toArrow().to_pylist()
+    shared.unpersist()
     found.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["windows"]))
-    limit = how.toxic_rows + how.clean_rows  # repeated ids may give more texts
-    return [([w.split() for w in r["windows"]], r["label"]) for r in found[:limit]]
+    found = found[:limit]  # repeated ids may give more texts
+    for r in found:
+        r["windows"] = [w.split() for w in r["windows"]]
+    return found
 
 
 def fit(df: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """Train on labelled texts of ``df``."""
+    """Train on labelled texts of ``df``.
+
+    The first network is trained on evenly spaced windows. Every later one is trained on
+    the best window of each text, found by the network before it among all windows, as
+    the score of a text is that of its best window; clean texts keep their first
+    windows besides. A share of the texts is held apart, and their largest logits over
+    all windows fit the scale on which 0.5 parts the labels.
+    """
     share = _known(labels, id_col, label_col).agg(F.avg("label")).first()[0]
-    return train(labelled_sample(df, labels, how, id_col, text_col, label_col), how, share)
+    sample = labelled_sample(df, labels, how, id_col, text_col, label_col)
+    limit = how.toxic_rows + how.clean_rows
+    first = _cut(sample, limit, None, how.first_windows)
+    if len({r["label"] for r in first}) < 2:
+        return None
+    # texts are held apart by a hash of the id, the same in every round
+    apart = {r["id"] for r in first if zlib.crc32(r["id"].encode(), how.seed) % 1000 < 1000 * how.held_apart}
+    used = [r for r in first if r["id"] not in apart]
+    if len({r["label"] for r in used}) < 2:
+        apart, used = set(), first
+    net = train([(r["windows"], r["label"]) for r in used], how)
+    clean = [(r["windows"], 0) for r in used if not r["label"]]
+    for _ in range(how.rounds - 1):
+        tops = [r for r in _cut(sample, limit, net, 1) if r["id"] not in apart]
+        net = train([(r["windows"], r["label"]) for r in tops] + clean, how)
+    every = _cut(sample, limit, net, 1)
+    judged = [r for r in every if r["id"] in apart]
+    judged = judged if len({r["label"] for r in judged}) == 2 else every
+    _rescale(net, np.array([r["logit"] for r in judged]), np.array([r["label"] for r in judged], np.float64), share)
+    return net
 
 
 def score(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
