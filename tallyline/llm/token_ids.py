@@ -141,11 +141,15 @@ class PartEncoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Encode new keys: evident ones as pieces in one call, the others one by one."""
-        plain = [k for k in keys if EVIDENT(k)] if self.splits_known else []
-        others = [k for k in keys if not EVIDENT(k)] if self.splits_known else keys
+        plain, others = [], keys
+        if self.splits_known:
+            evident = list(map(EVIDENT, keys))
+            plain = [k for k, m in zip(keys, evident) if m]
+            others = [k for k, m in zip(keys, evident) if not m]
         if plain:
             # NUL sets parts and pieces apart while all are written as byte letters
-            joined = "\0".join([part_of(k) for k in plain])
+            # an evident key starts with a space (its part has none) or not (its part has one)
+            joined = "\0".join([k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in plain])
             sizes = [len(raw) for raw in joined.encode().split(b"\0")]
             shown = MEET.sub("\0", joined).encode().decode("latin-1").translate(self.letters).split("\0")
             made = self.pieces.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)
@@ -163,9 +167,11 @@ class PartEncoder:
     def _of_places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts at these places, and where those of each end."""
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        take = np.repeat(self.starts[at] - (ends - sizes), sizes)
-        take += np.arange(len(take))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        # places in the pool of a group of texts: 32 bits hold them but for very long texts
+        kind = np.int32 if max(self.used, int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+        take = np.repeat((self.starts[at] - (ends - sizes)).astype(kind), sizes)
+        take += np.arange(len(take), dtype=kind)
         return self.pool[take], ends
 
     def _of_keys(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +186,7 @@ class PartEncoder:
                 missing = np.flatnonzero(at < 0)
                 new = dict.fromkeys(keys[i] for i in missing.tolist())
             self._learn(list(new))
-            at[missing] = [self.place[keys[i]] for i in missing.tolist()]
+            at[missing] = list(map(self.place.__getitem__, map(keys.__getitem__, missing.tolist())))
         n = len(self.place)
         self.uses[:n] += np.bincount(at, minlength=n)
         return self._of_places(at)
