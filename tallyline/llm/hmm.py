@@ -23,7 +23,8 @@ other words are joined by word, whatever their number, so none is left out.
 
 Defined results: a NULL or empty text is the end mark alone. Without training texts
 all counts are 0, and every state emits every class alike. Repeated rows are
-counted and scored each. An empty table gives an empty result.
+counted and scored each. An empty table gives an empty result. Columns other than id, text and
+those of the training condition, whatever their names, are not read.
 """
 
 from __future__ import annotations

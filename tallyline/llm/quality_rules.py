@@ -151,7 +151,7 @@ def measured(df: DataFrame, text_col: str = "text",
     frame and the two column names."""
     m = free_name(df, "measures")
     v = free_name(df, "votes")
-    out = df.withColumn(m, measures(F.col(text_col)))
+    out = df.withColumn(m, measures(F.col(f"`{text_col}`")))
     if not keep_text:
         out = out.drop(text_col)
     return materialize(out.withColumn(v, votes(m, rules)), "quality-votes"), m, v
@@ -184,7 +184,8 @@ def fit(rows: DataFrame, v: str, rules: tuple[Rule, ...] = RULES, steps: int = 1
     """
     patterns = rows if counted else rows.groupBy(F.col(f"`{v}`").alias("votes")).agg(
         F.count(F.lit(1)).alias("n"))
-    table = materialize(patterns.coalesce(1), "vote-patterns")
+    # at most 3^rules rows: in one sorted file, sums are taken in one order whatever the partitions
+    table = materialize(patterns.repartition(1).sortWithinPartitions("votes"), "vote-patterns")
     v = "votes"
     model = LabelModel(prior, [good] * len(rules), [bad] * len(rules), 0, rules)
     for _ in range(steps):
@@ -216,7 +217,7 @@ def fit(rows: DataFrame, v: str, rules: tuple[Rule, ...] = RULES, steps: int = 1
 def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    threshold: float = 0.5) -> DataFrame:
     """Measures, posterior and verdict of each row of ``df``."""
-    rows, m, v = measured(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+    rows, m, v = measured(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
                          keep_text=False)
     model = fit(rows, v)
     p = posterior(v, model)

@@ -7,14 +7,16 @@ unit scores the window. A text's score is the largest score of its overlapping
 windows (64 words, a new one every 48, the last one ending with the text),
 rescaled on labelled texts kept apart from the gradient.
 
-Training uses at most ``toxic_rows`` and ``clean_rows`` labelled texts, chosen by a
-hash of the id, and at most ``windows_per_text`` evenly spaced windows of each.
-Scoring goes over all windows of all texts.
+Training uses at most ``toxic_rows`` and ``clean_rows`` labelled whole texts, chosen by a
+hash of the id. A first network is trained on a few evenly spaced windows of each, later ones
+on the window that the network before them scores highest among all windows of the text.
+Scoring and rescaling go over all windows of all texts.
 
 Defined results: a NULL or empty text has no window and score 0. Without labelled
 texts of both classes nothing can be learned and every score is 0. Labels of one id
 that differ count as toxic; NULL labels are not used. Repeated rows are scored
-again. An empty table gives an empty result.
+again. An empty table gives an empty result. :func:`keep_clean` returns the columns it was
+given, whatever their names; :func:`score` reads id and text only.
 """
 
 from __future__ import annotations
@@ -377,8 +379,9 @@ def _text_groups(column, limit: int = 1 << 19):
 
 
 def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    return (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-            .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
+    label, key = F.col(f"`{label_col}`"), F.col(f"`{id_col}`")
+    return (labels.where(label.isNotNull() & key.isNotNull())
+            .groupBy(key.alias("id")).agg(F.max(label.cast("int")).alias("label")))
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, how: Training = Training(), id_col: str = "doc_id",
