@@ -1,9 +1,10 @@
-"""Write the physical plan of every registered query to docs/PLANS.md.
+"""Write the physical plan of every batch query to docs/PLANS.md.
 
 Usage: python scripts/dump_plans.py [data_dir]
 
 Plans are Spark's ``explain("formatted")`` before execution (AQE may still
-re-plan joins and coalesce partitions at runtime).
+re-plan joins and coalesce partitions at runtime). Replays and training-data
+queries run jobs while they are built, so the plan of what they return says little.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as entry  # noqa: E402
+from tallyline.plans import QUERIES  # noqa: E402
 from tallyline.session import build_session, checkpoint_root  # noqa: E402
 
 
@@ -28,7 +29,7 @@ def main() -> None:
     out = ["# Physical plans", "",
            f"Generated by `scripts/dump_plans.py` on `{os.path.basename(data_dir)}`, "
            "8 shuffle partitions, before AQE re-planning.", ""]
-    for name, query in entry.queries().items():
+    for name, query in QUERIES.items():
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             query(spark, data_dir).explain("formatted")
