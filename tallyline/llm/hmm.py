@@ -13,13 +13,16 @@ Training is Baum-Welch: tasks run the scaled forward-backward recursion over the
 texts, and the expected counts per word and state are summed by Spark, where they
 meet with what other tasks found. Every training word has counts of its own. The
 driver gets those of the frequent words, of the classes and of the moves, whose
-number is bounded; those of all other words stay a table, which every step joins to
-the texts by word. Long texts are cut into sequences of ``train_piece``
-words for training only. Scoring runs the scaled forward recursion over every whole
-text, so a score is the exact likelihood of the text under the model.
+number is bounded. Those of all other words stay in tables: texts are held in
+blocks of about ``block_tokens`` words, a word met once in the whole input has its
+counts beside its block, and of every other word the blocks send their sums, one
+entry per block and word, to the word's bucket and get the total back. Long texts
+are cut into sequences of ``train_piece`` words for training only. Scoring runs the
+scaled forward recursion over every whole text, so a score is the exact likelihood
+of the text under the model.
 
 Counts of frequent words (``known_words``, a bound) travel to the tasks. Those of all
-other words are joined by word, whatever their number, so none is left out.
+other words are joined by word once, whatever their number, so none is left out.
 
 Defined results: a NULL or empty text is the end mark alone. Without training texts
 all counts are 0, and every state emits every class alike. Repeated rows are
@@ -32,18 +35,22 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat, tee
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import batches_of, raw_texts
-from tallyline.session import materialize
+from tallyline.session import drop_table, materialize
 
 END = ""  # no word is empty
 LONGEST_KNOWN = 64  # bytes of a word that travels to the tasks
+BATCH_BYTES = 4 << 20  # sent to Python at once
+BOUNDED_ROWS = 1 << 13  # known words, classes and moves whose counts are summed together,
+BOUNDED_TASKS = 256  # and tasks whose sums are added first
 
 
 @dataclass(frozen=True)
@@ -58,6 +65,8 @@ class Shape:
     sticky: float = 0.8
     smoothing: float = 20.0
     seed: int = 17
+    block_tokens: int = 1 << 17  # a block of texts ends with the text that reaches them
+    bucket_words: int = 500_000  # occurrences of the words of a bucket, about
 
     @property
     def classes(self) -> int:
@@ -75,30 +84,35 @@ def _rows(df: DataFrame, id_col: str, text_col: str, training) -> DataFrame:
 
 
 def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
-    """(word, c) over the texts of ``rows``; the end mark is the empty word.
-    Tasks count first and pass on what they hold when ``most`` words are reached."""
+    """(word, c, apart) over the texts of ``rows``: how often training texts and how
+    often texts held out have the word; the end mark is the empty word. Tasks count
+    first and pass on what they hold when ``most`` words are reached."""
     def run(batches):
-        out = pa.schema([("word", pa.string()), ("c", pa.int64())])
-        held: Counter = Counter()
+        out = pa.schema([("word", pa.string()), ("c", pa.int64()), ("apart", pa.int64())])
+        counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
 
         def flush():
-            words = list(held)
-            for k in range(0, len(words), 50_000):
-                part = words[k:k + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.binary()).cast(pa.string()), pa.array([held[w] for w in part], pa.int64())],
-                    schema=out)
-            held.clear()
+            for apart, held in counts.items():
+                words = list(held)
+                for k in range(0, len(words), 50_000):
+                    part = words[k:k + 50_000]
+                    found, none = pa.array([held[w] for w in part], pa.int64()), pa.array([0] * len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part, pa.binary()).cast(pa.string()), *((none, found) if apart else (found, none))],
+                        schema=out)
+                held.clear()
 
         for batch in batches:
-            for raw in raw_texts(batch.column(0)):
+            for raw, apart in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
+                held = counts[apart]
                 held.update(words_of(raw))
                 held[b""] += 1
                 if len(held) >= most:
                     yield from flush()
         yield from flush()
 
-    return rows.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return (rows.select("text", "held_out").mapInArrow(run, "word string, c bigint, apart bigint")
+            .groupBy("word").agg(F.sum("c").alias("c"), F.sum("apart").alias("apart")))
 
 
 @dataclass
@@ -142,54 +156,119 @@ def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
                       np.log10(n + v + 1.0), weights, int(size[0] or 0), int(size[1]))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Count and numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers).reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return numbers.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    kind, n = np.dtype(kind), int.from_bytes(raw[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], n * kind.itemsize, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).reshape(-1).view(kind)
+
+
 def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Every text's words (``ids``, little-endian unsigned 32-bit: the rank of a
-    known word, else the number of known words plus the place in ``others``), sums
-    over its known words, and the other words for the join with their shared
-    class ``k``, counted from 0."""
+    """The texts in blocks, held out or not: ``texts`` with sums over their known
+    words; the block's known words (``ranks``, ascending) and its other ``words`` with
+    their shared classes (``kinds``, counted from 0); and the words of the texts, one
+    text after the other, as places in ranks followed by words (``ids``)."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
         voc = shared.value
         place, own = voc.place, voc.shape.own_classes
         ranked = voc.classes_by_rank()
-        for batch in batches:
-            out = pa.schema([("doc_id", batch.schema.field(0).type), ("held_out", pa.bool_()),
-                             ("n_tokens", pa.int64()), ("n_found", pa.int64()), ("log_count", pa.float64()),
-                             ("log_share", pa.float64()), ("ids", pa.binary()),
-                             ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()),
-                                                            ("k", pa.int32())])))])
 
-            def texts():
+        class Open:
+            def __init__(self, held: bool):
+                self.held, self.docs, self.words, self.sizes = held, [], [], []
+
+            def row(self):
+                words, known = self.words, len(place)
+                ids = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                missing = np.flatnonzero(ids < 0)
+                others: dict[bytes, int] = {}
+                ids[missing] = [known + others.setdefault(words[i], len(others)) for i in missing.tolist()]
+                used = np.zeros(known + len(others), np.bool_)
+                used[ids] = True
+                ranks = np.flatnonzero(used[:known])
+                ids = (np.cumsum(used) - 1)[ids]
+                kinds = np.fromiter((voc.shared_class(w) - own for w in others), dtype=np.int64, count=len(others))
+                log_count = np.concatenate([voc.logs[ranks], np.zeros(len(others))])
+                log_share = np.concatenate([np.zeros(np.searchsorted(ranks, own)), voc.logs[ranks[ranks >= own]]
+                                            - voc.share_logs[ranked[ranks[ranks >= own]] - own],
+                                            -voc.share_logs[kinds]])
+                firsts = np.cumsum([0, *self.sizes[:-1]])
+                texts = zip(self.docs, self.sizes, np.add.reduceat(ids < len(ranks), firsts, dtype=np.int64).tolist(),
+                            np.add.reduceat(log_count[ids], firsts).tolist(),
+                            np.add.reduceat(log_share[ids], firsts).tolist())
+                names = ("doc_id", "n_tokens", "n_found", "log_count", "log_share")
+                return (self.held, [dict(zip(names, t)) for t in texts], packed(ids.astype("<u4")),
+                        packed(ranks.astype("<u4")), packed(kinds.astype("<u4")), [w.decode() for w in others])
+
+        def blocks():
+            nonlocal out
+            now = {held: Open(held) for held in (False, True)}
+            for batch in batches:
+                out = pa.schema([("held_out", pa.bool_()), ("texts", pa.list_(pa.struct(
+                    [("doc_id", batch.schema.field(0).type), ("n_tokens", pa.int64()), ("n_found", pa.int64()),
+                     ("log_count", pa.float64()), ("log_share", pa.float64())]))), ("ids", pa.binary()),
+                    ("ranks", pa.binary()), ("kinds", pa.binary()), ("words", pa.list_(pa.string()))])
                 for doc, raw, held in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)),
                                           batch.column(2).to_pylist()):
                     words = words_of(raw)
                     words.append(b"")
-                    n = len(words)
-                    rank = np.fromiter((place.get(w, -1) for w in words), dtype=np.int32, count=n)
-                    ids = rank.copy()
-                    found = rank >= 0
-                    apart = rank[rank >= own]
-                    others: dict[bytes, list[int]] = {}
-                    for i in np.flatnonzero(~found).tolist():
-                        word = words[i]
-                        entry = others.get(word)
-                        if entry is None:
-                            entry = others[word] = [len(others), 0, voc.shared_class(word) - own]
-                        entry[1] += 1
-                        ids[i] = len(place) + entry[0]
-                    log_share = (voc.logs[apart].sum() - voc.share_logs[ranked[apart] - own].sum()
-                                 - sum(c * voc.share_logs[k] for _, c, k in others.values()))
-                    yield (doc, held, n, int(found.sum()), float(voc.logs[rank[found]].sum()), float(log_share),
-                           ids.astype("<u4").tobytes(),
-                           [{"word": w.decode(), "n": c, "k": k} for w, (_, c, k) in others.items()])
-
-            yield from batches_of(texts(), out, 512)
+                    block = now[held]
+                    block.docs.append(doc)
+                    block.words += words
+                    block.sizes.append(len(words))
+                    if len(block.words) >= voc.shape.block_tokens:
+                        yield block.row()
+                        now[held] = Open(held)
+            for rest in now.values():
+                if rest.docs:
+                    yield rest.row()
+
+        out = None
+        for row in blocks():
+            yield from batches_of([row], out)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_found bigint, "
-                                "log_count double, log_share double, ids binary, "
-                                "others array<struct<word: string, n: int, k: int>>")
+    return rows.mapInArrow(run, f"held_out boolean, texts array<struct<doc_id: {kind}, n_tokens: bigint, "
+                                "n_found: bigint, log_count: double, log_share: double>>, ids binary, ranks binary, "
+                                "kinds binary, words array<string>")
+
+
+def with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The blocks with what training has met of their other words, in place of the
+    words: how often (``times``, 0 if never), and the ``numbers`` of those that more
+    than one place of the input has (else -1)."""
+    def run(batches):
+        for batch in batches:
+            times, numbers = [], []
+            for kinds, met in zip(batch.column("kinds").to_pylist(), batch.column("met")):
+                n = len(unpacked(kinds, "<u4"))
+                time, number = np.zeros(n, "<i8"), np.full(n, -1, "<i8")
+                if met.is_valid:
+                    entries = met.values
+                    at = _numbers(entries.field("pos"))
+                    time[at], number[at] = _numbers(entries.field("c")), _numbers(entries.field("number"))
+                times.append(packed(time))
+                numbers.append(packed(number))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(times, pa.binary()), pa.array(numbers, pa.binary())],
+                names=[*batch.schema.names[:-1], "times", "numbers"])
+
+    pairs = texts.select("block", F.posexplode("words").alias("pos", "word"))
+    met = (pairs.join(counts.where("c > 0").select("word", "c", "number"), "word")
+           .groupBy("block").agg(F.collect_list(F.struct("pos", "c", "number")).alias("met")))
+    kept = texts.drop("words")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.join(met, "block", "left").select(*kept.columns, "met").mapInArrow(
+        run, f"{fields}, times binary, numbers binary")
 
 
 @dataclass
@@ -303,47 +382,90 @@ class Learned:
         return ((self.sizes[k][:, None] * counts + c) / (self.found[k] + 1) + 1) / (c + 1)
 
 
-def with_found(texts: DataFrame, words: DataFrame | None, states: int) -> DataFrame:
-    """``texts`` with ``found``: for each of the ``others`` that training has met,
-    its place, count and expected counts."""
-    sums = [f"s{s}" for s in range(states)]
-    if words is None:
-        fields = ", ".join(f"{s}: float" for s in sums)
-        return texts.withColumn("found", F.lit(None).cast(f"array<struct<pos: int, c: bigint, {fields}>>"))
-    pairs = texts.select("row", F.posexplode("others").alias("pos", "o")).select("row", "pos", "o.word")
-    met = pairs.join(words, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "c", *sums)).alias("found"))
-    return texts.join(met, "row", "left")
+def with_found(blocks: DataFrame, sums: DataFrame | None) -> DataFrame:
+    """``blocks`` with ``found``: the expected counts of their words met in training,
+    by bucket (-1: words met once), in the order of the words."""
+    if sums is None:
+        return blocks.withColumn("found", F.lit(None).cast("array<struct<bucket: int, sums: binary>>"))
+    met = sums.groupBy("block").agg(F.collect_list(F.struct("bucket", "sums")).alias("found"))
+    return blocks.join(met, "block", "left")
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _prepared(batch: pa.RecordBatch, learned: Learned, states: int):
-    """The model by the numbers of this batch's words, the texts as such numbers,
-    and the others as arrow structs: their rows, and those met in training."""
-    known = len(learned.known)
-    others, met = batch.column("others"), batch.column("found")
-    sizes = _numbers(pc.list_value_length(others)).astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    flat = others.flatten()
-    k = _numbers(flat.field("k")).astype(np.int64)
-    rare = learned.model.emit[len(learned.model.emit) - len(learned.sizes) + k]
-    lengths = _numbers(pc.fill_null(pc.list_value_length(met), 0)).astype(np.int64)
-    entries = met.flatten()
-    at = np.repeat(starts, lengths) + _numbers(entries.field("pos"))
-    c = _numbers(entries.field("c")).astype(np.float64)
-    if len(at):
-        counts = np.stack([_numbers(entries.field(f"s{s}")) for s in range(states)], axis=1).astype(np.float64)
-        rare[at] *= learned.tilt(k[at], c, counts)
-    ids = [np.frombuffer(v.as_buffer(), dtype="<u4") for v in batch.column("ids")]
-    lengths_of = [len(i) for i in ids]
-    whole = np.concatenate(ids).astype(np.int64)
-    apart = np.flatnonzero(whole >= known)
-    whole[apart] += np.repeat(starts, lengths_of)[apart]
-    model = Model(learned.model.start, learned.model.move, np.concatenate([learned.known, rare]))
-    return (model, np.split(whole, np.cumsum(lengths_of)[:-1]), flat, k,
-            (np.repeat(np.arange(len(sizes)), sizes)[at], at, c))
+@dataclass
+class Block:
+    """A block of texts, whose words are numbered from 0: known ones, then others."""
+    block: int
+    ranks: np.ndarray  # of the known words
+    kinds: np.ndarray  # shared class by other word
+    times: np.ndarray  # in training, by other word
+    numbers: np.ndarray  # by other word, -1 if no other block has it
+    found: list[dict] | None
+    sequences: list[np.ndarray] | None = None  # the texts
+    texts: pa.StructArray | None = None
+    held_out: bool | None = None
+
+    @classmethod
+    def rows(cls, batch: pa.RecordBatch):
+        """The blocks of ``batch``, one at a time, with the texts if it has them."""
+        names = set(batch.schema.names)
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in
+                   ("block", "held_out", "ids", "ranks", "kinds", "times", "numbers", "found") if name in names}
+            block = cls(row["block"], unpacked(row["ranks"], "<u4").astype(np.int64),
+                        unpacked(row["kinds"], "<u4").astype(np.int64), unpacked(row["times"], "<i8"),
+                        unpacked(row["numbers"], "<i8"), row.get("found"), held_out=row.get("held_out"))
+            if "ids" in row:
+                block.texts = batch.column("texts")[i].values
+                ends = np.cumsum(_numbers(block.texts.field("n_tokens")))
+                block.sequences = np.split(unpacked(row["ids"], "<u4").astype(np.int64), ends[:-1])
+            yield block
+
+    def once(self) -> np.ndarray:
+        """Places of the other words that nothing but this block has."""
+        return np.flatnonzero((self.times > 0) & (self.numbers < 0))
+
+    def buckets(self, n: int):
+        """(bucket, places of its words), for words that other blocks may have too."""
+        at = np.flatnonzero(self.numbers >= 0)
+        bucket = self.numbers[at] % n
+        order = np.argsort(bucket, kind="stable")
+        different, first = np.unique(bucket[order], return_index=True)
+        return zip(different.tolist(), np.split(at[order], first[1:]))
+
+    def model(self, learned: Learned, n: int) -> Model:
+        """The model by the numbers of this block's words."""
+        rare = learned.model.emit[len(learned.model.emit) - len(learned.sizes) + self.kinds]
+        if self.found is not None:
+            sums = {e["bucket"]: unpacked(e["sums"], "<f4").reshape(-1, rare.shape[1]) for e in self.found}
+            for bucket, at in [(-1, self.once()), *self.buckets(n)]:
+                if len(at):
+                    rare[at] *= learned.tilt(self.kinds[at], self.times[at].astype(np.float64),
+                                             sums[bucket].astype(np.float64))
+        return Model(learned.model.start, learned.model.move, np.concatenate([learned.known[self.ranks], rare]))
+
+
+def _joined(blocks, models, tokens: int):
+    """Blocks and their models, gathered until they have ``tokens`` words: (blocks, one
+    model for all, the places in it where theirs begin, sequences by its numbers)."""
+    def one():
+        starts = np.cumsum([0, *[len(m.emit) for m in ours]])
+        return (held, Model(ours[0].start, ours[0].move, np.concatenate([m.emit for m in ours])), starts,
+                [s + first for b, first in zip(held, starts) for s in b.sequences])
+
+    held, ours, size = [], [], 0
+    for block, model in zip(blocks, models):
+        held.append(block)
+        ours.append(model)
+        size += sum(map(len, block.sequences))
+        if size >= tokens:
+            yield one()
+            held, ours, size = [], [], 0
+    if held:
+        yield one()
 
 
 def _pieces(sequences, piece: int):
@@ -366,19 +488,114 @@ def _gathered(items, tokens: int):
 
 def _written_alone(df: DataFrame, name: str) -> DataFrame:
     """:func:`materialize`, whose shuffles are freed as soon as the table is written:
-    those of every training step would else stay on disk side by side."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
+    those of every training step would else stay on disk side by side. Python gets
+    its rows, which are long, in small batches."""
+    conf = df.sparkSession.conf
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+              "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
     try:
         return materialize(df, name)
     finally:
-        conf.set(key, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+SENT = "bucket int, alone bigint, block bigint, numbers binary, sums binary"
 
 
-def baum_welch(texts: DataFrame, vocab: Vocabulary) -> tuple[Learned, DataFrame | None]:
-    """Train on the encoded texts that are not held out: the bounded part of the
-    model, and the table (word, c, s0, s1, ...) of the expected counts of all words
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * 5
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                      names=["bucket", "alone", "block", "numbers", "sums"])
+
+
+def gathered(blocks: DataFrame, shared, buckets: int, piece: int) -> DataFrame:
+    """Expectation over the blocks (with ``found``): rows (bucket, alone, block, numbers,
+    sums) of the words of a bucket in a block; with bucket -1 and ``alone`` (the
+    block) of the words met once; and with buckets below -1, ``alone`` (some tasks) and
+    no block the task's sums of known words, shared classes, first states and moves."""
+    def run(batches):
+        now = shared.value
+        known, k = now.known.shape
+        first = known + len(now.sizes)
+        counts = np.zeros((first + 1 + k, k))
+        blocks, again = tee(block for batch in batches for block in Block.rows(batch))
+        for group, local, starts, sequences in _joined(blocks, (b.model(now, buckets) for b in again), 200_000):
+            sums = np.zeros(local.emit.shape)
+            for part in _gathered(_pieces(sequences, piece), 300_000):
+                start, move, emit = expected_counts(local, part, len(local.emit))
+                sums += emit
+                counts[first] += start
+                counts[first + 1:] += move
+            rows = []
+            for block, start, end in zip(group, starts, starts[1:]):
+                n = start + len(block.ranks)
+                counts[block.ranks] += sums[start:n]
+                rare = sums[n:end]
+                for s in range(k):
+                    counts[known:first, s] += np.bincount(block.kinds, rare[:, s], len(now.sizes))
+                rare, once = rare.astype("<f4"), block.once()
+                if len(once):
+                    rows.append((-1, block.block, block.block, None, packed(rare[once])))
+                for bucket, at in block.buckets(buckets):
+                    rows.append((bucket, None, block.block, packed(block.numbers[at]), packed(rare[at])))
+            yield _sent(rows)
+        task = TaskContext.get().partitionId() // BOUNDED_TASKS
+        at = np.flatnonzero(counts.any(axis=1)).astype("<i8")
+        for part in np.split(at, np.searchsorted(at, np.arange(BOUNDED_ROWS, len(counts), BOUNDED_ROWS))):
+            if len(part):
+                yield _sent([(int(-2 - part[0] // BOUNDED_ROWS), task, None, packed(part),
+                              packed(counts[part].astype("<f4")))])
+
+    return blocks.select("block", "texts", "ids", "ranks", "kinds", "times", "numbers", "found").mapInArrow(run, SENT)
+
+
+def asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Rows as of :func:`gathered`, without sums: the words whose counts blocks need."""
+    def run(batches):
+        for batch in batches:
+            for block in Block.rows(batch):
+                yield _sent([(bucket, None, block.block, packed(block.numbers[at]), None)
+                             for bucket, at in block.buckets(buckets)])
+
+    return blocks.select("block", "ranks", "kinds", "times", "numbers").mapInArrow(run, SENT)
+
+
+def totals(sent: DataFrame, states: int) -> DataFrame:
+    """Sums by number over all rows of a bucket and ``alone``, for the words of each of
+    the rows; those of buckets below -1 once, without a block."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        bucket = table.column("bucket")[0].as_py()
+        if bucket == -1:
+            return table.drop_columns("alone")
+        numbers = [unpacked(v.as_py(), "<i8") for v in table.column("numbers")]
+        different, places = np.unique(np.concatenate(numbers), return_inverse=True)
+        places = np.split(places, np.cumsum([len(n) for n in numbers])[:-1])
+        total = np.zeros((len(different), states))
+        for at, value in zip(places, table.column("sums")):
+            if value.is_valid:  # a row has a number once
+                total[at] += unpacked(value.as_py(), "<f4").reshape(-1, states)
+        total = total.astype("<f4")
+        if bucket < -1:
+            blocks, numbers, sums = [None], [packed(different)], [packed(total)]
+        else:
+            blocks, numbers = table.column("block").to_pylist(), [None] * len(places)
+            sums = [packed(total[at]) for at in places]
+        return pa.table([pa.array([bucket] * len(sums), pa.int32()), pa.array(blocks, pa.int64()),
+                         pa.array(numbers, pa.binary()), pa.array(sums, pa.binary())],
+                        names=["bucket", "block", "numbers", "sums"])
+
+    return sent.groupBy("bucket", "alone").applyInArrow(run, "bucket int, block bigint, numbers binary, sums binary")
+
+
+def baum_welch(blocks: DataFrame, vocab: Vocabulary, buckets: int) -> tuple[Learned, DataFrame | None]:
+    """Train on the blocks that are not held out: the bounded part of the model, and
+    the table (block, bucket, sums) of the expected counts of all words of all blocks
     that are not known."""
     shape = vocab.shape
     model = Model.new(vocab)
@@ -386,84 +603,60 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary) -> tuple[Learned, DataFrame
         return Learned.of(vocab, Model(model.start, model.move, np.full_like(model.emit, 1 / shape.classes))), None
     own, k, known, ranked = shape.own_classes, shape.states, len(vocab.place), vocab.classes_by_rank()
     first = known + shape.shared_classes  # counts: known words, shared classes, first states, moves
-    names = [f"s{s}" for s in range(k)]
-    training = texts.where("NOT held_out").select("row", "ids", "others")
     learned, words = Learned.of(vocab, model), None
-    for _ in range(shape.steps):
-        shared = texts.sparkSession.sparkContext.broadcast(learned)
-
-        def run(batches):
-            now = shared.value
-            counts = np.zeros((first + 1 + k, k))
-
-            def records(rows, words, times, sums):
-                for i in range(0, len(sums), 4096):
-                    part = slice(i, i + 4096)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows[part], words[part], times[part], *[pa.array(sums[part, s]) for s in range(k)]],
-                        names=["row", "word", "c", *names])
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                local, sequences, others, kinds, _ = _prepared(batch, now, k)
-                rare = np.zeros((len(kinds), k))
-                for group in _gathered(_pieces(sequences, shape.train_piece), 300_000):
-                    start, move, emit = expected_counts(local, group, len(local.emit))
-                    counts[:known] += emit[:known]
-                    rare += emit[known:]
-                    counts[first] += start
-                    counts[first + 1:] += move
-                for s in range(k):
-                    counts[known:first, s] += np.bincount(kinds, rare[:, s], shape.shared_classes)
-                yield from records(pa.nulls(len(rare), pa.int32()), others.field("word"),
-                                   others.field("n").cast(pa.int64()), rare)
-            rows = np.flatnonzero(counts.any(axis=1))
-            yield from records(pa.array(rows, pa.int32()), pa.nulls(len(rows), pa.string()),
-                               pa.nulls(len(rows), pa.int64()), counts[rows])
-
-        fields = ", ".join(f"{s} double" for s in names)
-        table = _written_alone(
-            with_found(training, words, k).select("ids", "others", "found")
-            .mapInArrow(run, f"row int, word string, c bigint, {fields}").groupBy("row", "word")
-            .agg(F.sum("c").alias("c"), *[F.sum(s).cast("float").alias(s) for s in names]), "word-states")
-        sums = table.where("row IS NOT NULL").select("row", *names).toArrow()
-        words = table.where("word IS NOT NULL").select("word", "c", *names)
+    for step in range(shape.steps):
+        shared = blocks.sparkSession.sparkContext.broadcast(learned)
+        sent = _written_alone(gathered(with_found(blocks.where("NOT held_out"), words), shared, buckets,
+                                       shape.train_piece), "word-sums")
+        shared.destroy()
+        if words is not None:
+            drop_table(words)
+        last = step == shape.steps - 1
+        words = _written_alone(totals(sent.union(asked(blocks.where("held_out"), buckets)) if last else sent, k),
+                               "word-states")
+        drop_table(sent)
         counts = np.zeros((first + 1 + k, k))
-        counts[sums.column("row").to_numpy()] = np.stack([sums.column(s).to_numpy() for s in names], axis=1)
+        bounded = words.where("block IS NULL").withColumn("alone", F.lit(None).cast("bigint"))
+        for row in totals(bounded, k).select("numbers", "sums").collect():
+            counts[unpacked(row[0], "<i8")] = unpacked(row[1], "<f4").reshape(-1, k)
+        words = words.where("block IS NOT NULL")
         classes = np.zeros((shape.classes, k))
         np.add.at(classes, ranked, counts[:known])
         classes[own:] += counts[known:first]
         model = model.improved(vocab, counts[first], counts[first + 1:], classes)
         learned = Learned.of(vocab, model, counts[:known], classes[own:])
-        shared.unpersist()
     return learned, words
 
 
-def likelihoods(texts: DataFrame, learned: Learned, words: DataFrame | None) -> DataFrame:
-    """``texts`` with ``log_classes``, the log10 likelihood but for the words' fixed
-    shares, for ``ids``; and with ``more`` and ``more_log``, sums over those of the
-    ``others`` that training has met."""
-    shared = texts.sparkSession.sparkContext.broadcast(learned)
-    states = len(learned.model.start)
-    kept = texts.drop("row", "ids", "others")
+def likelihoods(blocks: DataFrame, learned: Learned, words: DataFrame | None, buckets: int) -> DataFrame:
+    """The texts of ``blocks`` with ``log_classes``, the log10 likelihood but for the
+    words' fixed shares; and with ``more`` and ``more_log``, sums over those of their
+    words that training has met but are not known."""
+    shared = blocks.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            model, sequences, others, _, (rows, at, c) = _prepared(batch, shared.value, states)
-            found = np.concatenate([log_likelihoods(model, g) for g in _gathered(sequences, 4_000_000)])
-            times = _numbers(others.field("n"))[at]
-            more = np.bincount(rows, times, batch.num_rows).astype(np.int64)
-            more_log = np.bincount(rows, times * np.log10(c + 1), batch.num_rows).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-3], pa.array(found), pa.array(more), pa.array(more_log)],
-                names=[*batch.schema.names[:-3], "log_classes", "more", "more_log"])
+        blocks, again = tee(block for batch in batches for block in Block.rows(batch))
+        for group, model, _, sequences in _joined(blocks, (b.model(shared.value, buckets) for b in again), 1_000_000):
+            found = np.concatenate([log_likelihoods(model, part) for part in _gathered(sequences, 4_000_000)])
+            done = 0
+            for block in group:
+                times = np.concatenate([np.zeros(len(block.ranks), np.int64), block.times])
+                ids, sizes = np.concatenate(block.sequences), [len(s) for s in block.sequences]
+                firsts, n = np.cumsum([0, *sizes[:-1]]), len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [block.texts.field("doc_id"), pa.array([block.held_out] * n),
+                     *[block.texts.field(c) for c in ("n_tokens", "n_found", "log_count", "log_share")],
+                     pa.array(found[done:done + n]),
+                     pa.array(np.add.reduceat(times[ids] > 0, firsts, dtype=np.int64)),
+                     pa.array(np.add.reduceat(np.log10(times + 1.0)[ids], firsts))],
+                    names=["doc_id", "held_out", "n_tokens", "n_found", "log_count", "log_share", "log_classes",
+                           "more", "more_log"])
+                done += n
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return with_found(texts, words, states).select(*kept.columns, "ids", "others", "found").mapInArrow(
-        run, f"{fields}, log_classes double, more bigint, more_log double")
+    kind = blocks.schema["texts"].dataType.elementType["doc_id"].dataType.simpleString()
+    return with_found(blocks, words).mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_found bigint, log_count double, "
+             "log_share double, log_classes double, more bigint, more_log double")
 
 
 def score(df: DataFrame, training, shape: Shape = Shape(), id_col: str = "doc_id",
@@ -472,12 +665,19 @@ def score(df: DataFrame, training, shape: Shape = Shape(), id_col: str = "doc_id
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), the
     base being add-one word frequencies."""
     rows = _rows(df, id_col, text_col, F.coalesce(training, F.lit(False)))
-    counts = materialize(word_counts(rows.where("NOT held_out")), "word-counts")
-    vocab = vocabulary(counts, shape)
-    texts = materialize(encoded(rows, vocab).withColumn("row", F.monotonically_increasing_id()), "word-classes")
-    learned, words = baum_welch(texts, vocab)
+    counts = _written_alone(
+        word_counts(rows).withColumn("number", F.monotonically_increasing_id())
+        .withColumn("number", F.expr("IF(c + apart > 1, number, -1)")), "word-counts")
+    trained = counts.where("c > 0")
+    vocab = vocabulary(trained, shape)
+    buckets = 1 + int(max(0, vocab.total - np.rint(10 ** vocab.logs - 1).sum())) // shape.bucket_words
+    texts = _written_alone(encoded(rows, vocab).withColumn("block", F.monotonically_increasing_id()), "word-classes")
+    blocks = _written_alone(with_counts(texts, trained), "word-blocks")
+    drop_table(texts)
+    drop_table(counts)
+    learned, words = baum_welch(blocks, vocab, buckets)
     scale = float(np.log10(vocab.total + vocab.different + 1))
-    return likelihoods(texts, learned, words).select(
+    return likelihoods(blocks, learned, words, buckets).select(
         "doc_id", "held_out", "n_tokens", (F.col("n_found") + F.col("more")).alias("n_known"),
         F.lit(vocab.total).cast("bigint").alias("train_tokens"),
         (F.col("log_count") + F.col("more_log") - F.col("n_tokens") * scale).alias("base_score"),

@@ -104,6 +104,16 @@ def drop_tables(spark: SparkSession) -> bool:
     return store.delete(path, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the table that ``df``, made by :func:`materialize`, reads; call it when
+    nothing made from it will be read again."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
                  split_bytes: int = 512 << 20, shuffle_bytes: int = 256 << 20,
                  widest_shuffle_bytes: int | None = None) -> dict:

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -475,6 +476,29 @@ def test_every_training_word_has_counts_of_its_own(spark):
     assert np.std(first, axis=0).max() > 0.01
 
 
+def test_counts_of_words_in_many_blocks_and_buckets(spark, monkeypatch):
+    """Sums of words of many blocks, words met once, and words of texts held out equal
+    brute force, and only the tables that the scores are read from stay on disk."""
+    from tallyline import session
+    from tallyline.llm.common import held_out
+
+    rng, docs = random.Random(31), rows()
+    names = ["".join(rng.choices("klmnopq", k=4)) for _ in range(60)]
+    docs += [(7000 + i, " ".join([*rng.choices(names, k=rng.randint(1, 40)), f"once{i}", "w" * 70]), "en", "s0", 1)
+             for i in range(60)]
+    shape = hmm.Shape(states=3, own_classes=5, shared_classes=4, known_words=9, steps=3, train_piece=7,
+                      block_tokens=90, bucket_words=50)
+    made = []
+    monkeypatch.setattr(hmm, "materialize", lambda df, name: made.append(session.materialize(df, name)) or made[-1])
+    _, want = brute_force_words(docs, shape)
+    got = hmm.score(frame(spark, docs), ~held_out("doc_id", 7, 2), shape).collect()
+    near = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    for a, b in zip(near, sorted((str(d), n, s) for d, n, s in want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5)
+    kept = [os.path.exists(os.path.dirname(t.inputFiles()[0]).removeprefix("file:")) for t in made]
+    assert sum(kept) == 2
+
+
 def test_model_beats_word_frequencies_on_held_out_texts(spark):
     got = [r for r in queries.op3_hmm_scores(spark, SMALL).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.05 * sum(r.n_tokens for r in got)
