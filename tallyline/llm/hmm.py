@@ -39,6 +39,7 @@ from itertools import repeat, tee
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ class Shape:
     sticky: float = 0.8
     smoothing: float = 20.0
     seed: int = 17
-    block_tokens: int = 1 << 17  # a block of texts ends with the text that reaches them
+    block_tokens: int = 1 << 16  # a block of texts ends with the text that reaches them
     bucket_words: int = 500_000  # occurrences of the words of a bucket, about
 
     @property
@@ -111,7 +112,8 @@ def word_counts(rows: DataFrame, most: int = 300_000) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return (rows.select("text", "held_out").mapInArrow(run, "word string, c bigint, apart bigint")
+    return (rows.select("text", "held_out")
+            .mapInArrow(run, "word string, c bigint, apart bigint")
             .groupBy("word").agg(F.sum("c").alias("c"), F.sum("apart").alias("apart")))
 
 
@@ -136,7 +138,12 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     """Bounded summary of the full table ``counts`` (word, c), which is written out."""
-    top = [(r[0], r[1]) for r in counts.where(F.octet_length("word") <= LONGEST_KNOWN)
+    short = counts.where(F.octet_length("word") <= LONGEST_KNOWN)
+    level, least, n = F.floor(16 * F.log2("c")), None, 0  # each task would send as many words as are wanted
+    for r in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if n < shape.known_words:
+            least, n = r[0], n + r[1]
+    top = [(r[0], r[1]) for r in short.where(level >= F.lit(least))
            .orderBy(F.desc("c"), "word").limit(shape.known_words).collect()]
     size = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     place = {w.encode(): i for i, (w, _) in enumerate(top)}
@@ -238,37 +245,67 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"held_out boolean, texts array<struct<doc_id: {kind}, n_tokens: bigint, "
-                                "n_found: bigint, log_count: double, log_share: double>>, ids binary, ranks binary, "
-                                "kinds binary, words array<string>")
+                           "n_found: bigint, log_count: double, log_share: double>>, ids binary, ranks binary, "
+                           "kinds binary, words array<string>")
 
 
-def with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
+def with_counts(texts: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     """The blocks with what training has met of their other words, in place of the
     words: how often (``times``, 0 if never), and the ``numbers`` of those that more
-    than one place of the input has (else -1)."""
-    def run(batches):
+    than one place of the input has (else -1). Blocks ask by buckets of words."""
+    def ask(batches):
+        out = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()),
+                         ("words", pa.list_(pa.string()))])
+        for batch in batches:
+            for block, words in zip(batch.column("block").to_pylist(), batch.column("words")):
+                words = words.values
+                bucket = np.array([zlib.crc32(w) % buckets for w in words.cast(pa.binary()).to_pylist()], np.int64)
+                order = np.argsort(bucket, kind="stable")
+                different, first = np.unique(bucket[order], return_index=True)
+                rows = [(b, block, packed(at.astype("<u4")), words.take(pa.array(at)).to_pylist())
+                        for b, at in zip(different.tolist(), np.split(order, first[1:]))]
+                yield from batches_of(rows, out)
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            names = ("at", "times", "numbers")
+            return pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in names]]).empty_table()
+        words = asked.column("words").combine_chunks()
+        sizes = _numbers(pc.list_value_length(words)).astype(np.int64)
+        at = pc.index_in(words.flatten(), value_set=known.column("word").combine_chunks())
+        found, at = _numbers(at.is_valid()), _numbers(at.fill_null(0))
+        time, number = np.zeros(len(at), "<i8"), np.full(len(at), -1, "<i8")
+        time[found] = _numbers(known.column("c").combine_chunks())[at[found]]
+        number[found] = _numbers(known.column("number").combine_chunks())[at[found]]
+        return pa.table([asked.column("block"), asked.column("at"),
+                         *[pa.array([packed(v) for v in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())
+                           for values in (time, number)]], names=["block", "at", "times", "numbers"])
+
+    def place(batches):
         for batch in batches:
             times, numbers = [], []
-            for kinds, met in zip(batch.column("kinds").to_pylist(), batch.column("met")):
+            for kinds, met in zip(batch.column("kinds").to_pylist(), batch.column("met").to_pylist()):
                 n = len(unpacked(kinds, "<u4"))
                 time, number = np.zeros(n, "<i8"), np.full(n, -1, "<i8")
-                if met.is_valid:
-                    entries = met.values
-                    at = _numbers(entries.field("pos"))
-                    time[at], number[at] = _numbers(entries.field("c")), _numbers(entries.field("number"))
+                for part in met or []:
+                    at = unpacked(part["at"], "<u4")
+                    time[at], number[at] = unpacked(part["times"], "<i8"), unpacked(part["numbers"], "<i8")
                 times.append(packed(time))
                 numbers.append(packed(number))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(times, pa.binary()), pa.array(numbers, pa.binary())],
                 names=[*batch.schema.names[:-1], "times", "numbers"])
 
-    pairs = texts.select("block", F.posexplode("words").alias("pos", "word"))
-    met = (pairs.join(counts.where("c > 0").select("word", "c", "number"), "word")
-           .groupBy("block").agg(F.collect_list(F.struct("pos", "c", "number")).alias("met")))
+    asked = texts.select("block", "words").mapInArrow(ask, "bucket int, block bigint, at binary, words array<string>")
+    known = counts.select((F.crc32(F.col("word").cast("binary")) % buckets).cast("int").alias("bucket"),
+                          "word", "c", "number")
+    met = (asked.groupBy("bucket").cogroup(known.groupBy("bucket"))
+           .applyInArrow(answer, "block bigint, at binary, times binary, numbers binary")
+           .groupBy("block").agg(F.collect_list(F.struct("at", "times", "numbers")).alias("met")))
     kept = texts.drop("words")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.join(met, "block", "left").select(*kept.columns, "met").mapInArrow(
-        run, f"{fields}, times binary, numbers binary")
+        place, f"{fields}, times binary, numbers binary")
 
 
 @dataclass
@@ -524,7 +561,7 @@ def gathered(blocks: DataFrame, shared, buckets: int, piece: int) -> DataFrame:
         first = known + len(now.sizes)
         counts = np.zeros((first + 1 + k, k))
         blocks, again = tee(block for batch in batches for block in Block.rows(batch))
-        for group, local, starts, sequences in _joined(blocks, (b.model(now, buckets) for b in again), 200_000):
+        for group, local, starts, sequences in _joined(blocks, (b.model(now, buckets) for b in again), 100_000):
             sums = np.zeros(local.emit.shape)
             for part in _gathered(_pieces(sequences, piece), 300_000):
                 start, move, emit = expected_counts(local, part, len(local.emit))
@@ -636,7 +673,7 @@ def likelihoods(blocks: DataFrame, learned: Learned, words: DataFrame | None, bu
 
     def run(batches):
         blocks, again = tee(block for batch in batches for block in Block.rows(batch))
-        for group, model, _, sequences in _joined(blocks, (b.model(shared.value, buckets) for b in again), 1_000_000):
+        for group, model, _, sequences in _joined(blocks, (b.model(shared.value, buckets) for b in again), 400_000):
             found = np.concatenate([log_likelihoods(model, part) for part in _gathered(sequences, 4_000_000)])
             done = 0
             for block in group:
@@ -672,7 +709,7 @@ def score(df: DataFrame, training, shape: Shape = Shape(), id_col: str = "doc_id
     vocab = vocabulary(trained, shape)
     buckets = 1 + int(max(0, vocab.total - np.rint(10 ** vocab.logs - 1).sum())) // shape.bucket_words
     texts = _written_alone(encoded(rows, vocab).withColumn("block", F.monotonically_increasing_id()), "word-classes")
-    blocks = _written_alone(with_counts(texts, trained), "word-blocks")
+    blocks = _written_alone(with_counts(texts, trained, 8 * buckets), "word-blocks")
     drop_table(texts)
     drop_table(counts)
     learned, words = baum_welch(blocks, vocab, buckets)
