@@ -420,12 +420,14 @@ class Learned:
 
 
 def with_found(blocks: DataFrame, sums: DataFrame | None) -> DataFrame:
-    """``blocks`` with ``found``: the expected counts of their words met in training,
-    by bucket (-1: words met once), in the order of the words."""
+    """Each of the ``blocks``, a row without ``bucket``, followed by the expected counts
+    of its words met in training, a row with ``sums`` for every bucket (-1: words met
+    once), in the order of the words."""
+    alone = blocks.withColumns({"bucket": F.lit(None).cast("int"), "sums": F.lit(None).cast("binary")})
     if sums is None:
-        return blocks.withColumn("found", F.lit(None).cast("array<struct<bucket: int, sums: binary>>"))
-    met = sums.groupBy("block").agg(F.collect_list(F.struct("bucket", "sums")).alias("found"))
-    return blocks.join(met, "block", "left")
+        return alone
+    return (alone.unionByName(sums.select("block", "bucket", "sums"), allowMissingColumns=True)
+            .repartition("block").sortWithinPartitions("block", F.col("bucket").isNotNull()))
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
@@ -440,25 +442,34 @@ class Block:
     kinds: np.ndarray  # shared class by other word
     times: np.ndarray  # in training, by other word
     numbers: np.ndarray  # by other word, -1 if no other block has it
-    found: list[dict] | None
+    found: dict[int, bytes]  # expected counts by bucket
     sequences: list[np.ndarray] | None = None  # the texts
     texts: pa.StructArray | None = None
     held_out: bool | None = None
 
     @classmethod
-    def rows(cls, batch: pa.RecordBatch):
-        """The blocks of ``batch``, one at a time, with the texts if it has them."""
-        names = set(batch.schema.names)
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].as_py() for name in
-                   ("block", "held_out", "ids", "ranks", "kinds", "times", "numbers", "found") if name in names}
-            block = cls(row["block"], unpacked(row["ranks"], "<u4").astype(np.int64),
-                        unpacked(row["kinds"], "<u4").astype(np.int64), unpacked(row["times"], "<i8"),
-                        unpacked(row["numbers"], "<i8"), row.get("found"), held_out=row.get("held_out"))
-            if "ids" in row:
-                block.texts = batch.column("texts")[i].values
-                ends = np.cumsum(_numbers(block.texts.field("n_tokens")))
-                block.sequences = np.split(unpacked(row["ids"], "<u4").astype(np.int64), ends[:-1])
+    def rows(cls, batches):
+        """The blocks of ``batches``, one at a time, with the texts if they have them."""
+        block = None
+        for batch in batches:
+            names = set(batch.schema.names)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in
+                       ("block", "held_out", "ids", "ranks", "kinds", "times", "numbers", "bucket", "sums")
+                       if name in names}
+                if row.get("bucket") is not None:
+                    block.found[row["bucket"]] = row["sums"]
+                    continue
+                if block is not None:
+                    yield block
+                block = cls(row["block"], unpacked(row["ranks"], "<u4").astype(np.int64),
+                            unpacked(row["kinds"], "<u4").astype(np.int64), unpacked(row["times"], "<i8"),
+                            unpacked(row["numbers"], "<i8"), {}, held_out=row.get("held_out"))
+                if "ids" in row:
+                    block.texts = batch.column("texts")[i].values
+                    ends = np.cumsum(_numbers(block.texts.field("n_tokens")))
+                    block.sequences = np.split(unpacked(row["ids"], "<u4").astype(np.int64), ends[:-1])
+        if block is not None:
             yield block
 
     def once(self) -> np.ndarray:
@@ -476,12 +487,11 @@ class Block:
     def model(self, learned: Learned, n: int) -> Model:
         """The model by the numbers of this block's words."""
         rare = learned.model.emit[len(learned.model.emit) - len(learned.sizes) + self.kinds]
-        if self.found is not None:
-            sums = {e["bucket"]: unpacked(e["sums"], "<f4").reshape(-1, rare.shape[1]) for e in self.found}
+        if learned.found is not None:
             for bucket, at in [(-1, self.once()), *self.buckets(n)]:
                 if len(at):
-                    rare[at] *= learned.tilt(self.kinds[at], self.times[at].astype(np.float64),
-                                             sums[bucket].astype(np.float64))
+                    sums = unpacked(self.found[bucket], "<f4").reshape(-1, rare.shape[1])
+                    rare[at] *= learned.tilt(self.kinds[at], self.times[at].astype(np.float64), sums.astype(np.float64))
         return Model(learned.model.start, learned.model.move, np.concatenate([learned.known[self.ranks], rare]))
 
 
@@ -560,7 +570,7 @@ def gathered(blocks: DataFrame, shared, buckets: int, piece: int) -> DataFrame:
         known, k = now.known.shape
         first = known + len(now.sizes)
         counts = np.zeros((first + 1 + k, k))
-        blocks, again = tee(block for batch in batches for block in Block.rows(batch))
+        blocks, again = tee(Block.rows(batches))
         for group, local, starts, sequences in _joined(blocks, (b.model(now, buckets) for b in again), 100_000):
             sums = np.zeros(local.emit.shape)
             for part in _gathered(_pieces(sequences, piece), 300_000):
@@ -588,16 +598,16 @@ def gathered(blocks: DataFrame, shared, buckets: int, piece: int) -> DataFrame:
                 yield _sent([(int(-2 - part[0] // BOUNDED_ROWS), task, None, packed(part),
                               packed(counts[part].astype("<f4")))])
 
-    return blocks.select("block", "texts", "ids", "ranks", "kinds", "times", "numbers", "found").mapInArrow(run, SENT)
+    return blocks.select("block", "texts", "ids", "ranks", "kinds", "times", "numbers", "bucket",
+                         "sums").mapInArrow(run, SENT)
 
 
 def asked(blocks: DataFrame, buckets: int) -> DataFrame:
     """Rows as of :func:`gathered`, without sums: the words whose counts blocks need."""
     def run(batches):
-        for batch in batches:
-            for block in Block.rows(batch):
-                yield _sent([(bucket, None, block.block, packed(block.numbers[at]), None)
-                             for bucket, at in block.buckets(buckets)])
+        for block in Block.rows(batches):
+            yield _sent([(bucket, None, block.block, packed(block.numbers[at]), None)
+                         for bucket, at in block.buckets(buckets)])
 
     return blocks.select("block", "ranks", "kinds", "times", "numbers").mapInArrow(run, SENT)
 
@@ -672,7 +682,7 @@ def likelihoods(blocks: DataFrame, learned: Learned, words: DataFrame | None, bu
     shared = blocks.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
-        blocks, again = tee(block for batch in batches for block in Block.rows(batch))
+        blocks, again = tee(Block.rows(batches))
         for group, model, _, sequences in _joined(blocks, (b.model(shared.value, buckets) for b in again), 400_000):
             found = np.concatenate([log_likelihoods(model, part) for part in _gathered(sequences, 4_000_000)])
             done = 0
